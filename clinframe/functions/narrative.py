@@ -11,18 +11,22 @@ from clinframe.functions import fixed_values as fixed
 from clinframe.schema import col
 
 
+def _decimal(value: Column, decimals: int) -> Column:
+    """Rounded half up in decimal arithmetic, which no engine's binary rounding disturbs."""
+    return F.round(value.try_cast("decimal(28,8)"), decimals)
+
+
 def number_text(value: Column, decimals: int = 2) -> Column:
-    """Rounded to at most two decimals without a trailing zero (``1.5``, ``2.0``); missing is
-    ``nan``. Adding 0.0 turns a rounded -0.0 into 0.0."""
-    rounded = F.round(value.cast("double"), decimals) + F.lit(0.0)
-    text = F.format_string(f"%.{decimals}f", rounded)
+    """Rounded to ``decimals`` without trailing zeros beyond the first (``1.5``, ``2.0``);
+    missing is ``nan``."""
+    text = _decimal(value, decimals).cast("string")
     if decimals > 1:
         text = F.regexp_replace(text, "0{1,%d}$" % (decimals - 1), "")
-    return F.when(value.isNotNull(), text).otherwise(F.lit("nan"))
+    return F.coalesce(text, F.lit("nan"))
 
 
 def pct_change_desc(change: Column) -> Column:
-    return F.round(F.abs(change) * 100, 2)
+    return _decimal(F.abs(change) * 100, 2).cast("double")
 
 
 def trend_desc(change: Column) -> Column:
@@ -50,7 +54,8 @@ def vs_cohort_desc(value: Column, center: Column) -> Column:
     """Percent lower or higher than a cohort's center, or ``equal``; NULL for a zero center."""
 
     def percent(gap: Column) -> Column:
-        return F.format_string("%.1f%%", F.round(F.try_divide(gap, center) * 100, 0) + F.lit(0.0))
+        whole = _decimal(F.try_divide(gap, center) * 100, 0)
+        return F.concat(whole.cast("string"), F.lit(".0%"))
 
     return (
         F.when(center == 0, F.lit(None).cast("string"))

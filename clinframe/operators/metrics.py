@@ -7,13 +7,14 @@ are sliced when a group has very many of them.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinframe.operators.skew import HOT_ROWS, running_sums
 from clinframe.schema import col
+from clinframe.session import stored
 
 #: Fixed values.
 THRESHOLD = 0.5
@@ -44,16 +45,25 @@ def curve(
     p: str = "p",
     weight: str | None = None,
     hot_rows: int = HOT_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """One row per distinct score, taken as threshold: positives and negatives at it, those at
-    or above it (``tp``, ``fp``) and all of them (``tp_total``, ``fp_total``)."""
+    or above it (``tp``, ``fp``) and all of them (``tp_total``, ``fp_total``).
+
+    The histogram is written once, so that looking for large groups does not score twice. A
+    caller that knows a bound for the ``largest`` group saves both.
+    """
+    scores = score_histogram(df, by, y, p, weight)
+    if largest is None or largest > hot_rows:
+        scores = stored(scores)
     return running_sums(
-        score_histogram(df, by, y, p, weight),
+        scores,
         by,
         [("score", "desc")],
         {"tp": F.col("pos"), "fp": F.col("neg")},
         hot_rows,
         totals=True,
+        largest=largest,
     )
 
 
@@ -296,7 +306,7 @@ def percentile_rank(
 
     Works on counts per distinct value, so equal values meet in one row before any ordering.
     """
-    counted = df.groupBy(*map(col, by), col(p)).agg(F.count(F.lit(1)).alias("_c"))
+    counted = stored(df.groupBy(*map(col, by), col(p)).agg(F.count(F.lit(1)).alias("_c")))
     ranked = running_sums(counted, by, [(p, "asc")], {"_upto": F.col("_c")}, hot_rows, totals=True)
     shares = ranked.select(
         *map(col, by), col(p), (F.col("_upto") / F.col("_upto_total")).alias("share")

@@ -29,6 +29,7 @@ def forward_fill(
     fills: Mapping[str, Column] | None = None,
     stats: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Carry the last observation forward within each record; leading gaps take the fill.
 
@@ -36,7 +37,7 @@ def forward_fill(
     else -1.
     """
     names = list(features or schema.labs)
-    out = carry_forward(df, [schema.key], _order(schema), names, hot_rows)
+    out = carry_forward(df, [schema.key], _order(schema), names, hot_rows, largest)
     given: dict[str, Column] = dict(fills or {})
     if stats is not None:
         out = out.withColumn("_fit", by_feature(stats, names, ["default_fill"]))
@@ -87,6 +88,7 @@ def steps(
     fields: Mapping[str, Column],
     part_visits: int = PART_VISITS,
     hot_rows: int = HOT_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Gather ``fields`` of each record into arrays in time order.
 
@@ -100,7 +102,9 @@ def steps(
         *map(col, schema.order),
         *[c.alias(f"_f_{n}") for n, c in fields.items()],
     )
-    numbered = running_sums(slim, [schema.key], _order(schema), {"_step": F.lit(1)}, hot_rows)
+    numbered = running_sums(
+        slim, [schema.key], _order(schema), {"_step": F.lit(1)}, hot_rows, largest=largest
+    )
     part = F.floor((F.col("_step") - 1) / part_visits).cast("int")
     visit = F.struct("_step", *[F.col(f"_f_{n}").alias(n) for n in fields])
     gathered = numbered.groupBy(col(schema.key), part.alias("part")).agg(

@@ -144,9 +144,10 @@ def carry_forward(
     order: Order,
     columns: Sequence[str],
     hot_rows: int = HOT_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Replace NULLs of ``columns`` by the last value before them in ``order`` within ``key``."""
-    work, cut = ordered_slices(df, key, order[0][0], hot_rows)
+    work, cut = ordered_slices(df, key, order[0][0], hot_rows, largest)
     part = [*map(col, key), F.col(SLICE)] if cut else [*map(col, key)]
     so_far = (
         Window.partitionBy(*part).orderBy(*_sorted(order)).rowsBetween(Window.unboundedPreceding, 0)

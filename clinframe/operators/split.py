@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clinframe.functions.hashing import unit_hash
 from clinframe.operators.skew import HOT_ROWS, running_sums, small
 from clinframe.schema import VisitSchema, col
-from clinframe.session import materialise
+from clinframe.session import materialise, stored
 
 
 def record_label(
@@ -58,8 +58,10 @@ def stratified_split(
     """``(key, label, split)`` for one row per record; ``val`` is a fraction of what test leaves.
 
     Records are taken in the order of a salted hash, so the split depends on ids and seed
-    alone. A label with very many records is ranked in slices of the hash.
+    alone. A label with very many records is ranked in slices of the hash. The labels are
+    written once: the quotas need their counts before any record can be placed.
     """
+    labels = stored(labels.select(col(key), col(label)))
     quotas = materialise(split_quotas(labels, label, test, val))
     strata, largest = quotas.agg(F.count(F.lit(1)), F.max("n")).first()
     placed = running_sums(

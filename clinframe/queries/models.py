@@ -1 +1,183 @@
-"""To come."""
+"""Queries on fitted models, attributions and fusion, and the composed flows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clinframe.operators import models, sequence, split
+from clinframe.plans import cohort as cohort_plan
+from clinframe.plans import consultation as consultation_plan
+from clinframe.plans import evaluation as evaluation_plan
+from clinframe.queries import inputs as i
+from clinframe.queries.cohort import FILLED_SQL, LAST_SO_FAR, _wide_stats_sql, _z_sql, rounded, rounded_sql
+from clinframe.queries.cohort import SCALED, visit_split
+from clinframe.queries.inputs import LABS, VISITS
+from clinframe.queries.registry import query
+from clinframe.queries.scores import BINARY, RANKING_SQL, class_sql, curve_sql
+from clinframe.session import stored
+
+
+def last_visits(spark: SparkSession, sf: str) -> DataFrame:
+    """Filled labs of every record's last visit, with its split."""
+    filled = sequence.forward_fill(i.visits(spark, sf), VISITS)
+    last = sequence.last_visit(filled, VISITS)
+    return stored(split.apply_split(last, visit_split(spark, sf).select("user_id", "split"), "user_id"))
+
+
+def _part(df: DataFrame, name: str) -> DataFrame:
+    return df.where(F.col("split") == name)
+
+
+@query("logistic_scores")
+def logistic_scores(spark: SparkSession, sf: str) -> DataFrame:
+    last = last_visits(spark, sf)
+    model = models.fit_logistic(_part(last, "train"), LABS, "outcome")
+    return models.score(model, last).select("user_id", "split", *rounded(["p"]))
+
+
+@query("boosted_tree_scores")
+def boosted_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
+    last = last_visits(spark, sf)
+    model = models.fit_gbt(_part(last, "train"), LABS, "outcome", trees=5, depth=3)
+    return models.score(model, last).select("user_id", "split", *rounded(["p"]))
+
+
+@query("boosted_tree_stay")
+def boosted_tree_stay(spark: SparkSession, sf: str) -> DataFrame:
+    last = last_visits(spark, sf)
+    model = models.fit_gbt(_part(last, "train"), LABS, "los", task="los", trees=5, depth=3)
+    return models.score(model, last, "p_los").select("user_id", "split", *rounded(["p_los"]))
+
+
+#: Coefficients of a linear model over the test labs.
+COEFFICIENTS = (0.5, -0.3, 0.1, 1.0, -1.5)
+
+
+@query(
+    "attribute_linear",
+    f"WITH {FILLED_SQL}, lastv AS (SELECT * FROM filled QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY "
+    "ts DESC, event_id DESC) = 1), bg AS (SELECT "
+    + ", ".join(f"avg({f}) AS m_{f}" for f in LABS)
+    + " FROM filled), cells AS ("
+    + " UNION ALL ".join(
+        f"SELECT user_id, '{f}' AS feature, {k} AS position, {f} AS value, {w} * ({f} - m_{f}) AS weight FROM lastv, bg"
+        for k, (f, w) in enumerate(zip(LABS, COEFFICIENTS, strict=True))
+    )
+    + ") SELECT user_id, feature, position, round(value, 6) AS value, round(weight, 9) AS weight FROM cells",
+)
+def attribute_linear(spark: SparkSession, sf: str) -> DataFrame:
+    filled = sequence.forward_fill(i.visits(spark, sf), VISITS)
+    last = sequence.last_visit(filled, VISITS)
+    out = models.attribute_linear(last, "user_id", LABS, COEFFICIENTS, filled)
+    return out.select(
+        "user_id", "feature", "position", *rounded(["value"]), *rounded(["weight"], 9)
+    )
+
+
+TEXT_DIM = 64
+
+
+def fused(spark: SparkSession, sf: str) -> DataFrame:
+    """Two embeddings per record and a text vector for those with a positive first element."""
+    vecs = i.vectors(spark, sf)
+    doubled = vecs.select("record_id", F.transform("vector", lambda v: v * 2).alias("vector"))
+    texts = vecs.where(F.get("vector", F.lit(0)) > 0).select("record_id", "vector")
+    ehr = {"one": vecs.select("record_id", "vector"), "two": doubled}
+    return models.fusion_features(ehr, texts, "record_id", TEXT_DIM)
+
+
+@query(
+    "fusion_features",
+    "WITH cells AS (SELECT vec_id AS record_id, generate_subscripts(embedding, 1) AS k, unnest(embedding)::DOUBLE AS v, "
+    "embedding[1] > 0 AS has_text FROM embeddings), parts AS (SELECT record_id, k, v FROM cells UNION ALL SELECT record_id, "
+    "k + 64, 2 * v FROM cells UNION ALL SELECT record_id, k + 128, CASE WHEN has_text THEN v ELSE 0 END FROM cells) "
+    "SELECT record_id, count(*) AS width, round(sum(v), 6) AS total, round(sum(v * k), 4) AS weighted FROM parts GROUP BY 1",
+)
+def fusion_features(spark: SparkSession, sf: str) -> DataFrame:
+    x = F.col("features")
+    zero = F.lit(0.0)
+    return fused(spark, sf).select(
+        "record_id",
+        F.size(x).cast("bigint").alias("width"),
+        F.round(F.aggregate(x, zero, lambda a, v: a + v), 6).alias("total"),
+        F.round(
+            F.aggregate(F.transform(x, lambda v, k: v * (k + 1)), zero, lambda a, v: a + v), 4
+        ).alias("weighted"),
+    )
+
+
+@query("fusion_scores")
+def fusion_scores(spark: SparkSession, sf: str) -> DataFrame:
+    labels = i.vectors(spark, sf).select("record_id", (F.col("label") < 5).cast("double").alias("label"))
+    data = fused(spark, sf).join(labels, "record_id")
+    placed = split.stratified_split(labels, "record_id", "label", 0.2, 0.25)
+    data = stored(split.apply_split(data, placed.select("record_id", "split"), "record_id"))
+    model, _ = models.fit_fusion(
+        _part(data, "train"), _part(data, "val"), widths=(4, 8), iterations=15
+    )
+    from pyspark.ml.functions import array_to_vector
+
+    ready = data.withColumn("_x", array_to_vector("features"))
+    return models.score_vectors(model, ready).select("record_id", "split", *rounded(["p"]))
+
+
+# --- composed flows ------------------------------------------------------------------------------------------
+
+
+@query(
+    "prepared_cohort",
+    f"WITH {i.TRAIN_SQL}, {i.stats_sql('train', SCALED)}, {_wide_stats_sql(('mean', 'std', 'default_fill'))}, "
+    "z AS (SELECT user_id, ts, event_id, split, "
+    + ", ".join(f"CASE WHEN abs({_z_sql(f)}) > 1e4 THEN 0 ELSE {_z_sql(f)} END AS {f}" for f in LABS)
+    + ", "
+    + ", ".join(f"default_fill_{f}" for f in LABS)
+    + " FROM parted, wide), f AS (SELECT user_id, split, "
+    + ", ".join(f"coalesce(last_value({f} IGNORE NULLS) {LAST_SO_FAR}, default_fill_{f}) AS {f}" for f in LABS)
+    + " FROM z) SELECT user_id, split, count(*)::INTEGER AS length, "
+    + ", ".join(f"round(sum({f}), 5) AS {f}" for f in LABS)
+    + " FROM f GROUP BY 1, 2",
+)
+def prepared_cohort(spark: SparkSession, sf: str) -> DataFrame:
+    out = cohort_plan.prepare_cohort(
+        i.visits(spark, sf), VISITS, "outcome", i.SPLIT_TEST, i.SPLIT_VAL, los="los", seed=i.SPLIT_SEED
+    )
+    total = lambda k: F.aggregate("x", F.lit(0.0), lambda a, v: a + F.get(v, F.lit(k)))
+    return out.sequences.select(
+        "user_id",
+        "split",
+        "length",
+        *[F.round(total(k), 5).alias(f) for k, f in enumerate(LABS)],
+    )
+
+
+@query(
+    "evaluation_report",
+    f"WITH {i.PREDS_MODELS_SQL}, {class_sql('preds_models', 'model')}, {curve_sql('preds_models', 'model')}, "
+    f"r AS (SELECT model, {RANKING_SQL} FROM curve GROUP BY 1), m AS (SELECT r.model, {rounded_sql(BINARY)} FROM r "
+    "JOIN class c ON r.model = c.model) "
+    + " UNION ALL ".join(f"SELECT model, '{b}' AS metric, {b} AS value FROM m" for b in BINARY),
+)
+def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
+    out = evaluation_plan.evaluate(i.preds_models(spark, sf), "outcome", ["model"])
+    return out.select("model", "metric", F.round("value", 6).alias("value"))
+
+
+@query(
+    "consultation_report",
+    f"WITH {i.RESPONSES_SQL}, acts AS (SELECT patient_id, round, CASE WHEN action LIKE 'Yes%' THEN 1 ELSE 0 END AS act "
+    "FROM responses GROUP BY ALL), s AS (SELECT patient_id, min(round) FILTER (act = 0) AS stop FROM acts GROUP BY 1), "
+    "heard AS (SELECT r.*, coalesce(stop, 3) AS last FROM responses r JOIN s ON r.patient_id = s.patient_id), "
+    "m AS (SELECT patient_id, round(avg(logit::DOUBLE), 6) AS mean_logit, round(sum(confidence::DOUBLE * logit::DOUBLE) / "
+    "sum(confidence::DOUBLE), 6) AS weighted_logit, min(last) AS rounds FROM heard WHERE round = last GROUP BY 1) "
+    "SELECT m.patient_id, rounds, (stop IS NOT NULL)::INTEGER AS consensus, mean_logit, weighted_logit FROM m JOIN s "
+    "ON m.patient_id = s.patient_id",
+)
+def consultation_report(spark: SparkSession, sf: str) -> DataFrame:
+    out = consultation_plan.summarise_consultations(i.responses(spark, sf))
+    return out.select(
+        "patient_id",
+        "rounds",
+        F.col("consensus").cast("int").alias("consensus"),
+        *rounded(["mean_logit", "weighted_logit"]),
+    )

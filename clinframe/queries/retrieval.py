@@ -1 +1,174 @@
-"""To come."""
+"""Queries on vectors: nearest passages, similar patients, clusters."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clinframe.operators import retrieval, similarity
+from clinframe.queries import inputs as i
+from clinframe.queries.cohort import rounded
+from clinframe.queries.registry import query
+
+K = 3
+
+#: All pairs of different vectors with their rounded inner product.
+PAIRS_SQL = (
+    "vecs AS (SELECT vec_id, label % 2 AS corpus, embedding::DOUBLE[] AS v FROM embeddings), "
+    "pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, c.corpus, "
+    "round(list_dot_product(q.v, c.v), 10) AS score FROM vecs q JOIN vecs c ON q.vec_id <> c.vec_id)"
+)
+
+
+def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return i.vectors(spark, sf).select(F.col("record_id").alias("query_id"), "vector")
+
+
+def corpus_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return i.vectors(spark, sf).select(
+        F.col("record_id").alias("doc_id"), (F.col("label") % 2).alias("corpus"), "vector"
+    )
+
+
+@query(
+    "topk_inner_product",
+    f"WITH {PAIRS_SQL} SELECT query_id, doc_id, round(score, 6) AS score, "
+    "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM pairs "
+    f"QUALIFY rank <= {K}",
+)
+def topk_inner_product(spark: SparkSession, sf: str) -> DataFrame:
+    hits = retrieval.topk_inner_product(
+        query_vectors(spark, sf), corpus_vectors(spark, sf), K, skip_same=True
+    )
+    return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+PER_CORPUS_SQL = (
+    PAIRS_SQL + ", hits AS (SELECT *, row_number() OVER (PARTITION BY query_id, corpus ORDER BY score DESC, "
+    f"doc_id) AS rank FROM pairs QUALIFY rank <= {K}), numbered AS (SELECT *, row_number() OVER "
+    "(PARTITION BY query_id ORDER BY corpus, rank) AS position FROM hits)"
+)
+
+
+@query(
+    "multi_corpus_topk",
+    f"WITH {PER_CORPUS_SQL} SELECT query_id, corpus, doc_id, round(score, 6) AS score, position FROM numbered",
+)
+def multi_corpus_topk(spark: SparkSession, sf: str) -> DataFrame:
+    hits = retrieval.multi_corpus_topk(
+        query_vectors(spark, sf), corpus_vectors(spark, sf), K, skip_same=True
+    )
+    return hits.select("query_id", "corpus", "doc_id", F.round("score", 6).alias("score"), "position")
+
+
+@query(
+    "multi_corpus_merged",
+    f"WITH {PER_CORPUS_SQL} SELECT query_id, corpus, doc_id, round(score, 6) AS score, row_number() OVER "
+    "(PARTITION BY query_id ORDER BY score DESC, corpus, doc_id) AS position FROM numbered "
+    f"QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY numbered.score DESC, corpus, doc_id) <= {K}",
+)
+def multi_corpus_merged(spark: SparkSession, sf: str) -> DataFrame:
+    hits = retrieval.multi_corpus_topk(
+        query_vectors(spark, sf), corpus_vectors(spark, sf), K, merge=True, skip_same=True
+    )
+    return hits.select("query_id", "corpus", "doc_id", F.round("score", 6).alias("score"), "position")
+
+
+def passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits with the passages behind them: vectors and documents share their ids."""
+    hits = retrieval.multi_corpus_topk(
+        query_vectors(spark, sf), corpus_vectors(spark, sf), K, skip_same=True
+    )
+    docs = i.corpus_docs(spark, sf).select("doc_id", "title", "content")
+    vecs = i.vectors(spark, sf).select(F.col("record_id").alias("doc_id"), "vector")
+    return retrieval.fetch_passages(retrieval.fetch_passages(hits, docs), vecs)
+
+
+DOCS_SQL = "docs AS (SELECT doc_id, substr(text, 1, 40) AS title, text AS content FROM documents)"
+
+
+@query(
+    "fetch_passages",
+    f"WITH {PER_CORPUS_SQL}, {DOCS_SQL} SELECT query_id, n.doc_id, position, title, length(content) AS characters, "
+    "round(v[1], 6) AS first_element FROM numbered n JOIN docs d ON n.doc_id = d.doc_id "
+    "JOIN vecs e ON n.doc_id = e.vec_id",
+)
+def fetch_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return passages(spark, sf).select(
+        "query_id",
+        "doc_id",
+        "position",
+        "title",
+        F.length("content").cast("bigint").alias("characters"),
+        F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("first_element"),
+    )
+
+
+@query(
+    "render_context",
+    f"WITH {PER_CORPUS_SQL}, {DOCS_SQL} SELECT query_id, md5(string_agg('Document [' || position || '] (Title: ' "
+    "|| title || ') ' || content, chr(10) ORDER BY position)) AS digest FROM numbered n JOIN docs d "
+    "ON n.doc_id = d.doc_id GROUP BY 1",
+)
+def render_context(spark: SparkSession, sf: str) -> DataFrame:
+    out = retrieval.render_context(passages(spark, sf))
+    return out.select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"))
+
+
+@query("hashed_tfidf")
+def hashed_tfidf(spark: SparkSession, sf: str) -> DataFrame:
+    out = similarity.hashed_tfidf(i.corpus_docs(spark, sf))
+    norm = F.aggregate(F.unwrap_udt("vector")["values"], F.lit(0.0), lambda a, v: a + v * v)
+    return out.select("doc_id", "corpus", F.round(norm, 6).alias("squared_norm"))
+
+
+# --- patients ----------------------------------------------------------------------------------------------
+
+DISTANCE_SQL = (
+    "vecs AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), norms AS (SELECT vec_id, label, v, "
+    "list_dot_product(v, v) AS n2 FROM vecs), pairs AS (SELECT a.vec_id AS record_id, b.vec_id AS neighbour, "
+    "round(greatest(0, a.n2 + b.n2 - 2 * list_dot_product(a.v, b.v)), 10) AS d FROM norms a JOIN norms b ON a.vec_id <> b.vec_id)"
+)
+
+
+@query(
+    "patient_similarity",
+    f"WITH {DISTANCE_SQL}, width AS (SELECT sum(d) / (SELECT count(*) * count(*) - count(*) FROM vecs) AS w FROM pairs) "
+    "SELECT record_id, neighbour, row_number() OVER (PARTITION BY record_id ORDER BY d, neighbour) AS rank, "
+    "round(d, 6) AS distance, round(exp(-d / CASE WHEN w < 1e-3 THEN 1 ELSE w END), 6) AS kernel "
+    "FROM pairs, width QUALIFY rank <= 5",
+)
+def patient_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    out = similarity.patient_similarity(i.vectors(spark, sf), 5)
+    return out.select("record_id", "neighbour", "rank", *rounded(["distance", "kernel"]))
+
+
+@query(
+    "kernel_bandwidth",
+    f"WITH {DISTANCE_SQL} SELECT (SELECT count(*) FROM vecs) AS n, round(sum(d) / (SELECT count(*) * count(*) - count(*) "
+    "FROM vecs), 6) AS bandwidth FROM pairs",
+)
+def kernel_bandwidth(spark: SparkSession, sf: str) -> DataFrame:
+    return similarity.kernel_bandwidth(i.vectors(spark, sf)).select("n", *rounded(["bandwidth"]))
+
+
+@query("patient_clusters")
+def patient_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    out = similarity.patient_clusters(i.vectors(spark, sf), 8)
+    return out.select("record_id", "cluster")
+
+
+@query(
+    "assign_centers",
+    "WITH cells AS (SELECT label, vec_id, generate_subscripts(embedding, 1) AS k, unnest(embedding)::DOUBLE AS x "
+    "FROM embeddings), centers AS (SELECT label AS center, k, avg(x) AS m FROM cells GROUP BY ALL), "
+    "dist AS (SELECT vec_id AS record_id, center, round(sum((x - m) * (x - m)), 10) AS d FROM cells JOIN centers USING (k) "
+    "GROUP BY ALL) SELECT record_id, center, round(d, 6) AS distance FROM dist QUALIFY row_number() OVER "
+    "(PARTITION BY record_id ORDER BY d, center) = 1",
+)
+def assign_centers(spark: SparkSession, sf: str) -> DataFrame:
+    vecs = i.vectors(spark, sf)
+    centers = similarity.mean_vectors(vecs.withColumnRenamed("label", "center"), "center")
+    return similarity.assign_centers(vecs, centers).select(
+        "record_id", "center", *rounded(["distance"])
+    )
