@@ -15,5 +15,5 @@ def unit_hash(*parts: Column, digits: int = HEX_DIGITS, start: int = 1) -> Colum
 
 
 def hex_fraction(digest: Column, start: int, digits: int) -> Column:
-    piece = F.conv(F.substring(digest, start, digits), 16, 10).cast("double")
+    piece = F.conv(F.substring(digest, start, digits), 16, 10).cast("bigint")
     return piece / F.lit(float(16**digits))

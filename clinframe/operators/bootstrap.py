@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinframe.functions.hashing import hex_fraction, unit_hash
+from clinframe.functions.hashing import unit_hash
 from clinframe.operators.metrics import unpivot_metrics
-from clinframe.operators.skew import HOT_ROWS, running_sums
+from clinframe.operators.skew import HOT_ROWS, running_sums, spread
 from clinframe.schema import col
+from clinframe.session import stored
 
 #: Fixed values.
 REPLICATES = 100
@@ -32,12 +34,17 @@ POISSON_1 = (
 DIGITS, PER_DIGEST = 8, 4
 
 
-def poisson_count(u: Column) -> Column:
-    """How often a row is drawn, from a uniform number."""
-    ladder = F.when(u < POISSON_1[0], 0)
-    for k, bound in enumerate(POISSON_1[1:], start=1):
-        ladder = ladder.when(u < bound, k)
-    return ladder.otherwise(len(POISSON_1))
+def poisson_count(digits: Column) -> Column:
+    """How often a row is drawn, from eight hex digits read as a uniform number.
+
+    Hex digits of equal length sort like the numbers they stand for, so the ladder compares
+    text and no digit is ever converted.
+    """
+    bounds = [format(math.ceil(p * 16**DIGITS), "08x") for p in POISSON_1]
+    ladder = F.when(digits < bounds[0], 0)
+    for k, bound in enumerate(bounds[1:], start=1):
+        ladder = ladder.when(digits < bound, k)
+    return ladder.otherwise(len(bounds))
 
 
 def poisson_resamples(
@@ -45,27 +52,25 @@ def poisson_resamples(
 ) -> DataFrame:
     """Adds ``replicate`` (from 1) and ``weight`` (> 0): the row is in that resample so often.
 
-    The draw depends on the row's id, replicate and seed only: no shuffle, and the same on
-    every run. A resample has the size of the data in expectation.
+    The draw depends on the row's id, replicate and seed only, so it is the same on every run
+    and after the loss of a task. A resample has the size of the data in expectation.
     """
     ids = [col(c).cast("string") for c in id_columns]
-    draws = F.transform(
-        F.sequence(F.lit(1), F.lit(replicates)),
-        lambda r: F.struct(r.alias("replicate"), ((r - 1) % PER_DIGEST).alias("slot"),
-                           F.floor((r - 1) / PER_DIGEST).alias("block")),
-    )
-    digests = F.transform(
-        F.sequence(F.lit(0), F.lit((replicates - 1) // PER_DIGEST)),
-        lambda b: F.md5(F.concat_ws(":", *ids, F.lit(seed).cast("string"), b.cast("string"))),
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // PER_DIGEST)))
+    block = F.col("_block")
+    text = F.concat_ws(":", *ids, F.lit(seed).cast("string"), block.cast("string"))
+    draws = F.array(
+        *[
+            F.struct(
+                (block * PER_DIGEST + slot + 1).alias("replicate"),
+                poisson_count(F.substring("_md5", slot * DIGITS + 1, DIGITS)).alias("weight"),
+            )
+            for slot in range(PER_DIGEST)
+        ]
     )
-    drawn = (
-        df.withColumn("_digests", digests)
-        .select("*", F.inline(draws))
-        .withColumn("_md5", F.element_at("_digests", (F.col("block") + 1).cast("int")))
-    )
-    u = F.conv(F.expr(f"substring(_md5, slot * {DIGITS} + 1, {DIGITS})"), 16, 10).cast("double")
-    weighted = drawn.withColumn("weight", poisson_count(u / float(16**DIGITS)))
-    return weighted.where(F.col("weight") > 0).drop("_digests", "_md5", "slot", "block")
+    digested = spread(df, id_columns).select("*", blocks.alias("_block")).withColumn("_md5", F.md5(text))
+    drawn = digested.select(*map(col, df.columns), F.inline(draws))
+    return drawn.where((F.col("weight") > 0) & (F.col("replicate") <= replicates))
 
 
 def exact_resamples(
@@ -81,16 +86,19 @@ def exact_resamples(
     replicate. Draws are counted before they are joined to the rows they hit.
     """
     ids = [col(c) for c in id_columns]
-    numbered = running_sums(
-        df.withColumn("_u", unit_hash(*ids, F.lit(seed))),
-        [],
-        [("_u", "asc"), *[(c, "asc") for c in id_columns]],
-        {"_row": F.lit(1)},
-        hot_rows,
-        totals=True,
+    numbered = stored(
+        running_sums(
+            df.withColumn("_u", unit_hash(*ids, F.lit(seed))),
+            [],
+            [("_u", "asc"), *[(c, "asc") for c in id_columns]],
+            {"_row": F.lit(1)},
+            hot_rows,
+            totals=True,
+        )
     )
     draws = (
-        numbered.select(*ids, "_row_total", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+        spread(numbered.select(*ids, "_row_total"), id_columns)
+        .select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
         .select(
             "replicate",
             (F.floor(unit_hash(*ids, F.lit(seed), F.col("replicate")) * F.col("_row_total")) + 1).alias("_row"),

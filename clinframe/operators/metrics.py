@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinframe.operators.skew import HOT_ROWS, running_sums
+from clinframe.operators.skew import HOT_ROWS, running_sums, skewed_join
 from clinframe.schema import col
 from clinframe.session import stored
 
@@ -311,4 +311,4 @@ def percentile_rank(
     shares = ranked.select(
         *map(col, by), col(p), (F.col("_upto") / F.col("_upto_total")).alias("share")
     )
-    return df.join(shares, [*by, p])
+    return skewed_join(df, shares, [*by, p], counted.count(), hot_rows)

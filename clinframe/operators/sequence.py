@@ -170,20 +170,22 @@ def valid_mask(length: Column, size: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), size - 1), lambda i: i < length)
 
 
+def length_class(length: Column) -> Column:
+    """The next power of two: sequences of one class make a batch that wastes less than half."""
+    return F.pow(F.lit(2.0), F.ceil(F.log2(length))).cast("int")
+
+
 def pad_sequences(
-    seqs: DataFrame, width: int, x: str = "x", pad: float = 0.0, batch: str | None = None
+    seqs: DataFrame, width: int, x: str = "x", pad: float = 0.0, to: Column | None = None
 ) -> DataFrame:
-    """Right-pad ``x`` to the longest sequence (of its ``batch`` when given).
+    """Right-pad ``x`` to length ``to``, by default that of the longest sequence.
 
     Adds ``padded`` and the mask ``valid``. The longest length is an aggregate over ``length``
-    alone, so the arrays are not built twice for it.
+    alone, so the arrays are not built twice for it. Over a large cohort pad to
+    :func:`length_class`: one long record then does not blow up all others.
     """
-    if batch is None:
-        longest = seqs.agg(F.max("length").alias("n")).scalar()
-        out = seqs.withColumn("_n", longest)
-    else:
-        sizes = seqs.groupBy(col(batch)).agg(F.max("length").alias("_n"))
-        out = seqs.join(sizes, batch)
+    longest = seqs.agg(F.max("length").alias("n")).scalar() if to is None else to
+    out = seqs.withColumn("_n", longest)
     empty = F.array_repeat(F.lit(float(pad)), width)
     padded = F.concat(col(x), F.array_repeat(empty, F.col("_n") - F.col("length")))
     return out.withColumns(

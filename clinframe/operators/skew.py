@@ -28,6 +28,9 @@ LEVELS = 4
 
 SLICE = "_slice"
 
+#: Tasks per core for work that multiplies its input.
+SPREAD = 4
+
 Order = Sequence[tuple[str, str]]
 
 
@@ -52,6 +55,42 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def spread(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Hash ``df`` over several tasks per core, before a step that multiplies its rows: input
+    splits are sized for reading, not for work a hundred times larger."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism * SPREAD
+    return df.repartition(tasks, *map(col, columns))
+
+
+def skewed_join(
+    many: DataFrame,
+    one: DataFrame,
+    key: Sequence[str],
+    rows: int | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has at most one row per key.
+
+    A small ``one`` is broadcast. Otherwise the keys that fill more than ``hot_rows`` rows of
+    ``many`` are set apart: their few rows of ``one`` are broadcast, so a hot key is never
+    gathered in one task; all other keys are joined by shuffling.
+    """
+    if rows is None:
+        rows = one.count()
+    if rows <= BROADCAST_ROWS and rows <= hot_rows:
+        return many.join(F.broadcast(one), list(key))
+    counted = many.groupBy(*map(col, key)).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counted.where(F.col("_n") > hot_rows).drop("_n")
+    if hot.isEmpty():
+        return many.join(one, list(key))
+    hot = materialise(hot)
+    few = small(hot, hot.count())
+    hot_one = one.join(few, list(key), "left_semi")
+    apart = many.join(few, list(key), "left_semi").join(small(hot_one, hot.count()), list(key))
+    rest = many.join(few, list(key), "left_anti").join(one, list(key))
+    return apart.unionByName(rest)
+
+
 def ordered_slices(
     df: DataFrame,
     key: Sequence[str],

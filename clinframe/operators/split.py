@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinframe.functions.hashing import unit_hash
-from clinframe.operators.skew import HOT_ROWS, running_sums, small
+from clinframe.operators.skew import HOT_ROWS, running_sums, skewed_join, small
 from clinframe.schema import VisitSchema, col
 from clinframe.session import materialise, stored
 
@@ -81,14 +81,16 @@ def stratified_split(
     return joined.select(col(key), col(label), split.alias("split"))
 
 
-def apply_split(df: DataFrame, split: DataFrame, key: str) -> DataFrame:
-    """Visits with the split of their record."""
-    return df.join(split.select(col(key), "split"), key)
+def apply_split(
+    df: DataFrame, split: DataFrame, key: str, rows: int | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Visits with the split of their record; ``rows`` is the number of records, if known."""
+    return skewed_join(df, split.select(col(key), "split"), [key], rows, hot_rows)
 
 
 def rows_of(df: DataFrame, records: DataFrame, key: str) -> DataFrame:
     """Rows whose record is listed."""
-    return df.join(records.select(col(key)), key, "left_semi")
+    return df.join(records.select(col(key)).distinct(), key, "left_semi")
 
 
 def shared_ids(split: DataFrame, key: str) -> DataFrame:
@@ -101,7 +103,7 @@ def shared_ids(split: DataFrame, key: str) -> DataFrame:
 
 def exclude(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose id is not listed."""
-    return df.join(ids.select(col(key)), key, "left_anti")
+    return df.join(ids.select(col(key)).distinct(), key, "left_anti")
 
 
 def every_nth(

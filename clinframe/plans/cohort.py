@@ -55,7 +55,7 @@ def prepare_cohort(
         shape = schema.with_levels(levels)
     labels = split.record_label(visits, schema, "first", [label])
     placed = stored(split.stratified_split(labels, schema.key, label, test, val, seed, hot_rows))
-    parted = stored(split.apply_split(prepared, placed, schema.key), ["split"])
+    parted = stored(split.apply_split(prepared, placed, schema.key, hot_rows=hot_rows), ["split"])
 
     scaled_columns = [*schema.numeric, *schema.static, *([los] if los else [])]
     train = parted.where(F.col("split") == "train")

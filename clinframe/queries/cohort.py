@@ -167,7 +167,7 @@ def stratified_split_icu_fractions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_visits(spark: SparkSession, sf: str) -> DataFrame:
-    return split.apply_split(i.visits(spark, sf), visit_split(spark, sf), "user_id")
+    return split.apply_split(i.visits(spark, sf), stored(visit_split(spark, sf)), "user_id")
 
 
 @query(
@@ -474,6 +474,23 @@ def pad_sequences(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "pad_sequences_by_length_class",
+    f"WITH {FILLED_SQL}, seqs AS (SELECT user_id, count(*) AS length, "
+    f"string_agg({_visit_text_sql(LABS)}, ';' {IN_ORDER}) AS x FROM filled GROUP BY 1), "
+    "sized AS (SELECT *, (2 ** ceil(log2(length)))::BIGINT AS n FROM seqs) SELECT user_id, "
+    f"x || repeat(';' || '{','.join(['0.00'] * len(LABS))}', n - length) AS padded, "
+    "repeat('1', length) || repeat('0', n - length) AS valid FROM sized",
+)
+def pad_sequences_by_length_class(spark: SparkSession, sf: str) -> DataFrame:
+    seqs = sequence.to_sequences(sequence.forward_fill(i.visits(spark, sf), VISITS), VISITS)
+    padded = sequence.pad_sequences(seqs, len(LABS), to=sequence.length_class(F.col("length")))
+    flags = F.transform("valid", lambda v: v.cast("int").cast("string"))
+    return padded.select(
+        "user_id", numbers_text(F.col("padded")).alias("padded"), F.array_join(flags, "").alias("valid")
+    )
+
+
 @query(
     "last_visit",
     f"WITH {FILLED_SQL} SELECT user_id, {', '.join(LABS)}, outcome, los, readmission FROM filled QUALIFY "

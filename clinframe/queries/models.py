@@ -168,8 +168,8 @@ def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {i.RESPONSES_SQL}, acts AS (SELECT patient_id, round, CASE WHEN action LIKE 'Yes%' THEN 1 ELSE 0 END AS act "
     "FROM responses GROUP BY ALL), s AS (SELECT patient_id, min(round) FILTER (act = 0) AS stop FROM acts GROUP BY 1), "
     "heard AS (SELECT r.*, coalesce(stop, 3) AS last FROM responses r JOIN s ON r.patient_id = s.patient_id), "
-    "m AS (SELECT patient_id, round(avg(logit::DOUBLE), 6) AS mean_logit, round(sum(confidence::DOUBLE * logit::DOUBLE) / "
-    "sum(confidence::DOUBLE), 6) AS weighted_logit, min(last) AS rounds FROM heard WHERE round = last GROUP BY 1) "
+    "m AS (SELECT patient_id, round(avg(logit::DOUBLE), 9) AS mean_logit, round(sum(confidence::DOUBLE * logit::DOUBLE) / "
+    "sum(confidence::DOUBLE), 9) AS weighted_logit, min(last) AS rounds FROM heard WHERE round = last GROUP BY 1) "
     "SELECT m.patient_id, rounds, (stop IS NOT NULL)::INTEGER AS consensus, mean_logit, weighted_logit FROM m JOIN s "
     "ON m.patient_id = s.patient_id",
 )
@@ -179,5 +179,5 @@ def consultation_report(spark: SparkSession, sf: str) -> DataFrame:
         "patient_id",
         "rounds",
         F.col("consensus").cast("int").alias("consensus"),
-        *rounded(["mean_logit", "weighted_logit"]),
+        *rounded(["mean_logit", "weighted_logit"], 9),
     )

@@ -490,20 +490,20 @@ def rounds_to_consensus(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "fuse_mean",
-    f"WITH {i.RESPONSES_SQL} SELECT patient_id, round(avg(logit::DOUBLE), 6) AS logit FROM responses WHERE round = 3 GROUP BY 1",
+    f"WITH {i.RESPONSES_SQL} SELECT patient_id, round(avg(logit::DOUBLE), 9) AS logit FROM responses WHERE round = 3 GROUP BY 1",
 )
 def fuse_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return consensus.fuse(i.responses(spark, sf)).select("patient_id", *rounded(["logit"]))
+    return consensus.fuse(i.responses(spark, sf)).select("patient_id", *rounded(["logit"], 9))
 
 
 @query(
     "fuse_confidence",
-    f"WITH {i.RESPONSES_SQL} SELECT patient_id, round(sum(confidence::DOUBLE * logit::DOUBLE) / sum(confidence::DOUBLE), 6) AS "
+    f"WITH {i.RESPONSES_SQL} SELECT patient_id, round(sum(confidence::DOUBLE * logit::DOUBLE) / sum(confidence::DOUBLE), 9) AS "
     "logit FROM responses WHERE round = 3 GROUP BY 1",
 )
 def fuse_confidence(spark: SparkSession, sf: str) -> DataFrame:
     out = consensus.fuse(i.responses(spark, sf), "confidence")
-    return out.select("patient_id", *rounded(["logit"]))
+    return out.select("patient_id", *rounded(["logit"], 9))
 
 
 @query(

@@ -43,4 +43,4 @@ def select_schema(df: DataFrame, schema: VisitSchema) -> DataFrame:
 
 def pending(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose id has no finished output yet."""
-    return df.join(done.select(col(key)), key, "left_anti")
+    return df.join(done.select(col(key)).distinct(), key, "left_anti")
