@@ -23,8 +23,11 @@ HOT_ROWS = 4_000_000
 BROADCAST_ROWS = 1_000_000
 #: Slices one level of cutting may make of one group.
 FANOUT = 4096
-#: Levels of cutting; each narrows the range of a slice by up to ``FANOUT``.
-LEVELS = 4
+#: Slices per ``hot_rows`` of a group: more than needed, since rows crowd somewhere.
+SLACK = 8
+#: Levels of cutting; each narrows the range of a slice by up to ``FANOUT``. Their numbers
+#: combine into one bigint.
+LEVELS = 5
 
 SLICE = "_slice"
 
@@ -117,7 +120,7 @@ def ordered_slices(
         if groups.isEmpty():
             break
         hot = materialise(groups)
-        fan = F.least(F.lit(FANOUT), F.ceil(F.col("_n") / hot_rows) * 2)
+        fan = F.least(F.lit(FANOUT), F.ceil(F.col("_n") / hot_rows) * SLACK)
         hot = hot.withColumn("_fan", fan.cast("bigint")).drop("_n")
         bucket = F.coalesce(
             F.width_bucket(axis, F.col("_lo"), F.col("_hi"), F.col("_fan")), F.lit(0)
