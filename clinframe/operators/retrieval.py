@@ -142,10 +142,12 @@ def _search_broadcast(
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shipped.value
+        if len(ids) == 0:
+            return
         nearest = _Nearest(ids, matrix, k, metric, skip_same)
         types = None
         for batch in batches:
-            if batch.num_rows == 0 or len(ids) == 0:
+            if batch.num_rows == 0:
                 continue
             types = {n: batch.schema.field(n).type for n in ("grp", "c_id")}
             groups = batch.column("grp").to_numpy(zero_copy_only=False)

@@ -111,7 +111,7 @@ def ordered_slices(
     out, cut = df.withColumn(SLICE, F.lit(0).cast("bigint")), False
     if axis is None or (largest is not None and largest <= hot_rows):
         return out, cut
-    for _ in range(LEVELS):
+    for level in range(LEVELS):
         groups = (
             out.groupBy(*map(col, key), SLICE)
             .agg(F.count(F.lit(1)).alias("_n"), F.min(axis).alias("_lo"), F.max(axis).alias("_hi"))
@@ -122,14 +122,16 @@ def ordered_slices(
         hot = materialise(groups)
         fan = F.least(F.lit(FANOUT), F.ceil(F.col("_n") / hot_rows) * SLACK)
         hot = hot.withColumn("_fan", fan.cast("bigint")).drop("_n")
-        bucket = F.coalesce(
-            F.width_bucket(axis, F.col("_lo"), F.col("_hi"), F.col("_fan")), F.lit(0)
-        )
-        out = (
-            out.join(small(hot, hot.count()), [*key, SLICE], "left")
-            .withColumn(SLICE, F.col(SLICE) * (FANOUT + 2) + bucket)
-            .drop("_lo", "_hi", "_fan")
-        )
+        bounds = F.struct("_lo", "_hi", "_fan").alias("_cut")
+        if key or level:
+            cuts = hot.select(*map(col, key), SLICE, bounds)
+            out = out.join(small(cuts, hot.count()), [*key, SLICE], "left")
+        else:
+            # All rows are one group: its bounds are a single row, and need no join.
+            out = out.withColumn("_cut", hot.select(bounds).scalar())
+        bucket = F.width_bucket(axis, F.col("_cut._lo"), F.col("_cut._hi"), F.col("_cut._fan"))
+        slice_ = F.col(SLICE) * (FANOUT + 2) + F.coalesce(bucket, F.lit(0))
+        out = out.withColumn(SLICE, slice_).drop("_cut")
         cut = True
     return out, cut
 
