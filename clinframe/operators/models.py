@@ -4,20 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     LogisticRegressionModel,
     MultilayerPerceptronClassifier,
 )
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinframe.operators.metrics import best_checkpoint, ranking_metrics
+from clinframe.operators.sequence import values
 from clinframe.schema import col
 
 #: Fixed values.
@@ -25,9 +24,14 @@ INVERSE_PENALTY = 1.0
 WIDTHS = (16, 64, 256, 1024)
 
 
+def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Adds the feature vector. Takes any column name, also one with a dot."""
+    return df.withColumn("_x", array_to_vector(values(features)))
+
+
 def fit_logistic(
     train: DataFrame, features: Sequence[str], label: str, inverse_penalty: float = INVERSE_PENALTY
-) -> PipelineModel:
+) -> LogisticRegressionModel:
     """Logistic regression with a quadratic penalty on the sum of losses."""
     rows = train.count()
     model = LogisticRegression(
@@ -37,16 +41,12 @@ def fit_logistic(
         elasticNetParam=0.0,
         standardization=False,
     )
-    return Pipeline(stages=[_assembler(features), model]).fit(train)
-
+    return model.fit(assembled(train, features))
 
-def _assembler(features: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="error")
 
-
-def score(model: PipelineModel, df: DataFrame, p: str = "p") -> DataFrame:
+def score(model, df: DataFrame, features: Sequence[str], p: str = "p") -> DataFrame:
     """Adds the probability of the positive class, or the value of a regression."""
-    out = model.transform(df)
+    out = model.transform(assembled(df, features))
     if "probability" in out.columns:
         value: Column = F.get(vector_to_array("probability"), F.lit(1))
     else:
@@ -63,19 +63,18 @@ def fit_gbt(
     depth: int = 5,
     step: float = 0.1,
     seed: int = 42,
-) -> PipelineModel:
+):
     """Boosted trees: a classifier for ``outcome`` and ``readmission``, a regressor for ``los``."""
     kind = GBTRegressor if task == "los" else GBTClassifier
     model = kind(
         featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=step, seed=seed
     )
-    return Pipeline(stages=[_assembler(features), model]).fit(train)
+    return model.fit(assembled(train, features))
 
 
-def coefficients(model: PipelineModel) -> list[float]:
+def coefficients(model: LogisticRegressionModel) -> list[float]:
     """Weights of a fitted linear model, in feature order."""
-    last: LogisticRegressionModel = model.stages[-1]
-    return [float(v) for v in last.coefficients]
+    return [float(v) for v in model.coefficients]
 
 
 def attribute_linear(

@@ -33,21 +33,21 @@ def _part(df: DataFrame, name: str) -> DataFrame:
 def logistic_scores(spark: SparkSession, sf: str) -> DataFrame:
     last = last_visits(spark, sf)
     model = models.fit_logistic(_part(last, "train"), LABS, "outcome")
-    return models.score(model, last).select("user_id", "split", *rounded(["p"]))
+    return models.score(model, last, LABS).select("user_id", "split", *rounded(["p"]))
 
 
 @query("boosted_tree_scores")
 def boosted_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
     last = last_visits(spark, sf)
     model = models.fit_gbt(_part(last, "train"), LABS, "outcome", trees=5, depth=3)
-    return models.score(model, last).select("user_id", "split", *rounded(["p"]))
+    return models.score(model, last, LABS).select("user_id", "split", *rounded(["p"]))
 
 
 @query("boosted_tree_stay")
 def boosted_tree_stay(spark: SparkSession, sf: str) -> DataFrame:
     last = last_visits(spark, sf)
     model = models.fit_gbt(_part(last, "train"), LABS, "los", task="los", trees=5, depth=3)
-    return models.score(model, last, "p_los").select("user_id", "split", *rounded(["p_los"]))
+    return models.score(model, last, LABS, "p_los").select("user_id", "split", *rounded(["p_los"]))
 
 
 #: Coefficients of a linear model over the test labs.

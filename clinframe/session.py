@@ -8,6 +8,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clinframe.schema import col
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by ``spark.checkpoint.dir``.
@@ -48,4 +50,4 @@ def stored(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """
     path = scratch(df.sparkSession)
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*map(col, df.columns))
