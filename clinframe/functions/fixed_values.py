@@ -187,6 +187,107 @@ ICU_UNITS = {
     "Weight": "kg",
 }
 
+# COVID labs, in table order and as spelt in the tables (blanks and signs count).
+COVID_LABS = (
+    "MAX_BLOOD_PRESSURE",
+    "MIN_BLOOD_PRESSURE",
+    "TEMPERATURE",
+    "HEART_RATE",
+    "OXYGEN_SATURATION",
+    "ADW -- Coeficiente de anisocitosis",
+    "ADW -- SISTEMATICO DE SANGRE",
+    "ALB -- ALBUMINA",
+    "AMI -- AMILASA",
+    "AP -- ACTIVIDAD DE PROTROMBINA",
+    "APTT -- TIEMPO DE CEFALINA (APTT)",
+    "AU -- ACIDO URICO",
+    "BAS -- Bas¢filos",
+    "BAS -- SISTEMATICO DE SANGRE",
+    "BAS% -- Bas¢filos %",
+    "BAS% -- SISTEMATICO DE SANGRE",
+    "BD -- BILIRRUBINA DIRECTA",
+    "BE(b) -- BE(b)",
+    "BE(b)V -- BE (b)",
+    "BEecf -- BEecf",
+    "BEecfV -- BEecf",
+    "BT -- BILIRRUBINA TOTAL",
+    "BT -- BILIRRUBINA TOTAL                                                               ",
+    "CA -- CALCIO                                                                          ",
+    "CA++ -- Ca++ Gasometria",
+    "CHCM -- Conc. Hemoglobina Corpuscular Media",
+    "CHCM -- SISTEMATICO DE SANGRE",
+    "CK -- CK (CREATINQUINASA)",
+    "CL -- CLORO",
+    "CREA -- CREATININA",
+    "DD -- DIMERO D",
+    "EOS -- Eosin¢filos",
+    "EOS -- SISTEMATICO DE SANGRE",
+    "EOS% -- Eosin¢filos %",
+    "EOS% -- SISTEMATICO DE SANGRE",
+    "FA -- FOSFATASA ALCALINA",
+    "FER -- FERRITINA",
+    "FIB -- FIBRINàGENO",
+    "FOS -- FOSFORO",
+    "G-CORONAV (RT-PCR) -- Tipo de muestra: Exudado Far¡ngeo/Nasofar¡ngeo",
+    "GGT -- GGT (GAMMA GLUTAMIL TRANSPEPTIDASA)",
+    "GLU -- GLUCOSA",
+    "GOT -- GOT (AST)",
+    "GPT -- GPT (ALT)",
+    "HCM -- Hemoglobina Corpuscular Media",
+    "HCM -- SISTEMATICO DE SANGRE",
+    "HCO3 -- HCO3-",
+    "HCO3V -- HCO3-",
+    "HCTO -- Hematocrito",
+    "HCTO -- SISTEMATICO DE SANGRE",
+    "HEM -- Hemat¡es",
+    "HEM -- SISTEMATICO DE SANGRE",
+    "HGB -- Hemoglobina",
+    "HGB -- SISTEMATICO DE SANGRE",
+    "INR -- INR",
+    "K -- POTASIO",
+    "LAC -- LACTATO",
+    "LDH -- LDH",
+    "LEUC -- Leucocitos",
+    "LEUC -- SISTEMATICO DE SANGRE",
+    "LIN -- Linfocitos",
+    "LIN -- SISTEMATICO DE SANGRE",
+    "LIN% -- Linfocitos %",
+    "LIN% -- SISTEMATICO DE SANGRE",
+    "MG -- MAGNESIO",
+    "MONO -- Monocitos",
+    "MONO -- SISTEMATICO DE SANGRE",
+    "MONO% -- Monocitos %",
+    "MONO% -- SISTEMATICO DE SANGRE",
+    "NA -- SODIO",
+    "NEU -- Neutr¢filos",
+    "NEU -- SISTEMATICO DE SANGRE",
+    "NEU% -- Neutr¢filos %",
+    "NEU% -- SISTEMATICO DE SANGRE",
+    "PCO2 -- pCO2",
+    "PCO2V -- pCO2",
+    "PCR -- PROTEINA C REACTIVA",
+    "PH -- pH",
+    "PHV -- pH",
+    "PLAQ -- Recuento de plaquetas",
+    "PLAQ -- SISTEMATICO DE SANGRE",
+    "PO2 -- pO2",
+    "PO2V -- pO2",
+    "PROCAL -- PROCALCITONINA",
+    "PT -- PROTEINAS TOTALES",
+    "SO2C -- sO2c (Saturaci¢n de ox¡geno)",
+    "SO2CV -- sO2c (Saturaci¢n de ox¡geno)",
+    "TCO2 -- tCO2(B)c",
+    "TCO2V -- tCO2 (B)",
+    "TP -- TIEMPO DE PROTROMBINA",
+    "TROPO -- TROPONINA",
+    "U -- UREA",
+    "VCM -- SISTEMATICO DE SANGRE",
+    "VCM -- Volumen Corpuscular Medio",
+    "VPM -- SISTEMATICO DE SANGRE",
+    "VPM -- Volumen plaquetar medio",
+    "VSG -- VSG",
+)
+
 # Words and bounds of the descriptions.
 RISK_LEVELS = ((0.5, "a low level"), (0.7, "a high level"))
 TOP_RISK = "an extremely high level"

@@ -14,7 +14,11 @@ QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
 def cohort_profile(
-    df: DataFrame, by: str, columns: Sequence[str], group_rows: int = GROUP_ROWS
+    df: DataFrame,
+    by: str,
+    columns: Sequence[str],
+    group_rows: int = GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles per cohort and column."""
     present = df.where(col(by).isNotNull())
@@ -38,7 +42,7 @@ def cohort_profile(
             )
         ),
     )
-    quartiles = exact_quantiles(present, columns, list(QUARTILES.values()), [by], group_rows)
+    quartiles = exact_quantiles(present, columns, list(QUARTILES.values()), [by], group_rows, largest)
     wide_quartiles = quartiles.groupBy(col(by), "feature").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for n, p in QUARTILES.items()]
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from clinframe.operators.skew import skewed_join
+from clinframe.operators.skew import BROADCAST_WIDE_ROWS, skewed_join
 from clinframe.schema import col
 
 #: Bytes of query vectors that may be sent to every executor.
@@ -235,7 +235,7 @@ def multi_corpus_topk(
 
 def fetch_passages(hits: DataFrame, corpus: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Title, content and vector of every hit. A document many queries hit is set apart."""
-    return skewed_join(hits, corpus, [doc_id])
+    return skewed_join(hits, corpus, [doc_id], bound=BROADCAST_WIDE_ROWS)
 
 
 def context_line(position: Column, title: Column, content: Column) -> Column:

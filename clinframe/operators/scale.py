@@ -38,6 +38,7 @@ def fit_trimmed_stats(
     lo: float = TRIM[0],
     hi: float = TRIM[1],
     group_rows: int = GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Mean, sample deviation and median of each feature between its own quantiles.
 
@@ -45,7 +46,7 @@ def fit_trimmed_stats(
     its row in place. Statistics without values are 0. The fitted table has one row per
     feature and is written once, so scaling several splits does not fit again.
     """
-    rows = largest_group(train)
+    rows = largest_group(train) if largest is None else largest
     bounds = materialise(exact_quantiles(train, features, [lo, hi], (), group_rows, rows))
     edges = bounds.groupBy("feature").agg(
         F.max(F.when(F.col("prob") == lo, F.col("value"))).alias("lo"),
@@ -101,12 +102,17 @@ def clip_outliers(df: DataFrame, features: Sequence[str], limit: float = OUTLIER
 
 
 def los_info(
-    train: DataFrame, schema: VisitSchema, stats: DataFrame, los: str, group_rows: int = GROUP_ROWS
+    train: DataFrame,
+    schema: VisitSchema,
+    stats: DataFrame,
+    los: str,
+    group_rows: int = GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """One row about length of stay: trimmed moments over visits; ``large_los`` and ``threshold``
     over the longest stay of each record (p95, and half the mean within [p5, p95])."""
     stays = train.groupBy(col(schema.key)).agg(F.max(col(los)).alias("stay"))
-    tails = exact_quantiles(stays, ["stay"], [0.05, 0.95], group_rows=group_rows).agg(
+    tails = exact_quantiles(stays, ["stay"], [0.05, 0.95], (), group_rows, largest).agg(
         F.max(F.when(F.col("prob") == 0.05, F.col("value"))).alias("p5"),
         F.max(F.when(F.col("prob") == 0.95, F.col("value"))).alias("p95"),
     )

@@ -19,8 +19,10 @@ from clinframe.session import materialise
 
 #: Rows of one group that a single task may sort.
 HOT_ROWS = 4_000_000
-#: Rows of a side table that may be broadcast (tens of bytes per row).
-BROADCAST_ROWS = 1_000_000
+#: Rows of a narrow side table that may be broadcast (up to about 150 bytes per row, 64 MB).
+BROADCAST_ROWS = 400_000
+#: The same for rows that hold texts or vectors.
+BROADCAST_WIDE_ROWS = 4_000
 #: Slices one level of cutting may make of one group.
 FANOUT = 4096
 #: Slices per ``hot_rows`` of a group: more than needed, since rows crowd somewhere.
@@ -53,9 +55,9 @@ def _axis(df: DataFrame, name: str) -> Column | None:
     return None
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
+def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` when its counted ``rows`` stay below the bound, else leave the choice open."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= bound else df
 
 
 def spread(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -71,25 +73,27 @@ def skewed_join(
     key: Sequence[str],
     rows: int | None = None,
     hot_rows: int = HOT_ROWS,
+    bound: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Inner join of ``many`` with ``one``, which has at most one row per key.
 
-    A small ``one`` is broadcast. Otherwise the keys that fill more than ``hot_rows`` rows of
+    A ``one`` of at most ``bound`` rows is broadcast. Otherwise the keys that fill more than ``hot_rows`` rows of
     ``many`` are set apart: their few rows of ``one`` are broadcast, so a hot key is never
     gathered in one task; all other keys are joined by shuffling.
     """
     if rows is None:
         rows = one.count()
-    if rows <= BROADCAST_ROWS and rows <= hot_rows:
+    if rows <= bound:
         return many.join(F.broadcast(one), list(key))
     counted = many.groupBy(*map(col, key)).agg(F.count(F.lit(1)).alias("_n"))
     hot = counted.where(F.col("_n") > hot_rows).drop("_n")
     if hot.isEmpty():
         return many.join(one, list(key))
     hot = materialise(hot)
-    few = small(hot, hot.count())
+    found = hot.count()
+    few = small(hot, found)
     hot_one = one.join(few, list(key), "left_semi")
-    apart = many.join(few, list(key), "left_semi").join(small(hot_one, hot.count()), list(key))
+    apart = many.join(few, list(key), "left_semi").join(small(hot_one, found, bound), list(key))
     rest = many.join(few, list(key), "left_anti").join(one, list(key))
     return apart.unionByName(rest)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinframe.operators import profile, scale, sequence, split
-from clinframe.operators.quantiles import largest_group
+from clinframe.operators.quantiles import GROUP_ROWS, largest_group
 from clinframe.operators.skew import HOT_ROWS
 from clinframe.schema import VisitSchema, col
 from clinframe.session import stored
@@ -59,19 +59,22 @@ def prepare_cohort(
 
     scaled_columns = [*schema.numeric, *schema.static, *([los] if los else [])]
     train = parted.where(F.col("split") == "train")
-    stats = scale.fit_trimmed_stats(train, scaled_columns)
-    info = scale.los_info(train, shape, stats, los) if los else None
+    rows = parted.count()
+    # No group is larger than the table: a small one needs no further looking.
+    bound = rows if rows <= GROUP_ROWS else None
+    largest = rows if rows <= hot_rows else largest_group(parted, [schema.key])
+    stats = scale.fit_trimmed_stats(train, scaled_columns, largest=bound)
+    info = scale.los_info(train, shape, stats, los, largest=bound) if los else None
 
     scaled = scale.clip_outliers(scale.zscore(parted, stats, scaled_columns), scaled_columns)
     if drop_empty:
         scaled = scale.drop_all_null(scaled, scaled_columns)
-    largest = largest_group(parted, [schema.key])
     filled = sequence.forward_fill(
         scaled, shape, shape.labs, stats=stats, hot_rows=hot_rows, largest=largest
     )
     gathered = sequence.to_sequences(filled, shape, hot_rows=hot_rows, largest=largest)
     raw = sequence.export_records(parted, shape, hot_rows=hot_rows, largest=largest)
-    summaries = profile.cohort_profile(parted, label, [*shape.static, *shape.labs])
+    summaries = profile.cohort_profile(parted, label, [*shape.static, *shape.labs], largest=bound)
     by_record = placed.select(col(schema.key), "split")
     return Cohort(
         split=placed,

@@ -158,3 +158,35 @@ def test_dotted_and_blank_names(spark):
     assert out.sequences.count() == 7
     model = models.fit_logistic(df.fillna(0.0), schema.numeric, "y")
     assert models.score(model, df.fillna(0.0), schema.numeric).count() == 70
+
+
+def test_presets_have_the_published_widths():
+    from clinframe import presets
+
+    icu, covid, dialysis = presets.ICU.schema, presets.COVID.schema, presets.DIALYSIS.schema
+    assert len(icu.labs) == 17 and len(icu.categorical) == 5
+    assert len(covid.labs) == 97 and len(set(covid.labs)) == 97 and len(dialysis.labs) == 17
+
+
+@pytest.mark.parametrize("name", ["ICU", "COVID", "DIALYSIS"])
+def test_presets_run_end_to_end(spark, name):
+    """Wide frames with odd names go through the whole preparation."""
+    from clinframe import presets
+
+    preset = getattr(presets, name)
+    s = preset.schema
+    k = F.col("id")
+    frame = spark.range(120).select(
+        F.format_string("p%d", k % 30).alias(s.patient or s.key),
+        *([(k % 2).alias(s.admission)] if s.admission else []),
+        F.expr("timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(0, int(id))").alias(s.time),
+        *[(k % 2).cast("double").alias(t) for t in s.targets],
+        *[(k % 5).cast("double").alias(t) for t in s.static],
+        *[F.when(k % 3 != j % 3, (k * (j + 1) % 17).cast("double")).alias(t) for j, t in enumerate(s.numeric)],
+        *[F.when(k % 4 != j % 4, (k % (j + 2)).cast("string")).alias(t) for j, t in enumerate(s.categorical)],
+    )
+    shaped = visits.select_schema(frame, s)
+    out = prepare_cohort(shaped, s, preset.label, 0.2, 0.25, los=preset.los, drop_empty=preset.drop_empty)
+    rows_ = out.sequences.collect()
+    assert sum(r["length"] for r in rows_) == 120
+    assert {len(v) for r in rows_ for v in r["x"]} == {len(out.schema.features)}
