@@ -21,15 +21,23 @@ MAX_LEVELS = 1000
 
 
 def by_feature(stats: DataFrame, features: Sequence[str], fields: Sequence[str]) -> Column:
-    """The rows of ``stats`` as one struct per feature (``f0``, ``f1``, …) for use in any select.
+    """The rows of ``stats`` for ``features``, in their order, as one array of structs for use in
+    any select; see :func:`fitted`.
 
-    A scalar subquery on one row per feature: computed once, no join, nothing collected.
+    A scalar subquery on one row per feature: computed once, and nothing is collected.
     """
-    picked = [
-        F.max(F.when(F.col("feature") == f, F.struct(*fields))).alias(f"f{i}")
-        for i, f in enumerate(features)
-    ]
-    return stats.agg(*picked).select(F.struct("*")).scalar()
+    listed = F.array(
+        *[F.struct(F.lit(i).alias("_i"), F.lit(f).alias("feature")) for i, f in enumerate(features)]
+    )
+    wanted = stats.sparkSession.range(1).select(F.inline(listed))
+    # As many rows as the schema has features.
+    row = wanted.join(F.broadcast(stats.select("feature", *fields)), "feature", "left")
+    return row.agg(F.array_sort(F.collect_list(F.struct("_i", *fields)))).scalar()
+
+
+def fitted(column: str, place: int, field: str) -> Column:
+    """One field of one feature from a column made by :func:`by_feature`."""
+    return F.get(F.col(column), F.lit(place))[field]
 
 
 def fit_trimmed_stats(
@@ -58,7 +66,7 @@ def fit_trimmed_stats(
     kept = limits.select(
         *[
             F.when(
-                (col(f) > F.col(f"_limits.f{i}.lo")) & (col(f) < F.col(f"_limits.f{i}.hi")), col(f)
+                (col(f) > fitted("_limits", i, "lo")) & (col(f) < fitted("_limits", i, "hi")), col(f)
             ).alias(f)
             for i, f in enumerate(features)
         ]
@@ -88,7 +96,7 @@ def zscore(df: DataFrame, stats: DataFrame, features: Sequence[str]) -> DataFram
     """Centre and scale ``features`` with fitted statistics."""
     out = df.withColumn("_fit", by_feature(stats, features, ["mean", "std"]))
     scaled = {
-        f: (col(f) - F.col(f"_fit.f{i}.mean")) / (F.col(f"_fit.f{i}.std") + EPSILON)
+        f: (col(f) - fitted("_fit", i, "mean")) / (fitted("_fit", i, "std") + EPSILON)
         for i, f in enumerate(features)
     }
     return out.withColumns(scaled).drop("_fit")
@@ -121,7 +129,7 @@ def los_info(
         F.col("stay").between(F.col("_t.p5"), F.col("_t.p95"))
     )
     half = middle.agg((F.avg("stay") * 0.5).alias("threshold"))
-    fitted = stats.where(F.col("feature") == los).select(
+    moments = stats.where(F.col("feature") == los).select(
         F.struct(
             F.col("mean").alias("los_mean"),
             F.col("std").alias("los_std"),
@@ -129,7 +137,7 @@ def los_info(
         )
     )
     return half.select(
-        fitted.scalar().alias("_s"),
+        moments.scalar().alias("_s"),
         tails.select("p95").scalar().alias("large_los"),
         "threshold",
     ).select("_s.*", "large_los", "threshold")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinframe.operators.quantiles import GROUP_ROWS, exact_quantiles
-from clinframe.operators.scale import by_feature
+from clinframe.operators.scale import by_feature, fitted
 from clinframe.operators.skew import HOT_ROWS, carry_forward, running_sums
 from clinframe.schema import VisitSchema, col
 
@@ -42,7 +42,7 @@ def forward_fill(
     if stats is not None:
         out = out.withColumn("_fit", by_feature(stats, names, ["default_fill"]))
         for i, n in enumerate(names):
-            given.setdefault(n, F.col(f"_fit.f{i}.default_fill"))
+            given.setdefault(n, fitted("_fit", i, "default_fill"))
     filled = {n: F.coalesce(col(n), *([given[n]] if n in given else []), F.lit(NO_FILL)) for n in names}
     return out.withColumns(filled).drop("_fit")
 

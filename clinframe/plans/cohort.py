@@ -66,9 +66,9 @@ def prepare_cohort(
     stats = scale.fit_trimmed_stats(train, scaled_columns, largest=bound)
     info = scale.los_info(train, shape, stats, los, largest=bound) if los else None
 
-    scaled = scale.clip_outliers(scale.zscore(parted, stats, scaled_columns), scaled_columns)
-    if drop_empty:
-        scaled = scale.drop_all_null(scaled, scaled_columns)
+    # A scaled value is missing where the raw one is, so empty rows can go before scaling.
+    kept = scale.drop_all_null(parted, scaled_columns) if drop_empty else parted
+    scaled = scale.clip_outliers(scale.zscore(kept, stats, scaled_columns), scaled_columns)
     filled = sequence.forward_fill(
         scaled, shape, shape.labs, stats=stats, hot_rows=hot_rows, largest=largest
     )

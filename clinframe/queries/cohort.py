@@ -283,7 +283,9 @@ def invert_scale(spark: SparkSession, sf: str) -> DataFrame:
     parted, stats = train_stats(spark, sf)
     scaled = scale.zscore(parted, stats, SCALED)
     fit = scaled.withColumn("_s", scale.by_feature(stats, ["los"], ["mean", "std"]))
-    back = scale.invert_scale(F.col("los"), F.col("_s.f0.mean"), F.col("_s.f0.std"))
+    back = scale.invert_scale(
+        F.col("los"), scale.fitted("_s", 0, "mean"), scale.fitted("_s", 0, "std")
+    )
     return fit.select("event_id", F.round(back, 6).alias("los"))
 
 

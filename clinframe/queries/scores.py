@@ -217,9 +217,10 @@ def prediction_los_info(spark: SparkSession, sf: str) -> DataFrame:
         ["p5", "p95"],
     )
     framed = preds.select("y_los", bounds.alias("_b"))
-    inside = F.col("y_los").between(F.col("_b.f0.p5"), F.col("_b.f0.p95"))
+    large = scale.fitted("_b", 0, "p95")
+    inside = F.col("y_los").between(scale.fitted("_b", 0, "p5"), large)
     return framed.agg(
-        F.round(F.max("_b.f0.p95"), 6).alias("large_los"),
+        F.round(F.max(large), 6).alias("large_los"),
         F.round(F.avg(F.when(inside, F.col("y_los"))) * 0.5, 6).alias("threshold"),
     )
 
