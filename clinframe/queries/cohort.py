@@ -542,13 +542,14 @@ def cohort_profile(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "cohort_profile_orders",
     f"WITH {i.ORDER_VISITS_SQL} "
-    + profile_sql(i.unpivot_sql("order_visits", ("o_totalprice", "c_acctbal"), "c_mktsegment"), "c_mktsegment", 3),
+    + profile_sql(i.unpivot_sql("order_visits", ("o_totalprice", "c_acctbal"), "c_mktsegment"), "c_mktsegment", 5),
 )
 def cohort_profile_orders(spark: SparkSession, sf: str) -> DataFrame:
     out = profile.cohort_profile(
         i.order_visits(spark, sf), "c_mktsegment", ("o_totalprice", "c_acctbal")
     )
-    return out.select("c_mktsegment", "feature", "count", *rounded(PROFILE, 3))
+    # Quartiles of cents have four decimals: five keep the comparison clear of ties.
+    return out.select("c_mktsegment", "feature", "count", *rounded(PROFILE, 5))
 
 
 _LAST = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
