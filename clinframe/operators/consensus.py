@@ -1,7 +1,8 @@
 """Rounds of reviewer responses: parsing, statements, stop rule, fusion and accounting.
 
-A panel is a handful of reviewers, so a group (patient, round) is small by design; hot
-patients cannot occur, and no pair of reviewers is ever joined.
+(patient, round, reviewer) is the key of a response, so a gathered group (patient, round) is as
+large as the panel, a handful. No pair of reviewers is ever joined: a panel is gathered once and
+each member leaves out its own entry.
 """
 
 from __future__ import annotations
