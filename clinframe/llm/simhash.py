@@ -61,12 +61,17 @@ def fingerprint(text: Column, width: int = SHINGLE) -> Column:
     return simhash(text.cast("binary"))
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits. Unsigned, as the count takes absolute values."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _stars(fps: np.ndarray) -> Iterator[tuple[int, int]]:
     """Edges that connect what is within ``BITS`` of each other in one bucket: a forest, not all
     pairs."""
     label = np.arange(len(fps))
     for i in range(len(fps) - 1):
-        near = i + 1 + np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= BITS)
+        near = i + 1 + np.flatnonzero(_apart(fps[i + 1 :], fps[i]) <= BITS)
         new = np.unique(label[near])
         new = new[new != label[i]]
         if len(new):
@@ -119,7 +124,7 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch], bucket: int) -> Iterator[pa
 def _closed(out, key, sub, fp, starts, sizes, bucket):
     starts = starts[: len(sizes)]
     two = starts[sizes == 2]
-    near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= BITS]
+    near = two[_apart(fp[two], fp[two + 1]) <= BITS]
     if len(near):
         yield out(fp[near], fp[near + 1], key[near], sub[near], False)
     for start, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
