@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinframe.llm import simhash
+from clinframe.llm import bitsliced, bpe, licenses, mixing, pii, repeats, reputation, simhash, spotsigs, toxicity
 from clinframe.llm.common import table
 from clinframe.queries.registry import Query
 
+#: Key of the surrogates. A deployment passes one of its own.
+PII_KEY = "surrogates of the registered query"
+#: Vocabulary of the registered query.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,3 +34,84 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", fingerprint.alias("fingerprint"), "component_id")
+
+
+TOP_SQL = """
+WITH parts AS (
+  SELECT vec_id, row_number() OVER () AS row, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos
+  FROM embeddings WHERE vec_id IS NOT NULL
+), q AS (
+  SELECT vec_id, list(CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) ORDER BY pos) AS v
+  FROM parts GROUP BY vec_id, row HAVING bool_and(x IS NOT NULL AND isfinite(x))
+), scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+         list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS score
+  FROM q a, q b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+
+@query("op3_bitsliced_topk", TOP_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    weights = toxicity.train(docs, labels, ~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.score(docs.select("doc_id", "text"), weights)
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity.score").alias("score"),
+        (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"),
+        F.col("toxicity.worst_start").alias("worst_start"),
+        F.col("toxicity.worst_end").alias("worst_end"),
+    )
+
+
+@query("op1_pii")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, key=PII_KEY)
+
+
+@query("op6_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    mixed = mixing.mix(docs)
+    taken = (F.col("copies") * F.col("size")).cast("long").alias("taken")
+    return mixed.select("doc_id", "size", "source_size", "target", taken, "source", "copies")
+
+
+@query("op7_licenses")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_join("licenses", ",").alias("licenses")
+    return found.select("doc_id", names, "license_sequence", "n_license_sentences")
+
+
+@query("op8_reputation")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    return reputation.judge(table(spark, sf_dir, "pages"), outcomes)
+
+
+@query("op9_bpe")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path(RANKS))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query("op10_spotsigs")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op5_repeats")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
