@@ -19,9 +19,9 @@ from clinframe.session import stored
 
 #: Titles by gender (m, f, or u for either). Fixed values.
 TITLES = {
-    "m": ("Mr", "Herr", "Monsieur", "Señor", "Don", "Sir", "господин", "Господин", "κύριος", "Κύριος"),
-    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "Doña", "госпожа", "Госпожа", "κυρία", "Κυρία"),
-    "u": ("Dr", "Prof", "Mx"),
+    "m": ("Mr", "Herr", "Monsieur", "Señor", "Sir", "MR", "HERR", "господин", "Господин", "κύριος", "Κύριος"),
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "MRS", "MS", "FRAU", "MME", "госпожа", "Госпожа", "κυρία", "Κυρία"),
+    "u": ("Dr", "Prof", "Mx", "DR"),
 }
 #: Given names by script and gender. Fixed values.
 GIVEN = {

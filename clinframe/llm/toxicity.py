@@ -78,12 +78,6 @@ def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(index, np.int32), np.array(sentence_at, np.int64), np.array(document_at, np.int64)
 
 
-def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs, 0 for empty ones."""
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return total[np.append(starts[1:], len(values))] - total[starts]
-
-
 def fit(texts: list[str], toxic: np.ndarray) -> np.ndarray:
     """Weights (``DIM`` of them, then the bias) by Adagrad on the documents' log-likelihood."""
     weights = np.zeros(DIM + 1, np.float32)
@@ -136,7 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column) -> bytes:
         yield pa.RecordBatch.from_pydict({"weights": [fit(texts, np.array(toxic)).tobytes()]})
 
     one = rows.select("text", "toxic", "at", "doc_id").repartition(1).sortWithinPartitions("at", "doc_id", "text")
-    return one.mapInArrow(fitted, "weights binary").first()["weights"]
+    found = one.mapInArrow(fitted, "weights binary").first()
+    return found["weights"] if found else fit([], np.zeros(0)).tobytes()
 
 
 class Scorer:
