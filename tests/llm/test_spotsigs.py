@@ -33,7 +33,7 @@ def corpus():
     pool = ["the", "of", "a", "und", "la", "que", *(f"w{k}" for k in range(60))]
     docs = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 80)))) for i in range(0, 90, 2)]
     base = " ".join(rng.choice(pool) for _ in range(300))
-    docs += [(200 + i, base + f" the end{i} of") for i in range(8)]
+    docs += [(200 + i, base + f" the end{i} tail of") for i in range(8)]
     docs += [(300, None), (301, ""), (302, "!!"), (303, "single"), (304, "no anchors here, none"), (305, "é" * 9), (4, docs[7][1]), (None, "null id the x y")]
     rng.shuffle(docs)
     return docs
