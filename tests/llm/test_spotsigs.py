@@ -77,7 +77,7 @@ def test_near_pairs(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {tuple(sorted((r["a"], r["b"]))): r["likeness"] for r in S.near_pairs(df).collect()}
     assert got == pytest.approx(want) and want
-    named = {(r["doc_id"], r["class_id"]) for r in S.near_classes(df).collect()}
+    named = [(r["doc_id"], r["class_id"]) for r in S.near_classes(df).collect()]
     assert len(named) == len(docs) and {c for d, c in named if 200 <= d < 208} == {200}
 
 
