@@ -33,37 +33,51 @@ ANCHORS = (
 CHAIN = 2
 #: Likeness of near copies.
 LIKE = 0.8
-#: Hex digits of a signature's hash.
-DIGITS = 12
 #: Ranges of ids at most, per level of two: neighbours are found range by range.
 FANOUT = 256
 #: Rows of one range, about.
 RANGE = 2000
 
-_COMMON = "(?:" + "|".join(dict.fromkeys(ANCHORS)) + ")"
 
 
-def _hashes(chains: Column) -> Column:
-    """Sorted distinct hashes, ``DIGITS`` hex digits each."""
-    short = F.transform(chains, lambda c: F.lower(F.substring(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), 1, DIGITS)))
-    return F.array_sort(F.array_distinct(short))
+def _tree(words: list[str]) -> str:
+    """A pattern for any of ``words`` that looks at each character once."""
+    rest: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        if word:
+            rest.setdefault(word[0], []).append(word[1:])
+    parts = [head + _tree(tails) for head, tails in rest.items()]
+    if not parts:
+        return ""
+    return f"(?:{'|'.join(parts)}){'?' if '' in words else ''}"
 
 
-def signatures(text: Column, chain: int = CHAIN) -> Column:
-    """Sorted array of a text's signature hashes, never empty.
+#: Stands before each common word.
+_MARK = "\x01"
+#: A common word, or a content word, with the common words before it.
+_SKIPPED = f"(?:{_MARK}[^ ]+ )*+"
+_CHAIN = f"(?<= )(?=({_MARK}[^ ]+ {f'{_SKIPPED}[^ ]+ ' * CHAIN}))"
+
+
+def signed(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds ``name``: the sorted array of the signature hashes of ``text`` (longs), never empty.
 
     A text without anchors followed by content words takes every word as an anchor; one without
     two words has a single signature, the hash of the text itself (null counts as empty).
     """
-    text = F.coalesce(text, F.lit(""))
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    content = rf"(?:{_COMMON} )*+[^ ]+ "
+    # Column by column, so that no pattern runs twice.
+    whole = F.coalesce(F.col(text), F.lit(""))
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(whole), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    marked = F.regexp_replace(spaced, f"(?<= )(?={_tree(ANCHORS)} )", _MARK)
     # Overlapping chains, so a lookahead: the match itself is empty, and its group is the chain.
-    found = F.regexp_extract_all(spaced, F.lit(rf"(?<= )(?=({_COMMON} {content * chain}))"), 1)
-    plain = F.transform(found, lambda c: F.regexp_replace(c, rf"(?<= ){_COMMON} ", ""))
-    pairs = F.regexp_extract_all(spaced, F.lit(r"(?<= )(?=([^ ]+ [^ ]+ ))"), 1)
-    some = F.when(F.size(plain) > 0, plain).otherwise(pairs)
-    return _hashes(F.when(F.size(some) > 0, some).otherwise(F.array(F.concat(F.lit("\n"), text))))
+    rows = rows.withColumn("_marked", marked)
+    rows = rows.withColumn("_chains", F.regexp_extract_all("_marked", F.lit(_CHAIN), 1))
+    plain = F.transform("_chains", lambda c: F.xxhash64(F.regexp_replace(c, f"(?<= ){_MARK}[^ ]+ ", "")))
+    pairs = F.regexp_extract_all("_marked", F.lit("(?<= )(?=([^ ]+ [^ ]+ ))"), 1)
+    rows = rows.withColumn("_hashes", F.when(F.size("_chains") > 0, plain).otherwise(F.transform(pairs, lambda c: F.xxhash64(c))))
+    alone = F.array(F.xxhash64(F.concat(F.lit("\n"), whole)))
+    found = F.when(F.size("_hashes") > 0, F.array_sort(F.array_distinct("_hashes"))).otherwise(alone)
+    return rows.withColumn(name, found).drop("_marked", "_chains", "_hashes")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -73,7 +87,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprint(signs: Column) -> Column:
-    return F.array_join(signs, "")
+    """16 hex digits per signature, in the order of the hashes."""
+    return F.lower(F.array_join(F.transform(signs, lambda s: F.lpad(F.hex(s), 16, "0")), ""))
 
 
 def _ranges(ids: DataFrame) -> tuple[list[list[int]], int]:
@@ -103,24 +118,24 @@ def _range_of(id_: Column, groups: list[list[int]]) -> Column:
     return group * wide + rest
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and next_text of every row: the text of the next document in the order of
-    descending doc_id, then of text; after the last comes the first. Null texts count as empty;
-    null ids come last.
+def with_next(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, next_text of every row, and each of ``carried`` with the next row's as
+    next_<name>: the next document in the order of descending doc_id, then of text; after the last
+    comes the first. Null texts count as empty; null ids come last.
 
     Texts are shuffled once, to ranges of ids. The first row of a range is also sent to the range
     before it, so no range has to look into another.
     """
     low = -(2**63)
     rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("_at"), "doc_id", F.coalesce("text", F.lit("")).alias("text")
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("_at"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), *carried
     )
     groups, _ = _ranges(rows.select(F.col("_at").alias("doc_id")))
     number = _range_of(F.col("_at"), groups)
     firsts = rows.select("_at", number.alias("range")).groupBy("range").agg(F.max("_at").alias("_first")).collect()
     firsts = sorted((r["range"], r["_first"]) for r in firsts)
     if not firsts:
-        return rows.select("doc_id", "text", F.lit(None).cast("string").alias("next_text"))
+        return rows.withColumns({f"next_{c}": F.col(c) for c in ("text", *carried)}).drop("_at")
     # Ranges rise with ids, so the order by descending id visits the last range first.
     guest_of = {first: firsts[(k + 1) % len(firsts)][0] for k, (_, first) in enumerate(firsts)}
     spark = docs.sparkSession
@@ -129,10 +144,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     own = F.struct(F.col("_range").alias("range"), F.lit(0).alias("guest"))
     other = F.struct(F.col("_guest").alias("range"), F.lit(1).alias("guest"))
     both = F.when(F.col("_guest").isNull(), F.array(own)).otherwise(F.array(own, other))
-    sent = placed.select("_at", "doc_id", "text", F.explode(both).alias("_to"))
+    sent = placed.select("_at", "doc_id", "text", *carried, F.explode(both).alias("_to"))
     order = Window.partitionBy("_to.range").orderBy("_to.guest", F.desc("_at"), "text")
-    sent = sent.withColumn("next_text", F.lead("text").over(order)).where("_to.guest = 0")
-    return sent.select("doc_id", "text", "next_text")
+    sent = sent.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", *carried)})
+    return sent.where("_to.guest = 0").drop("_at", "_to")
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -149,30 +164,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     A single document is its own next one. Repeated rows follow one another. Other columns are not
     read.
     """
-    rows = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    signed = rows.select(
+    rows = signed(docs.select("doc_id", "text"), "text", "own")
+    rows = with_next(rows, ("own",)).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    rows = signed(rows, "edited", "changed")
+    return rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        signatures(F.col("text")).alias("own"),
-        signatures(F.col("edited")).alias("changed"),
-        signatures(F.col("next_text")).alias("next"),
-    )
-    return signed.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
         fingerprint(F.col("own")).alias("fingerprint"),
         fingerprint(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next")).alias("near_next"),
+        likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )
 
 
 def near_pairs(docs: DataFrame, like: float = LIKE) -> DataFrame:
     """Pairs (a, b, likeness) of distinct fingerprints whose likeness is at least ``like``; a and b
     are the smallest doc_ids of their classes of equal fingerprints."""
-    signs = docs.select("doc_id", signatures(F.col("text")).alias("signs"))
+    signs = signed(docs.select("doc_id", "text"), "text", "signs")
     sets = stored(signs.groupBy("signs").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
     each = sets.select("rep", F.size("signs").alias("n"), F.explode("signs").alias("sign"))
     counted = each.groupBy("sign").agg(F.count(F.lit(1)).alias("seen"))
@@ -196,7 +205,8 @@ def near_pairs(docs: DataFrame, like: float = LIKE) -> DataFrame:
 def near_classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
     """doc_id and class_id of every row: the smallest doc_id that pairs of ``near_pairs`` reach."""
     labels = components(near_pairs(docs, like).select("a", "b")).withColumnRenamed("node", "rep")
-    signed = docs.select("doc_id", F.sha2(fingerprint(signatures(F.col("text"))), 256).alias("key"))
-    reps = signed.groupBy("key").agg(F.min("doc_id").alias("rep")).join(labels, "rep", "left")
+    rows = signed(docs.select("doc_id", "text"), "text", "signs")
+    rows = stored(rows.select("doc_id", F.sha2(fingerprint(F.col("signs")), 256).alias("key")))
+    reps = rows.groupBy("key").agg(F.min("doc_id").alias("rep")).join(labels, "rep", "left")
     reps = stored(reps.select("key", F.coalesce("label", "rep").alias("class_id")))
-    return signed.join(reps, "key").select("doc_id", "class_id")
+    return rows.join(reps, "key").select("doc_id", "class_id")
