@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,18 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def any_of(words: Iterable[str]) -> str:
+    """A pattern for any of ``words`` that looks at each character once."""
+    rest: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        if word:
+            rest.setdefault(word[0], []).append(word[1:])
+    parts = [head + any_of(tails) for head, tails in rest.items()]
+    if not parts:
+        return ""
+    return f"(?:{'|'.join(parts)}){'?' if '' in words else ''}"
+
+
 def shuffle_tasks(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, for steps that sort within partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clinframe.llm.common import any_of
 from clinframe.session import stored
 
 #: Titles by gender (m, f, or u for either). Fixed values.
@@ -47,28 +48,26 @@ ENDINGS = {
 #: Rounds of drawing after which something must be wrong.
 ROUNDS = 64
 
-_TITLE = "(?:" + "|".join(t for own in TITLES.values() for t in own) + r")\.?"
+_TITLE = any_of(t for own in TITLES.values() for t in own) + r"\.?"
 _WORD = r"\p{Lu}[\p{L}'’\-]{1,29}"
-_NAME = (
-    rf"(?<=(?<!\p{{L}}){_TITLE} ){_WORD}"
-    rf"|(?<=(?<!\p{{L}}){_TITLE} {_WORD} ){_WORD}"
-    rf"|(?<=(?<!\p{{L}}){_TITLE} {_WORD} {_WORD} ){_WORD}"
-)
-#: Patterns by type, in the order in which they are tried.
+# What a match must begin with, or stand behind, is asked first: looking further back is costly.
+_NAME = rf"(?=\p{{Lu}})(?<= )(?:{'|'.join(rf'(?<=(?<!\p{{L}}){_TITLE} {words}){_WORD}' for words in ('', _WORD + ' ', _WORD + ' ' + _WORD + ' '))})"
+#: Patterns in the order in which they are tried; numbers are told apart afterwards.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
-    "secret": r"(?<=(?:token|secret|password|passwd|key)\s{0,2}[=:]\s{0,2}[\"'])[^\"'\s]{8,}(?=[\"'])",
-    "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "card": r"(?<![\d.])(?:\d{4}[ \-]){3}\d{4}(?!\d)|(?<![\d.])\d{13,19}(?!\d)",
-    "phone": r"(?<![\p{L}\p{N}])\+\d{1,3}(?:[ .\-]?\(\d{1,4}\)|[ .\-]?\d{2,4})(?:[ .\-]?\d{2,4}){1,4}(?!\d)"
-    r"|(?<![\p{L}\p{N}.\-])(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)",
+    "secret": r"(?<=[\"'])(?<=(?:token|secret|password|passwd|key)\s{0,2}[=:]\s{0,2}[\"'])[^\"'\s]{8,}(?=[\"'])",
+    "iban": r"(?=[A-Z]{2}\d{2})(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "number": r"(?=[\d+(])(?:"
+    r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
+    r"|(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
+    r"|(?<![\d.])(?:\d{4}[ \-]){3}\d{4}(?!\d)|(?<![\d.])\d{13,19}(?!\d)"
+    r"|(?<![\p{L}\p{N}])\+\d{1,3}(?:[ .\-]?\(\d{1,4}\)|[ .\-]?\d{2,4})(?:[ .\-]?\d{2,4}){1,4}(?!\d)"
+    r"|(?<![\p{L}\p{N}.\-])(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d))",
     "name": _NAME,
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must hold for any pattern to match.
-_HINT = rf"[0-9@]|(?:token|secret|password|passwd|key)\s?|(?<!\p{{L}}){_TITLE} "
+_HINT = rf"[0-9@]|(?:token|secret|password|passwd|key)\s{{0,2}}[=:]|(?<!\p{{L}}){_TITLE} "
 
 _DIGIT = r"^\d$"
 

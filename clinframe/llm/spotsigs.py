@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clinframe.llm.common import components
+from clinframe.llm.common import any_of, components
 from clinframe.session import stored
 
 #: Common words of four languages. Fixed values.
@@ -38,20 +38,6 @@ FANOUT = 256
 #: Rows of one range, about.
 RANGE = 2000
 
-
-
-def _tree(words: list[str]) -> str:
-    """A pattern for any of ``words`` that looks at each character once."""
-    rest: dict[str, list[str]] = {}
-    for word in sorted(set(words)):
-        if word:
-            rest.setdefault(word[0], []).append(word[1:])
-    parts = [head + _tree(tails) for head, tails in rest.items()]
-    if not parts:
-        return ""
-    return f"(?:{'|'.join(parts)}){'?' if '' in words else ''}"
-
-
 #: Stands before each common word.
 _MARK = "\x01"
 #: A common word, or a content word, with the common words before it.
@@ -68,7 +54,7 @@ def signed(rows: DataFrame, text: str, name: str) -> DataFrame:
     # Column by column, so that no pattern runs twice.
     whole = F.coalesce(F.col(text), F.lit(""))
     spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(whole), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    marked = F.regexp_replace(spaced, f"(?<= )(?={_tree(ANCHORS)} )", _MARK)
+    marked = F.regexp_replace(spaced, f"(?<= )(?={any_of(ANCHORS)} )", _MARK)
     # Overlapping chains, so a lookahead: the match itself is empty, and its group is the chain.
     rows = rows.withColumn("_marked", marked)
     rows = rows.withColumn("_chains", F.regexp_extract_all("_marked", F.lit(_CHAIN), 1))
