@@ -39,9 +39,10 @@ def advice_desc(change: Column) -> Column:
 
 
 def range_desc(value: Column, lo: Column, hi: Column) -> Column:
-    """Below, above or within the range, by percent of the bound; empty without a range."""
-    below = number_text((lo - value) / lo * 100)
-    above = number_text((value - hi) / hi * 100)
+    """Below, above or within the range, by percent of the bound; empty without a range, NULL beyond
+    a bound of zero."""
+    below = number_text(F.try_divide(lo - value, lo) * 100)
+    above = number_text(F.try_divide(value - hi, hi) * 100)
     return (
         F.when(lo.isNull() | hi.isNull(), F.lit(""))
         .when(value < lo, F.format_string(fixed.BELOW_RANGE, below))

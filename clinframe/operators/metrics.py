@@ -180,7 +180,7 @@ def osmae_term(
     """Outcome-specific error of one prediction: the length-of-stay error when the class is
     right, the distance of both stays to a very long stay when wrong, fading with long stays."""
     fade = F.when(y_los <= threshold, F.lit(1.0)).otherwise(
-        F.greatest(F.lit(0.0), (y_los - large_los) / (threshold - large_los))
+        F.greatest(F.lit(0.0), F.coalesce(F.try_divide(y_los - large_los, threshold - large_los), F.lit(0.0)))
     )
     right = (p > THRESHOLD).cast("int") == y
     missed = F.greatest(F.lit(0.0), large_los - p_los) + F.greatest(F.lit(0.0), large_los - y_los)
@@ -191,7 +191,7 @@ def early_terms(
     y: Column, p: Column, y_los: Column, threshold: Column, penalty: float = EARLY_PENALTY
 ) -> tuple[Column, Column]:
     """Early score of one prediction, and the best it could have been."""
-    share = F.least(F.lit(1.0), y_los / threshold)
+    share = F.least(F.lit(1.0), F.coalesce(F.try_divide(y_los, threshold), F.lit(1.0)))
     positive, called = y == 1, p > THRESHOLD
     got = (
         F.when(called & positive, share)
@@ -302,13 +302,15 @@ def best_checkpoint(
 def percentile_rank(
     df: DataFrame, by: Sequence[str], p: str = "p", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Adds ``share``: the fraction of the group's values at or below the row's own.
+    """Adds ``share``: the fraction of the group's values at or below the row's own; NULL for a
+    missing value, which does not count.
 
     Works on counts per distinct value, so equal values meet in one row before any ordering.
     """
-    counted = stored(df.groupBy(*map(col, by), col(p)).agg(F.count(F.lit(1)).alias("_c")))
+    known = df.where(col(p).isNotNull())
+    counted = stored(known.groupBy(*map(col, by), col(p)).agg(F.count(F.lit(1)).alias("_c")))
     ranked = running_sums(counted, by, [(p, "asc")], {"_upto": F.col("_c")}, hot_rows, totals=True)
     shares = ranked.select(
         *map(col, by), col(p), (F.col("_upto") / F.col("_upto_total")).alias("share")
     )
-    return skewed_join(df, shares, [*by, p], counted.count(), hot_rows)
+    return skewed_join(df, shares, [*by, p], counted.count(), hot_rows, how="left")

@@ -12,7 +12,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinframe.operators.metrics import best_checkpoint, ranking_metrics
@@ -72,6 +72,12 @@ def fit_gbt(
     return model.fit(assembled(train, features))
 
 
+def importances(spark: SparkSession, model, features: Sequence[str]) -> DataFrame:
+    """``(feature, importance)`` of fitted trees; importances add up to 1, or are all 0."""
+    rows = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)]
+    return spark.createDataFrame(rows, "feature string, importance double")
+
+
 def coefficients(model: LogisticRegressionModel) -> list[float]:
     """Weights of a fitted linear model, in feature order."""
     return [float(v) for v in model.coefficients]

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clinframe.operators.skew import small
+from clinframe.operators.skew import BROADCAST_ROWS, null_safe_join
 from clinframe.schema import col
 from clinframe.session import materialise
 
@@ -79,8 +79,14 @@ def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
 
 
 def _bracketed(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    by: Sequence[str],
+    whole: bool = False,
 ) -> DataFrame:
+    """Quantiles through brackets around their ranks. A sketch that misses a rank is noticed, and
+    the work repeated with the ``whole`` range as the bracket."""
     group = [*by, "feature"]
     reach = 2.0 / SKETCH
     edges = [max(0.0, p - reach) for p in probs] + [min(1.0, p + reach) for p in probs]
@@ -96,7 +102,7 @@ def _bracketed(
     groups = sketch.count()
 
     def edge(i: int, p: float, open_end: Column) -> Column:
-        outside = (F.col("n") <= TINY) | F.lit(p <= 0.0 or p >= 1.0)
+        outside = (F.col("n") <= TINY) | F.lit(whole or p <= 0.0 or p >= 1.0)
         return F.when(outside, open_end).otherwise(F.get("edges", F.lit(i)))
 
     brackets = sketch.select(
@@ -120,7 +126,7 @@ def _bracketed(
         inside, F.coalesce(F.width_bucket("value", F.col("b.lo"), F.col("b.hi"), F.lit(PARTS)), F.lit(1))
     ).otherwise(F.lit(-1))
     counted = (
-        cells.join(small(brackets, groups), group)
+        null_safe_join(cells, brackets, group, hint=groups <= BROADCAST_ROWS)
         .select(*map(col, group), "value", F.explode("brackets").alias("b"))
         .where(F.col("value") <= F.col("b.hi"))
         .groupBy(
@@ -145,17 +151,20 @@ def _bracketed(
         .select(*map(col, cell), "part", "before")
     )
     within = Window.partitionBy(*map(col, cell), "part").orderBy("value")
-    ranked = counted.join(small(wanted, 2 * groups * len(probs)), [*cell, "part"]).withColumn(
+    few = 2 * groups * len(probs) <= BROADCAST_ROWS
+    ranked = null_safe_join(counted, wanted, [*cell, "part"], hint=few).withColumn(
         "upto", F.col("before") + F.sum("c").over(within)
     )
     picked = ranked.groupBy(*map(col, cell), "rank").agg(
+        F.bool_or(F.col("part") == -1).alias("missed"),
         F.min(F.when(F.col("upto") > first, F.col("value"))).alias("v0"),
         F.min(F.when(F.col("upto") > second, F.col("value"))).alias("v1"),
     )
     value = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("rank") - first)
-    found = picked.select(*map(col, cell), value.alias("value"))
-    if by:
-        return found
+    missed = F.col("missed") | F.col("v0").isNull() | F.col("v1").isNull()
+    found = materialise(picked.select(*map(col, cell), value.alias("value"), missed.alias("missed")))
+    if not whole and (found.where("missed").count() or found.count() < groups * len(probs)):
+        return _bracketed(df, columns, probs, by, whole=True)
     every = F.array(
         *[
             F.struct(F.lit(c).alias("feature"), F.lit(float(p)).alias("prob"))
@@ -163,5 +172,7 @@ def _bracketed(
             for p in probs
         ]
     )
-    listed = df.sparkSession.range(1).select(F.inline(every))
-    return listed.join(F.broadcast(found), ["feature", "prob"], "left")
+    # Groups without values are listed too.
+    listed = df.select(*map(col, by)).distinct() if by else df.sparkSession.range(1)
+    listed = listed.select(*map(col, by), F.inline(every))
+    return null_safe_join(listed, found.drop("missed"), cell, "left", hint=found.count() <= BROADCAST_ROWS)

@@ -46,9 +46,9 @@ def _best(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int):
 class _Nearest:
     """The k best corpus rows per query and group seen so far in one task."""
 
-    def __init__(self, query_ids, queries: np.ndarray, k: int, metric: str, skip_same: bool):
+    def __init__(self, query_ids, queries: np.ndarray, k: int, metric: str, skip_same: bool, decimals: int):
         self.query_ids, self.queries = np.asarray(query_ids), queries
-        self.k, self.metric, self.skip_same = k, metric, skip_same
+        self.k, self.metric, self.skip_same, self.decimals = k, metric, skip_same, decimals
         self.norms = (queries * queries).sum(axis=1)
         self.found: dict = {}
         self.rows = max(1, SCORE_BYTES // (8 * max(1, len(queries))))
@@ -62,7 +62,7 @@ class _Nearest:
         if self.metric == "l2":
             squared = self.norms[:, None] + (vectors * vectors).sum(axis=1)[None, :] - 2 * scores
             scores = -np.maximum(squared, 0.0)
-        scores = np.round(scores, DECIMALS)
+        scores = np.round(scores, self.decimals)
         if self.skip_same:
             scores[self.query_ids[:, None] == ids[None, :]] = -np.inf
         if len(ids) > self.k:
@@ -95,12 +95,14 @@ def topk_inner_product(
     skip_same: bool = False,
     query_bytes: int = QUERY_BYTES,
     block_bytes: int = BLOCK_BYTES,
+    decimals: int = DECIMALS,
 ) -> DataFrame:
     """Exact k best corpus rows per query: ``(query_id[, within], doc_id, score, rank)``.
 
     ``within`` searches each of its values on its own. ``metric`` is ``ip`` (inner product)
     or ``l2`` (score = minus squared distance). Every task multiplies whole blocks and emits
-    only its own k best, so no pair is ever a row.
+    only its own k best, so no pair is ever a row. Vectors that are NULL or hold NULL, and those
+    of another length than the longest query, take no part; a NULL ``within`` is a group.
 
     Query sets up to ``query_bytes`` go to the executors and the corpus is read in place.
     Larger ones are cut into blocks, as is the corpus, and each pair of blocks is one group.
@@ -116,11 +118,16 @@ def topk_inner_product(
             StructField("score", DoubleType()),
         ]
     )
+    # A vector that is missing, holds missing values or is not as long as the queries scores nothing.
+    whole = lambda v: F.col(v).isNotNull() & ~F.exists(v, lambda x: x.isNull())
+    q = q.where(whole("q_vec") & F.col("q_id").isNotNull())
     count, dim = q.agg(F.count(F.lit(1)), F.max(F.size("q_vec"))).first()
+    q = q.where(F.size("q_vec") == F.lit(dim or 0))
+    c = c.where(whole("c_vec") & (F.size("c_vec") == F.lit(dim or 0)))
     if count * (dim or 1) * 8 <= query_bytes:
-        local = _search_broadcast(q, c, k, metric, skip_same, schema)
+        local = _search_broadcast(q, c, k, metric, skip_same, decimals, schema)
     else:
-        local = _search_blocks(q, c, k, metric, skip_same, schema, count, dim, block_bytes)
+        local = _search_blocks(q, c, k, metric, skip_same, decimals, schema, count, dim, block_bytes)
     best = Window.partitionBy("q_id", "grp").orderBy(F.desc("score"), "c_id")
     ranked = local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select(
@@ -133,7 +140,7 @@ def topk_inner_product(
 
 
 def _search_broadcast(
-    q: DataFrame, c: DataFrame, k: int, metric: str, skip_same: bool, schema: StructType
+    q: DataFrame, c: DataFrame, k: int, metric: str, skip_same: bool, decimals: int, schema: StructType
 ) -> DataFrame:
     table = q.toArrow()  # at most QUERY_BYTES, checked by the caller
     ids = table.column("q_id").to_numpy()
@@ -144,7 +151,7 @@ def _search_broadcast(
         ids, matrix = shipped.value
         if len(ids) == 0:
             return
-        nearest = _Nearest(ids, matrix, k, metric, skip_same)
+        nearest = _Nearest(ids, matrix, k, metric, skip_same, decimals)
         types = None
         for batch in batches:
             if batch.num_rows == 0:
@@ -155,7 +162,7 @@ def _search_broadcast(
             flat = batch.column("c_vec").flatten().to_numpy(zero_copy_only=False)
             vectors = flat.astype(np.float64).reshape(batch.num_rows, -1)
             for value in pd.unique(groups):
-                mine = groups == value
+                mine = pd.isna(groups) if pd.isna(value) else groups == value
                 nearest.add(value, names[mine], vectors[mine])
         for value, query, found, score in nearest.results():
             yield pa.RecordBatch.from_arrays(
@@ -177,6 +184,7 @@ def _search_blocks(
     k: int,
     metric: str,
     skip_same: bool,
+    decimals: int,
     schema: StructType,
     count: int,
     dim: int,
@@ -192,19 +200,25 @@ def _search_blocks(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<bigint>"))
     )
 
-    def search(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if len(mine) == 0 or len(theirs) == 0:
-            return pd.DataFrame({"q_id": [], "grp": [], "c_id": [], "score": []})
-        nearest = _Nearest(mine["q_id"].to_numpy(), _matrix(mine["q_vec"]), k, metric, skip_same)
-        for value, part in theirs.groupby("grp", sort=False):
-            nearest.add(value, part["c_id"].to_numpy(), _matrix(part["c_vec"]))
-        found = [
-            pd.DataFrame({"q_id": query, "grp": value, "c_id": ids, "score": score})
-            for value, query, ids, score in nearest.results()
-        ]
-        return pd.concat(found)
+    def search(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        types = [mine.schema.field("q_id").type, *[theirs.schema.field(n).type for n in ("grp", "c_id")], pa.float64()]
+        names = ["q_id", "grp", "c_id", "score"]
+        parts = []
+        if mine.num_rows and theirs.num_rows:
+            ids = mine.column("q_id").to_numpy()
+            nearest = _Nearest(ids, _matrix(mine.column("q_vec").to_pylist()), k, metric, skip_same, decimals)
+            groups = np.array(theirs.column("grp").to_pylist(), dtype=object)
+            found, vectors = theirs.column("c_id").to_numpy(), _matrix(theirs.column("c_vec").to_pylist())
+            for value in pd.unique(groups):
+                own = pd.isna(groups) if pd.isna(value) else groups == value
+                nearest.add(None if pd.isna(value) else value, found[own], vectors[own])
+            for value, query, hits, score in nearest.results():
+                columns = (query, [value] * len(query), hits, score)
+                arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+                parts.append(pa.Table.from_arrays(arrays, names))
+        return pa.concat_tables(parts) if parts else pa.schema(list(zip(names, types, strict=True))).empty_table()
 
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(search, schema)
+    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(search, schema)
 
 
 def multi_corpus_topk(
@@ -235,7 +249,7 @@ def multi_corpus_topk(
 
 def fetch_passages(hits: DataFrame, corpus: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Title, content and vector of every hit. A document many queries hit is set apart."""
-    return skewed_join(hits, corpus, [doc_id], bound=BROADCAST_WIDE_ROWS)
+    return skewed_join(hits, corpus, [doc_id], bound=BROADCAST_WIDE_ROWS, most_bytes=QUERY_BYTES)
 
 
 def context_line(position: Column, title: Column, content: Column) -> Column:

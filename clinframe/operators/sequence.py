@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clinframe.operators.quantiles import GROUP_ROWS, exact_quantiles
 from clinframe.operators.scale import by_feature, fitted
-from clinframe.operators.skew import HOT_ROWS, carry_forward, running_sums
+from clinframe.operators.skew import HOT_ROWS, carry_forward, null_safe_join, running_sums
 from clinframe.schema import VisitSchema, col
 
 #: Fill where a feature has no value of its own (fixed value).
@@ -72,8 +72,8 @@ def raw_fill(
     )
     fills = {n: F.col(f"_median_{i}") for i, n in enumerate(names)}
     if fit_on is None:
-        # One row per split name.
-        wide = df.join(F.broadcast(per_split), split)
+        # One row per split name; a split without values keeps its rows, and their gaps take -1.
+        wide = null_safe_join(df, per_split, [split], "left", hint=True)
     else:
         row = per_split.select(F.struct("*")).scalar()
         wide = df.withColumn("_medians", row)

@@ -7,8 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
-from pyspark.ml import Pipeline
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -17,12 +15,16 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from clinframe.operators.retrieval import DECIMALS, topk_inner_product
 from clinframe.schema import col
+from clinframe.session import materialise
 
 #: Fixed values.
 SMALL_BANDWIDTH = 1e-3
 MAX_ITERATIONS = 1000
 #: Centers that may be sent to every executor.
 MAX_CENTERS = 4096
+#: Words of a text, and buckets their hashes fall into.
+TERM = r"[^\x20\x09-\x0D]+"
+DIM = 256
 
 
 def kernel_bandwidth(vectors: DataFrame, vector: str = "vector") -> DataFrame:
@@ -105,14 +107,17 @@ def assign_centers(
     id_column: str = "record_id",
     center_id: str = "center",
     vector: str = "vector",
+    most: int = MAX_CENTERS,
 ) -> DataFrame:
     """Nearest center of every row by squared distance, the lowest center on ties.
 
-    The number of centers is checked, then they go to every executor; rows stay in place.
+    Up to ``most`` centers go to every executor and rows stay in place; more are searched by
+    blocks of both sides.
     """
-    rows = centers.select(col(center_id), col(vector)).limit(MAX_CENTERS + 1).collect()
-    if len(rows) > MAX_CENTERS:
-        raise ValueError(f"more than {MAX_CENTERS} centers: use topk_inner_product(metric='l2')")
+    rows = centers.select(col(center_id), col(vector)).limit(most + 1).collect()
+    if len(rows) > most:
+        hits = topk_inner_product(vectors, centers, 1, id_column, center_id, vector, metric="l2")
+        return hits.select(col(id_column), col(center_id).cast("int").alias(center_id), (-F.col("score")).alias("distance"))
     rows = sorted(rows, key=lambda r: r[0])
     names = np.asarray([r[0] for r in rows])
     matrix = np.asarray([r[1] for r in rows], dtype=np.float64)
@@ -148,17 +153,34 @@ def assign_centers(
     return vectors.select(col(id_column), col(vector)).mapInArrow(assign, out)
 
 
+def _terms(df: DataFrame, id_column: str, text: Column, dim: int) -> DataFrame:
+    """``(id, bucket, n)``: how often the words of each bucket occur in a text."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), 0)
+    each = df.select(col(id_column), F.explode(words).alias("_word"))
+    bucket = F.conv(F.substring(F.md5(F.col("_word").cast("binary")), 1, 8), 16, 10).cast("bigint") % dim
+    return each.groupBy(col(id_column), bucket.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def term_weights(corpus: DataFrame, id_column: str, text: Column, dim: int = DIM) -> DataFrame:
+    """``(bucket, idf)``: ln((documents + 1) / (documents with the bucket + 1)); at most ``dim``
+    rows, written once."""
+    documents = corpus.agg(F.count(F.lit(1)).alias("_docs")).scalar()
+    seen = _terms(corpus, id_column, text, dim).groupBy("bucket").agg(F.count(F.lit(1)).alias("_df"))
+    return materialise(seen.select("bucket", F.log((documents + 1) / (F.col("_df") + 1)).alias("idf")))
+
+
 def hashed_tfidf(
-    corpus: DataFrame, dim: int = 1 << 18, title: str = "title", content: str = "content"
+    df: DataFrame, id_column: str, text: Column, weights: DataFrame, dim: int = DIM
 ) -> DataFrame:
-    """Adds ``vector``: unit-length hashed TF-IDF of title and content, so that an inner product
-    is a cosine. Stands in for a neural encoder."""
-    text = corpus.withColumn("_text", F.concat_ws(" ", col(title), col(content)))
-    stages = [
-        RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="vector"),
-    ]
-    out = Pipeline(stages=stages).fit(text).transform(text)
-    return out.drop("_text", "_words", "_tf", "_tfidf")
+    """``(id, vector)``: unit-length hashed TF-IDF of a text as ``dim`` doubles, so that an inner
+    product is a cosine. Stands in for a neural encoder. A text without known words has zeros."""
+    # One row per bucket, so at most ``dim`` of them.
+    cells = _terms(df, id_column, text, dim).join(F.broadcast(weights), "bucket")
+    cell = F.struct("bucket", (F.col("n") * F.col("idf")).alias("v"))
+    rows = cells.groupBy(col(id_column)).agg(
+        F.map_from_entries(F.collect_list(cell)).alias("_cells"),
+        F.sqrt(F.sum(F.pow(F.col("n") * F.col("idf"), 2))).alias("_norm"),
+    )
+    every = df.select(col(id_column)).join(rows, id_column, "left")
+    value = lambda b: F.coalesce(F.try_divide(F.try_element_at("_cells", b), F.col("_norm")), F.lit(0.0))
+    return every.select(col(id_column), F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value).alias("vector"))

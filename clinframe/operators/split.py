@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinframe.functions.hashing import unit_hash
-from clinframe.operators.skew import HOT_ROWS, running_sums, skewed_join, small
+from clinframe.operators.skew import BROADCAST_ROWS, HOT_ROWS, null_safe_join, running_sums, skewed_join
 from clinframe.schema import VisitSchema, col
 from clinframe.session import materialise, stored
 
@@ -77,7 +77,7 @@ def stratified_split(
         .when(F.col("_place") <= F.col("n_test") + F.col("n_val"), "val")
         .otherwise("train")
     )
-    joined = placed.join(small(quotas.drop("n"), strata), label)
+    joined = null_safe_join(placed, quotas.drop("n"), [label], hint=strata <= BROADCAST_ROWS)
     return joined.select(col(key), col(label), split.alias("split"))
 
 

@@ -57,7 +57,7 @@ def prepare_cohort(
     placed = stored(split.stratified_split(labels, schema.key, label, test, val, seed, hot_rows))
     parted = stored(split.apply_split(prepared, placed, schema.key, hot_rows=hot_rows), ["split"])
 
-    scaled_columns = [*schema.numeric, *schema.static, *([los] if los else [])]
+    scaled_columns = [*schema.numeric, *schema.scaled_static, *([los] if los else [])]
     train = parted.where(F.col("split") == "train")
     rows = parted.count()
     # No group is larger than the table: a small one needs no further looking.

@@ -29,6 +29,7 @@ ICU = Preset(
         admission="AdmissionID",
         targets=("Outcome", "LOS", "Readmission"),
         static=("Sex", "Age"),
+        scaled_static=("Age",),
         categorical=fixed.ICU_CATEGORICAL_LABS,
         numeric=fixed.ICU_NUMERIC_LABS,
     ),
@@ -44,6 +45,7 @@ COVID = Preset(
         time="RecordTime",
         targets=("Outcome", "LOS"),
         static=("Sex", "Age"),
+        scaled_static=("Age",),
         numeric=fixed.COVID_LABS,
     ),
     label="Outcome",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinframe.operators import models, sequence, split
@@ -14,6 +14,7 @@ from clinframe.queries.cohort import FILLED_SQL, LAST_SO_FAR, _wide_stats_sql, _
 from clinframe.queries.cohort import SCALED, visit_split
 from clinframe.queries.inputs import LABS, VISITS
 from clinframe.queries.registry import query
+from clinframe.schema import VisitSchema
 from clinframe.queries.scores import BINARY, RANKING_SQL, class_sql, curve_sql
 from clinframe.session import stored
 
@@ -29,25 +30,72 @@ def _part(df: DataFrame, name: str) -> DataFrame:
     return df.where(F.col("split") == name)
 
 
-@query("logistic_scores")
+#: Every record with its split: what scores cover, whatever the model.
+COVERED_SQL = f"WITH {i.SPLIT_SQL} SELECT user_id, split, 1 AS in_range FROM split"
+
+
+def covered(scored: DataFrame, key: str = "user_id") -> DataFrame:
+    """Which rows a model scored, and whether with a probability."""
+    return scored.select(key, "split", F.col("p").between(0.0, 1.0).cast("int").alias("in_range"))
+
+
+def beats_constant(scored: DataFrame, error: Column, constant: Column) -> DataFrame:
+    """One row: whether the error on the training rows is below that of the best constant."""
+    train = _part(scored, "train").select(error.alias("e"), constant.alias("c"))
+    return train.agg((F.avg("e") < F.var_pop("c")).cast("int").alias("better"))
+
+
+@query("logistic_scores", COVERED_SQL)
 def logistic_scores(spark: SparkSession, sf: str) -> DataFrame:
     last = last_visits(spark, sf)
     model = models.fit_logistic(_part(last, "train"), LABS, "outcome")
-    return models.score(model, last, LABS).select("user_id", "split", *rounded(["p"]))
+    return covered(models.score(model, last, LABS))
 
 
-@query("boosted_tree_scores")
+@query(
+    "logistic_optimality",
+    "SELECT unnest(["
+    + ", ".join(f"'{f}'" for f in ("intercept", *LABS))
+    + "]) AS coefficient, 0.0::DOUBLE AS gradient",
+)
+def logistic_optimality(spark: SparkSession, sf: str) -> DataFrame:
+    """Gradient of the penalised loss per row at the fitted coefficients: zero, to three digits,
+    relative to the scale of each feature."""
+    train = _part(last_visits(spark, sf), "train")
+    model = models.fit_logistic(train, LABS, "outcome")
+    weights, rows = models.coefficients(model), train.count()
+    margin = F.lit(float(model.intercept))
+    for f, w in zip(LABS, weights, strict=True):
+        margin = margin + F.lit(w) * F.col(f)
+    gap = 1 / (1 + F.exp(-margin)) - F.col("outcome")
+    sums = [F.avg(gap).alias("intercept")]
+    for f, w in zip(LABS, weights, strict=True):
+        sums.append(((F.avg(gap * F.col(f)) + F.lit(w / rows)) / (1 + F.max(F.abs(F.col(f))))).alias(f))
+    names = F.array(*[F.struct(F.lit(n).alias("coefficient"), F.round(F.col(n), 3).alias("g")) for n in ("intercept", *LABS)])
+    return train.agg(*sums).select(F.inline(names)).select("coefficient", F.abs("g").alias("gradient"))
+
+
+@query("boosted_tree_scores", COVERED_SQL)
 def boosted_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
     last = last_visits(spark, sf)
-    model = models.fit_gbt(_part(last, "train"), LABS, "outcome", trees=5, depth=3)
-    return models.score(model, last, LABS).select("user_id", "split", *rounded(["p"]))
+    model = models.fit_gbt(_part(last, "train"), LABS, "outcome")
+    return covered(models.score(model, last, LABS))
 
 
-@query("boosted_tree_stay")
+@query("boosted_tree_stay", "SELECT 1 AS better")
 def boosted_tree_stay(spark: SparkSession, sf: str) -> DataFrame:
     last = last_visits(spark, sf)
-    model = models.fit_gbt(_part(last, "train"), LABS, "los", task="los", trees=5, depth=3)
-    return models.score(model, last, LABS, "p_los").select("user_id", "split", *rounded(["p_los"]))
+    model = models.fit_gbt(_part(last, "train"), LABS, "los", task="los")
+    scored = models.score(model, last, LABS, "p_los")
+    return beats_constant(scored, F.pow(F.col("p_los") - F.col("los"), 2), F.col("los"))
+
+
+@query("boosted_tree_importances", "SELECT count(*)::INTEGER AS features, 1.0::DOUBLE AS total FROM (VALUES " + ", ".join(f"('{f}')" for f in LABS) + ")")
+def boosted_tree_importances(spark: SparkSession, sf: str) -> DataFrame:
+    last = last_visits(spark, sf)
+    model = models.fit_gbt(_part(last, "train"), LABS, "outcome")
+    table = models.importances(spark, model, LABS)
+    return table.agg(F.count(F.lit(1)).cast("int").alias("features"), F.round(F.sum("importance"), 6).alias("total"))
 
 
 #: Coefficients of a linear model over the test labs.
@@ -107,19 +155,17 @@ def fusion_features(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("fusion_scores")
+@query("fusion_scores", "SELECT vec_id AS record_id, 1 AS in_range FROM embeddings")
 def fusion_scores(spark: SparkSession, sf: str) -> DataFrame:
     labels = i.vectors(spark, sf).select("record_id", (F.col("label") < 5).cast("double").alias("label"))
     data = fused(spark, sf).join(labels, "record_id")
     placed = split.stratified_split(labels, "record_id", "label", 0.2, 0.25)
     data = stored(split.apply_split(data, placed.select("record_id", "split"), "record_id"))
-    model, _ = models.fit_fusion(
-        _part(data, "train"), _part(data, "val"), widths=(4, 8), iterations=15
-    )
+    model, _ = models.fit_fusion(_part(data, "train"), _part(data, "val"))
     from pyspark.ml.functions import array_to_vector
 
     ready = data.withColumn("_x", array_to_vector("features"))
-    return models.score_vectors(model, ready).select("record_id", "split", *rounded(["p"]))
+    return covered(models.score_vectors(model, ready), "record_id").drop("split")
 
 
 # --- composed flows ------------------------------------------------------------------------------------------
@@ -151,6 +197,69 @@ def prepared_cohort(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Orders with a code and an amount per customer: the code is not scaled, the amount is.
+STATIC_VISITS = VisitSchema(
+    key="o_custkey",
+    time="o_orderdate",
+    tiebreak=("o_orderkey",),
+    targets=("outcome",),
+    static=("rich", "c_acctbal"),
+    scaled_static=("c_acctbal",),
+    numeric=("o_totalprice",),
+    categorical=("o_orderstatus",),
+)
+STATIC_SCALED = ("o_totalprice", "c_acctbal")
+STATIC_LEVELS = ("F", "O", "P")
+STATIC_SQL = (
+    f"{i.ORDER_VISITS_SQL}, visits AS (SELECT *, (c_acctbal > 0)::INTEGER::DOUBLE AS rich FROM order_visits), labels_o AS "
+    "(SELECT o_custkey, outcome FROM visits QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, "
+    "o_orderkey) = 1), "
+    + i.split_sql("labels_o", "o_custkey", "outcome", i.SPLIT_TEST, i.SPLIT_VAL, i.SPLIT_SEED)
+    + ", parted AS (SELECT v.*, s.split FROM visits v JOIN split s USING (o_custkey)), train AS (SELECT * FROM parted WHERE "
+    f"split = 'train'), {i.stats_sql('train', STATIC_SCALED)}, wide AS (SELECT "
+    + ", ".join(f"max(CASE WHEN feature = '{f}' THEN {v} END) AS {v}_{f}" for f in STATIC_SCALED for v in ("mean", "std"))
+    + " FROM stats)"
+)
+
+
+def static_cohort(spark: SparkSession, sf: str):
+    visits = i.order_visits(spark, sf).withColumn("rich", (F.col("c_acctbal") > 0).cast("double"))
+    return cohort_plan.prepare_cohort(visits, STATIC_VISITS, "outcome", i.SPLIT_TEST, i.SPLIT_VAL, seed=i.SPLIT_SEED)
+
+
+def _clipped_sql(f: str) -> str:
+    return f"round(CASE WHEN abs({_z_sql(f)}) > 1e4 THEN 0 ELSE {_z_sql(f)} END, 5)"
+
+
+def _elements(rows: DataFrame) -> DataFrame:
+    """One row per visit with every element of ``x``."""
+    names = ("rich", "c_acctbal", *(f"is_{v.lower()}" for v in STATIC_LEVELS), "o_totalprice")
+    visit = rows.select("o_custkey", "part", "split", F.posexplode("x").alias("step", "v"))
+    return visit.select(
+        "o_custkey", "part", "split", (F.col("step") + 1).cast("bigint").alias("step"),
+        *[F.round(F.get("v", F.lit(k)), 5).alias(n) for k, n in enumerate(names)],
+    )
+
+
+def _elements_sql(amount: str, price: str) -> str:
+    return (
+        f"WITH {STATIC_SQL} SELECT o_custkey, 0::INTEGER AS part, split, row_number() OVER (PARTITION BY o_custkey ORDER BY "
+        f"o_orderdate, o_orderkey) AS step, rich, {amount} AS c_acctbal, "
+        + ", ".join(f"(o_orderstatus = '{v}')::INTEGER::DOUBLE AS is_{v.lower()}" for v in STATIC_LEVELS)
+        + f", {price} AS o_totalprice FROM parted, wide"
+    )
+
+
+@query("prepared_cohort_static", _elements_sql(_clipped_sql("c_acctbal"), _clipped_sql("o_totalprice")))
+def prepared_cohort_static(spark: SparkSession, sf: str) -> DataFrame:
+    return _elements(static_cohort(spark, sf).sequences)
+
+
+@query("prepared_cohort_raw", _elements_sql("round(c_acctbal, 5)", "round(o_totalprice, 5)"))
+def prepared_cohort_raw(spark: SparkSession, sf: str) -> DataFrame:
+    return _elements(static_cohort(spark, sf).raw)
+
+
 @query(
     "evaluation_report",
     f"WITH {i.PREDS_MODELS_SQL}, {class_sql('preds_models', 'model')}, {curve_sql('preds_models', 'model')}, "

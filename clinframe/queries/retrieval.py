@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from clinframe.operators import retrieval, similarity
 from clinframe.queries import inputs as i
 from clinframe.queries.cohort import rounded
 from clinframe.queries.registry import query
+from clinframe.session import stored
 
 K = 3
 
@@ -115,11 +117,91 @@ def render_context(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"))
 
 
-@query("hashed_tfidf")
+#: Buckets of the hashed texts in these queries.
+TEXT_DIM = 256
+
+
+def cells_sql(name: str, source: str, key: str, text: str) -> str:
+    return (
+        f"{name} AS (SELECT {key}, bucket, count(*) AS n FROM (SELECT {key}, ('0x' || substr(md5(w), 1, 8))::BIGINT % "
+        f"{TEXT_DIM} AS bucket FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[^\\x20\\x09-\\x0D]+')) AS w "
+        f"FROM {source})) GROUP BY ALL)"
+    )
+
+
+IDF_SQL = (
+    cells_sql("c_cells", "documents", "doc_id", "substr(text, 1, 40) || ' ' || text")
+    + ", idf AS (SELECT bucket, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf FROM c_cells GROUP BY 1), "
+    "c_raw AS (SELECT doc_id, bucket, n * idf AS v FROM c_cells JOIN idf USING (bucket)), c_vec AS (SELECT doc_id, bucket, "
+    "v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS v FROM c_raw)"
+)
+
+
+def text_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors of all documents, and the weights of the buckets."""
+    docs = i.corpus_docs(spark, sf)
+    text = F.concat_ws(" ", "title", "content")
+    weights = similarity.term_weights(docs, "doc_id", text, TEXT_DIM)
+    return similarity.hashed_tfidf(docs, "doc_id", text, weights, TEXT_DIM), weights
+
+
+@query(
+    "hashed_tfidf",
+    f"WITH {IDF_SQL} SELECT d.doc_id, round(coalesce(sum(v * v), 0), 6) AS squared_norm, round(coalesce(sum(v * "
+    "(bucket + 1)), 0), 6) AS weighted FROM documents d LEFT JOIN c_vec c ON d.doc_id = c.doc_id GROUP BY 1",
+)
 def hashed_tfidf(spark: SparkSession, sf: str) -> DataFrame:
-    out = similarity.hashed_tfidf(i.corpus_docs(spark, sf))
-    norm = F.aggregate(F.unwrap_udt("vector")["values"], F.lit(0.0), lambda a, v: a + v * v)
-    return out.select("doc_id", "corpus", F.round(norm, 6).alias("squared_norm"))
+    vectors, _ = text_vectors(spark, sf)
+    add = lambda a, v: a + v
+    weighted = F.aggregate(F.transform("vector", lambda v, k: v * (k + 1)), F.lit(0.0), add)
+    norm = F.aggregate(F.transform("vector", lambda v: v * v), F.lit(0.0), add)
+    return vectors.select("doc_id", F.round(norm, 6).alias("squared_norm"), F.round(weighted, 6).alias("weighted"))
+
+
+TEXT_HITS_SQL = (
+    f"{IDF_SQL}, "
+    + cells_sql("q_cells", "benchmark", "item_id", "text")
+    + ", q_raw AS (SELECT item_id, bucket, n * idf AS v FROM q_cells JOIN idf USING (bucket)), q_vec AS (SELECT item_id, "
+    "bucket, v / sqrt(sum(v * v) OVER (PARTITION BY item_id)) AS v FROM q_raw), every AS (SELECT item_id, doc_id, lang "
+    "FROM benchmark, documents), scores AS (SELECT item_id, doc_id, sum(q.v * c.v) AS s FROM q_vec q JOIN c_vec c "
+    "USING (bucket) GROUP BY ALL), hits AS (SELECT e.item_id AS query_id, e.lang AS corpus, e.doc_id, "
+    "round(coalesce(s, 0), 8) AS score, row_number() OVER (PARTITION BY e.item_id, e.lang ORDER BY "
+    "round(coalesce(s, 0), 8) DESC, e.doc_id) AS rank FROM every e LEFT JOIN scores s ON e.item_id = s.item_id AND "
+    "e.doc_id = s.doc_id QUALIFY rank <= 3), placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY "
+    "corpus, rank) AS position FROM hits)"
+)
+
+
+def text_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark texts against all documents of each language: text to vector to hits, stored once."""
+    vectors, weights = text_vectors(spark, sf)
+    questions = i.table(spark, sf, "benchmark")
+    asked = similarity.hashed_tfidf(questions, "item_id", F.col("text"), weights, TEXT_DIM)
+    langs = i.corpus_docs(spark, sf).select("doc_id", "corpus")
+    corpora = vectors.join(langs, "doc_id")
+    asked = asked.withColumnRenamed("item_id", "query_id")
+    return stored(retrieval.multi_corpus_topk(asked, corpora, 3, decimals=8))
+
+
+@query(
+    "text_retrieval",
+    f"WITH {TEXT_HITS_SQL} SELECT query_id, corpus, doc_id, rank, position, round(score, 6) AS score FROM placed",
+)
+def text_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+    hits = text_hits(spark, sf)
+    return hits.select("query_id", "corpus", "doc_id", "rank", "position", F.round("score", 6).alias("score"))
+
+
+@query(
+    "text_retrieval_context",
+    f"WITH {TEXT_HITS_SQL} SELECT query_id, md5(string_agg('Document [' || position || '] (Title: ' || substr(text, 1, 40) "
+    "|| ') ' || text, chr(10) ORDER BY position)) AS digest FROM placed JOIN documents USING (doc_id) GROUP BY 1",
+)
+def text_retrieval_context(spark: SparkSession, sf: str) -> DataFrame:
+    docs = i.corpus_docs(spark, sf).select("doc_id", "title", "content")
+    passages = retrieval.fetch_passages(text_hits(spark, sf), docs)
+    out = retrieval.render_context(passages)
+    return out.select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"))
 
 
 # --- patients ----------------------------------------------------------------------------------------------
@@ -152,10 +234,29 @@ def kernel_bandwidth(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.kernel_bandwidth(i.vectors(spark, sf)).select("n", *rounded(["bandwidth"]))
 
 
-@query("patient_clusters")
+@query(
+    "patient_clusters",
+    "SELECT (SELECT count(*) FROM embeddings) AS placed, 8::BIGINT AS clusters, 0::BIGINT AS not_nearest, "
+    "0.0::DOUBLE AS off_mean",
+)
 def patient_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    out = similarity.patient_clusters(i.vectors(spark, sf), 8)
-    return out.select("record_id", "cluster")
+    """What holds for any fixed point of k-means: every row belongs to the nearest mean, and every
+    center is the mean of its rows."""
+    vecs = i.vectors(spark, sf)
+    model = similarity.fit_clusters(vecs, 8)
+    placed = stored(model.transform(vecs.withColumn("_v", array_to_vector("vector"))).select("record_id", "vector", "prediction"))
+    rows = [(k, [float(x) for x in c]) for k, c in enumerate(model.clusterCenters())]
+    centers = spark.createDataFrame(rows, "center int, vector array<double>")
+    means = similarity.mean_vectors(placed, "prediction").withColumnRenamed("prediction", "center")
+    nearest = similarity.assign_centers(placed, means).join(placed.select("record_id", "prediction"), "record_id")
+    gap = F.aggregate(F.zip_with("vector", "mean", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x)
+    off = centers.join(means.withColumnRenamed("vector", "mean"), "center").agg(F.round(F.max(gap), 6).alias("off_mean"))
+    counts = nearest.agg(
+        F.count(F.lit(1)).alias("placed"),
+        F.count_distinct("prediction").alias("clusters"),
+        F.count_if(F.col("center") != F.col("prediction")).alias("not_nearest"),
+    )
+    return counts.withColumn("off_mean", off.scalar())
 
 
 @query(

@@ -28,6 +28,8 @@ class VisitSchema:
     admission: str | None = None
     targets: tuple[str, ...] = ()
     static: tuple[str, ...] = ()
+    #: The static columns that are scaled, such as an age; codes like 0/1 are not.
+    scaled_static: tuple[str, ...] = ()
     numeric: tuple[str, ...] = ()
     categorical: tuple[str, ...] = ()
 

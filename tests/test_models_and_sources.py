@@ -181,7 +181,7 @@ def test_presets_run_end_to_end(spark, name):
         *([(k % 2).alias(s.admission)] if s.admission else []),
         F.expr("timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(0, int(id))").alias(s.time),
         *[(k % 2).cast("double").alias(t) for t in s.targets],
-        *[(k % 5).cast("double").alias(t) for t in s.static],
+        *[(k % (50 if t in s.scaled_static else 2)).cast("double").alias(t) for t in s.static],
         *[F.when(k % 3 != j % 3, (k * (j + 1) % 17).cast("double")).alias(t) for j, t in enumerate(s.numeric)],
         *[F.when(k % 4 != j % 4, (k % (j + 2)).cast("string")).alias(t) for j, t in enumerate(s.categorical)],
     )
@@ -190,3 +190,6 @@ def test_presets_run_end_to_end(spark, name):
     rows_ = out.sequences.collect()
     assert sum(r["length"] for r in rows_) == 120
     assert {len(v) for r in rows_ for v in r["x"]} == {len(out.schema.features)}
+    for j, t in enumerate(s.static):
+        # Codes stay as they are; ages are scaled.
+        assert ({v[j] for r in rows_ for v in r["x"]} == {0.0, 1.0}) == (t not in s.scaled_static)

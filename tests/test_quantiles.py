@@ -59,3 +59,16 @@ def test_ungrouped_with_missing_column(frame, group_rows):
     got = {(r["feature"], r["prob"]): r["value"] for r in exact_quantiles(df, ["v", "none"], [0.3], (), group_rows).collect()}
     assert got["v", 0.3] == pytest.approx(np.quantile(SAMPLES["normal"], 0.3))
     assert got["none", 0.3] is None
+
+
+@pytest.mark.parametrize("group_rows", [10, 10**9])
+def test_groups_without_values_and_without_name_are_listed(spark, group_rows):
+    data = [("a", float(k), None) for k in range(30)] + [(None, float(-k), 1.0) for k in range(20)] + [("c", None, None)] * 15
+    df = spark.createDataFrame(data, "g string, x double, y double")
+    got = exact_quantiles(df, ["x", "y"], [0.25, 0.5], ["g"], group_rows=group_rows)
+    want = [
+        ("a", "x", 0.25, 7.25), ("a", "x", 0.5, 14.5), ("a", "y", 0.25, None), ("a", "y", 0.5, None),
+        ("c", "x", 0.25, None), ("c", "x", 0.5, None), ("c", "y", 0.25, None), ("c", "y", 0.5, None),
+        (None, "x", 0.25, -14.25), (None, "x", 0.5, -9.5), (None, "y", 0.25, 1.0), (None, "y", 0.5, 1.0),
+    ]
+    assert sorted(map(str, map(tuple, got.select("g", "feature", "prob", "value").collect()))) == sorted(map(str, want))

@@ -132,9 +132,13 @@ def test_clusters_find_separate_groups(spark):
 
 
 def test_hashed_tfidf_by_definition(spark):
-    docs = [("a", "Fever, cough", "fever"), ("b", "cough", "pain"), ("c", "Ödem", "pain pain")]
+    docs = [("a", "Fever cough", "fever"), ("b", "cough", "pain"), ("c", "Ödem", "pain pain")]
     df = spark.createDataFrame(docs, "doc_id string, title string, content string")
-    got = {r["doc_id"]: r["vector"] for r in similarity.hashed_tfidf(df).collect()}
+    text = F.concat_ws(" ", "title", "content")
+    idf = similarity.term_weights(df, "doc_id", text, 4096)
+    got = {r["doc_id"]: r["vector"] for r in similarity.hashed_tfidf(df, "doc_id", text, idf, 4096).collect()}
+    none = similarity.hashed_tfidf(df.select("doc_id"), "doc_id", F.lit("unseen"), idf, 4096)
+    assert all(sum(r["vector"]) == 0 for r in none.collect())
     words = {"a": ["fever", "cough", "fever"], "b": ["cough", "pain"], "c": ["ödem", "pain", "pain"]}
 
     def weights(doc):
@@ -146,7 +150,27 @@ def test_hashed_tfidf_by_definition(spark):
         return {w: v / norm for w, v in out.items()}
 
     for d in "abc":
-        assert got[d].norm(2) == pytest.approx(1.0)
-        assert sorted(got[d].values) == pytest.approx(sorted(weights(d).values()))
+        assert sum(v * v for v in got[d]) == pytest.approx(1.0)
+        assert sorted(v for v in got[d] if v) == pytest.approx(sorted(weights(d).values()))
     cosine = sum(weights("b").get(w, 0) * v for w, v in weights("c").items())
-    assert float(got["b"].dot(got["c"])) == pytest.approx(cosine)
+    assert sum(a * b for a, b in zip(got["b"], got["c"], strict=True)) == pytest.approx(cosine)
+
+
+@pytest.mark.parametrize("query_bytes", [10**9, 1])
+def test_layouts_agree_on_missing_ids_groups_and_vectors(spark, query_bytes):
+    schema = "doc_id int, grp string, vector array<double>"
+    data = [(1, "a", [1.0, 0.0]), (2, None, [0.5, 0.5]), (3, None, [0.0, 1.0]), (4, "a", None), (5, "b", [1.0, None]), (6, "b", [1.0])]
+    corpus = spark.createDataFrame(data, schema)
+    asked = spark.createDataFrame([(7, [1.0, 2.0]), (8, None), (9, [None, 1.0])], "query_id int, vector array<double>")
+    out = retrieval.topk_inner_product(asked, corpus, 2, within="grp", query_bytes=query_bytes)
+    assert rows(out) == [(7, None, 2, 1.5, 2), (7, None, 3, 2.0, 1), (7, "a", 1, 1.0, 1)]
+    only = corpus.where("grp is null")
+    assert retrieval.topk_inner_product(asked, only, 2, within="grp", query_bytes=query_bytes).count() == 2
+    none = corpus.where("doc_id = 4")
+    assert retrieval.topk_inner_product(asked, none, 2, within="grp", query_bytes=query_bytes).count() == 0
+
+
+def test_more_centers_than_may_be_sent(spark):
+    v = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [3.0, 0.0])], "record_id string, vector array<double>")
+    c = spark.createDataFrame([(2, [1.0, 0.0]), (1, [-1.0, 0.0]), (0, [9.0, 9.0])], "center int, vector array<double>")
+    assert rows(similarity.assign_centers(v, c, most=2)) == [("a", 1, 1.0), ("b", 2, 4.0)]

@@ -60,7 +60,7 @@ def test_carry_forward(hot, limit):
 
 
 def test_slices_follow_the_order_and_split_hot_keys(hot):
-    out, cut = ordered_slices(hot, ["k"], "t", 100)
+    out, cut = ordered_slices(hot, ["k"], [("t", "asc")], 100)
     assert cut
     per_slice = out.groupBy("k", SLICE).agg(
         F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")
@@ -75,7 +75,7 @@ def test_slices_follow_the_order_and_split_hot_keys(hot):
 
 
 def test_known_size_saves_the_check(hot):
-    out, cut = ordered_slices(hot, ["k"], "t", 100, largest=50)
+    out, cut = ordered_slices(hot, ["k"], [("t", "asc")], 100, largest=50)
     assert not cut and out.select(SLICE).distinct().count() == 1
 
 
@@ -96,3 +96,59 @@ def test_a_small_side_is_broadcast_and_a_large_one_is_not(spark, hot):
         assert "BroadcastHashJoin" not in plan_of(skewed_join(many, one, ["k"], rows=10**7))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """NULL keys, NaN, infinite and missing places, many ties, and texts to order by."""
+    number = (
+        F.when(F.col("id") % 11 == 0, F.lit(None).cast("double"))
+        .when(F.col("id") % 13 == 0, F.lit(float("nan")))
+        .when(F.col("id") % 17 == 0, F.lit(float("inf")))
+        .when(F.col("id") % 19 == 0, F.lit(float("-inf")))
+        .otherwise(F.floor(F.col("id") / 90).cast("double"))
+    )
+    return spark.range(900).select(
+        F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"),
+        number.alias("x"),
+        F.concat(F.lit("patient_"), (F.col("id") * 7919 % 900).cast("string")).alias("name"),
+        "id",
+        F.when(F.col("id") % 5 == 0, F.col("id")).alias("v"),
+    )
+
+
+@pytest.mark.parametrize("limit", [10, 10**9])
+@pytest.mark.parametrize("way", ["asc", "desc"])
+def test_missing_keys_and_odd_places_keep_their_rows(odd, limit, way):
+    order = [("x", way), ("id", way)]
+    sort = [F.col(c).desc() if way == "desc" else F.col(c).asc() for c in ("x", "id")]
+    w = Window.partitionBy("k").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
+    want = odd.withColumns({"c": F.sum("id").over(w), "f": F.last("v", ignorenulls=True).over(w)})
+    sums = running_sums(odd, ["k"], order, {"c": F.col("id")}, limit)
+    assert rows(sums.select("id", "c")) == rows(want.select("id", "c"))
+    filled = carry_forward(odd, ["k"], order, ["v"], limit)
+    assert rows(filled.select("id", F.col("v").alias("f"))) == rows(want.select("id", "f"))
+
+
+@pytest.mark.parametrize("limit", [10, 10**9])
+def test_text_order_is_cut_too(odd, limit):
+    w = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, 0)
+    got = running_sums(odd, [], [("name", "asc")], {"n": F.lit(1)}, limit)
+    assert rows(got.select("name", "n")) == rows(odd.select("name", F.count("name").over(w).alias("n")))
+    out, cut = ordered_slices(odd, [], [("name", "asc")], limit)
+    largest = out.groupBy(SLICE).count().agg(F.max("count")).first()[0]
+    assert cut == (limit == 10) and (largest <= 10 or not cut)
+
+
+def test_mixed_directions_cannot_carry(odd):
+    with pytest.raises(ValueError, match="all ascend"):
+        carry_forward(odd, ["k"], [("x", "asc"), ("id", "desc")], ["v"])
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("hot_rows", [10, 10**9])
+def test_joins_meet_on_missing_keys(spark, odd, how, hot_rows):
+    one = spark.createDataFrame([(None, "n"), (1, "a")], "k long, w string")
+    got = skewed_join(odd, one, ["k"], rows=10**7, hot_rows=hot_rows, how=how)
+    want = odd.join(one.withColumnRenamed("k", "kk"), F.col("k").eqNullSafe(F.col("kk")), how)
+    assert rows(got.select("id", "w")) == rows(want.select("id", "w"))
