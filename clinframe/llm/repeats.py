@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinframe.llm.common import shuffle_tasks
+from clinframe.llm.common import shuffle_tasks, shuffles_freed
 from clinframe.session import stored
 
 LENGTH = 50
@@ -161,10 +161,12 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Bucket:
-    """The largest part of a bucket seen so far: its distinct suffixes and their first documents."""
+    """What is known of a bucket that is taken in parts: its distinct suffixes with their first
+    documents, and the first document of each stretch of text."""
 
     def __init__(self):
         self.words, self.doc = np.zeros((0, 7), np.uint64), np.zeros(0, np.int64)
+        self.seen: dict[tuple[int, bytes], int] = {}
 
 
 def _previous(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -185,25 +187,42 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     past, past_hash = _Bucket(), None
 
     def solve(rows: pa.RecordBatch, keep: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal past
-        doc, key, first, n = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "key", "first", "n"))
+        h, doc, key, first, n = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("h", "doc", "key", "first", "n"))
+        # A stretch that an earlier document has as it is goes whole; only the others are ordered.
+        seen, kinds, whole = past.seen if keep else {}, {}, np.zeros(len(doc), bool)
+        for i, (hash_, text, owner) in enumerate(zip(h.tolist(), rows.column("bytes").to_pylist(), doc.tolist(), strict=True)):
+            earliest = seen.setdefault((hash_, text), owner)
+            whole[i] = earliest < owner
+            kinds.setdefault(hash_, text)
+            if kinds[hash_] != text:
+                kinds[hash_] = None
+        if whole.any():
+            w = np.flatnonzero(whole)
+            yield pa.RecordBatch.from_pydict(
+                {"doc": doc[w], "key": key[w], "start": first[w], "stop": first[w] + n[w] - 1 + LENGTH}
+            )
+        several = np.array([keep or kinds[x] is None for x in h.tolist()], bool)
+        rest = np.flatnonzero(several & ~whole)
+        if not len(rest):
+            return
+        rows = rows.take(pa.array(rest))
+        doc, key, first, n = doc[rest], key[rest], first[rest], n[rest]
         data, at = _bytes_of(rows.column("bytes"))
         row = np.repeat(np.arange(len(doc)), n)
         step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        spans = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at[:-1][row] + step]
         padded = np.zeros((len(row), 56), np.uint8)
-        padded[:, :LENGTH] = spans
+        padded[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at[:-1][row] + step]
         words = padded.view(">u8").astype(np.uint64)
         owners = doc[row]
-        if len(past.doc) or keep:
-            earlier = _previous(np.concatenate([past.words, words]), np.concatenate([past.doc, owners]))[len(past.doc) :]
-        else:
-            earlier = _previous(words, owners)
         if keep:
+            both = np.concatenate([past.words, words]), np.concatenate([past.doc, owners])
+            earlier = _previous(*both)[len(past.doc) :]
             new = np.concatenate([past.words, words[earlier == owners]])
             owner = np.concatenate([past.doc, owners[earlier == owners]])
             _, only = np.unique(new, axis=0, return_index=True)
             past.words, past.doc = new[only], owner[only]
+        else:
+            earlier = _previous(words, owners)
         gone = earlier < owners
         edge = np.flatnonzero(gone & ~(np.append(False, gone[:-1]) & np.append(False, row[1:] == row[:-1])))
         stop = np.flatnonzero(gone & ~(np.append(gone[1:], False) & np.append(row[1:] == row[:-1], False)))
@@ -293,10 +312,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.xxhash64(data).alias("key"),
         data.alias("text"),
     )
-    candidates, spans = removed_spans(rows.select("doc", "key", "text"))
-    spans = spans.groupBy("doc", "key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    once = candidates.join(spans, ["doc", "key"]).select("doc", "key", "text", "spans")
-    cut = stored(once.mapInArrow(_cut, "doc long, key long, n_removed long, n_spans long, kept_sha256 string").distinct())
+    with shuffles_freed(docs.sparkSession):
+        candidates, spans = removed_spans(rows.select("doc", "key", "text"))
+        spans = spans.groupBy("doc", "key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+        once = candidates.join(spans, ["doc", "key"]).select("doc", "key", "text", "spans")
+        cut = stored(once.mapInArrow(_cut, "doc long, key long, n_removed long, n_spans long, kept_sha256 string").distinct())
     whole = rows.select("doc_id", "doc", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     none = F.lit(0).cast("long")
     return whole.join(cut, ["doc", "key"], "left").select(
