@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -20,13 +21,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes encoded at a time at the leaves of the tree.
 LEAF = 64
+#: Rank of neighbours that do not merge.
+NEVER = 1 << 40
 #: Tokens on either side of a boundary that the first window takes.
 WINDOW = 2
+#: Bytes of ids that a task sends on at a time.
+BATCH_BYTES = 1 << 22
 #: Encoded matches of the pattern that a task remembers, and the longest one remembered.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 REMEMBERED_BYTES = 48
 #: Characters that count as white space for the public pattern; the regex module counts four
 #: control characters more.
@@ -89,6 +95,27 @@ class Encoder:
             i = after[i]
         return out
 
+    def _merge_few(self, data: bytes) -> list[int]:
+        """The same for a few bytes, where looking at all neighbours costs less than a heap."""
+        rank = self.rank
+        whole = rank.get(data)
+        if whole is not None:
+            return [whole]
+        parts = [data[i : i + 1] for i in range(len(data))]
+        pairs = [rank.get(data[i : i + 2], NEVER) for i in range(len(data) - 1)]
+        while pairs:
+            best = min(pairs)
+            if best == NEVER:
+                break
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank.get(parts[i - 1] + parts[i], NEVER)
+            if i < len(pairs):
+                pairs[i] = rank.get(parts[i] + parts[i + 1], NEVER)
+        return [rank[part] for part in parts]
+
     def _holds(self, a: int, b: int) -> bool:
         return self._merge(self.token[a] + self.token[b]) == [a, b]
 
@@ -106,7 +133,7 @@ class Encoder:
 
     def encode_bytes(self, data: bytes) -> list[int]:
         if len(data) <= LEAF:
-            return self._merge(data)
+            return self._merge_few(data)
         half = len(data) // 2
         return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
 
@@ -165,6 +192,40 @@ def decoded(docs: DataFrame, ranks: bytes, pattern: str, ids: Column) -> Column:
     return decode(ids)
 
 
+def token_rows(docs: DataFrame, ranks: bytes, pattern: str, keep: Sequence[str], text: str = "text") -> DataFrame:
+    """``keep`` columns of every row with ids (as of :func:`encoded`), n_tokens and decoded_sha256.
+
+    A task sends its rows on in batches of about ``BATCH_BYTES`` of ids, so that it never holds the
+    ids of many long texts. Null texts count as empty.
+    """
+    given = docs.sparkSession.sparkContext.broadcast(ranks)
+    rows = docs.select(*keep, F.col(text).alias("_text"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(given.value, pattern)
+
+        def out(part: pa.RecordBatch, ids: list[bytes], shas: list[str]) -> pa.RecordBatch:
+            columns = {n: part.column(n) for n in keep}
+            counts = pa.array([len(x) // 4 for x in ids], pa.int64())
+            return pa.RecordBatch.from_pydict(columns | {"ids": pa.array(ids, pa.binary()), "n_tokens": counts, "decoded_sha256": shas})
+
+        for batch in batches:
+            start, ids, shas, size = 0, [], [], 0
+            for row, value in enumerate(batch.column("_text")):
+                ids.append(encoder.encode(value.as_py() or ""))
+                shas.append(hashlib.sha256(encoder.decode(ids[-1])).hexdigest())
+                size += len(ids[-1])
+                if size >= BATCH_BYTES:
+                    yield out(batch.slice(start, row + 1 - start), ids, shas)
+                    start, ids, shas, size = row + 1, [], [], 0
+            if ids:
+                yield out(batch.slice(start), ids, shas)
+
+    schema = StructType([*docs.select(*keep).schema.fields])
+    schema = schema.add("ids", "binary").add("n_tokens", "long").add("decoded_sha256", "string")
+    return rows.mapInArrow(encode, schema)
+
+
 def round_trip(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; null texts count as empty.
 
