@@ -148,13 +148,13 @@ def range_suffix(known: Mapping) -> str:
     parts = []
     unit = known.get("unit")
     if unit:
-        parts.append(f"Unit: {unit}. ")
+        parts.append(f"Measured in {unit}. ")
     if known.get("range"):
         lo, hi = known["range"]
         space = f" {unit}" if unit else ""
-        parts.append(f"Reference range for healthy people: {lo}{space} to {hi}{space}. ")
+        parts.append(f"The healthy lie between {lo}{space} and {hi}{space}. ")
     if known.get("patient_range"):
-        parts.append(f"Reference range for ESRD patients: {known['patient_range']}.")
+        parts.append(f"Under dialysis: {known['patient_range']}.")
     return "".join(parts)
 
 
@@ -200,19 +200,19 @@ def feature_comparison(
     joined = top.join(F.broadcast(centers), feature)
     text = F.concat(
         col(feature),
-        F.lit(": with importance weight of "),
-        number_text(F.col("attention"), 3),
-        F.lit(" out of 1.0. The feature value is "),
+        F.lit(" stands at "),
         number_text(col(value)),
-        F.lit(", which is "),
-        F.coalesce(vs_cohort_desc(col(value), col(survival)), F.lit("undefined")),
-        F.lit(" compared with the center of survival patients ("),
+        F.lit(" and weighs "),
+        number_text(F.col("attention"), 3),
+        F.lit(". Survivors center on "),
         number_text(col(survival)),
-        F.lit("), "),
-        F.coalesce(vs_cohort_desc(col(value), col(deceased)), F.lit("undefined")),
-        F.lit(" compared with the center of deceased patients ("),
+        F.lit(": "),
+        F.coalesce(vs_cohort_desc(col(value), col(survival)), F.lit("undefined")),
+        F.lit(". The deceased center on "),
         number_text(col(deceased)),
-        F.lit(")."),
+        F.lit(": "),
+        F.coalesce(vs_cohort_desc(col(value), col(deceased)), F.lit("undefined")),
+        F.lit("."),
     )
     return joined.withColumn("text", text)
 
@@ -238,21 +238,21 @@ def patient_context(
         F.array_join(ranked["text"], "\n").alias("_compared")
     )
     risk = F.concat(
-        F.lit("The predicted risk from model "),
+        F.lit("Model "),
         col(model),
-        F.lit(" is "),
+        F.lit(" puts the risk at "),
         number_text(F.col("p")),
-        F.lit(" out of 1.0, "),
+        F.lit(" ("),
         risk_level(F.col("p")),
-        F.lit(", "),
+        F.lit("; "),
         rank_band(F.col("share")),
-        F.lit(f" among {cohort}."),
+        F.lit(f" of {cohort})."),
     )
     joined = (
         risks.withColumn("_risk", risk)
         .join(compared, [key, model], "left")
-        .join(basics, key)
-        .join(series, key)
+        .join(basics, key, "left")
+        .join(series, key, "left")
     )
     text = F.concat_ws("\n", "basic", "series", "_risk", "_compared")
     return joined.select(col(key), col(model), "part", text.alias("context"))

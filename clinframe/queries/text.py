@@ -262,13 +262,12 @@ _P = i.sql_hash("user_id || ':' || model")
     + " - 0.5 AS weight FROM cells, (VALUES " + ", ".join(f"('{m}')" for m in CONTEXT_MODELS) + ") m(model)), "
     "top AS (SELECT *, row_number() OVER (PARTITION BY user_id, model ORDER BY abs(weight) DESC, position) AS rank "
     "FROM weighted QUALIFY rank <= 3), compared AS (SELECT user_id, model, string_agg(t.feature || "
-    f"': with importance weight of ' || {number_sql('abs(weight)', 3)} || ' out of 1.0. The feature value is ' || {number_sql('value')} || "
-    f"', which is ' || coalesce({versus_sql('value', 'survival')}, 'undefined') || ' compared with the center of survival patients (' || "
-    f"{number_sql('survival')} || '), ' || coalesce({versus_sql('value', 'deceased')}, 'undefined') || "
-    f"' compared with the center of deceased patients (' || {number_sql('deceased')} || ').', chr(10) ORDER BY rank) AS text "
+    f"' stands at ' || {number_sql('value')} || ' and weighs ' || {number_sql('abs(weight)', 3)} || '. Survivors center on ' || "
+    f"{number_sql('survival')} || ': ' || coalesce({versus_sql('value', 'survival')}, 'undefined') || '. The deceased center on ' || "
+    f"{number_sql('deceased')} || ': ' || coalesce({versus_sql('value', 'deceased')}, 'undefined') || '.', chr(10) ORDER BY rank) AS text "
     "FROM top t JOIN centers c ON t.feature = c.feature GROUP BY 1, 2) "
-    "SELECT r.user_id, r.model, 'Patient ' || r.user_id || chr(10) || series || chr(10) || 'The predicted risk from model ' || r.model || "
-    f"' is ' || {number_sql('p')} || ' out of 1.0, ' || {RISK_SQL} || ', ' || {BAND_SQL} || ' among all patients.' || chr(10) || "
+    "SELECT r.user_id, r.model, 'Patient ' || r.user_id || chr(10) || series || chr(10) || 'Model ' || r.model || "
+    f"' puts the risk at ' || {number_sql('p')} || ' (' || {RISK_SQL} || '; ' || {BAND_SQL} || ' of all patients).' || chr(10) || "
     "c.text AS context FROM ranked r JOIN series s ON r.user_id = s.user_id JOIN compared c ON r.user_id = c.user_id AND r.model = c.model",
 )
 def patient_context(spark: SparkSession, sf: str) -> DataFrame:

@@ -83,10 +83,10 @@ def test_series_text(spark):
     df = spark.createDataFrame([("p", [[1.5, 100.0], [2.0, None]])], "id string, x array<array<double>>")
     got = {r["feature"]: r["text"] for r in n.series_text(df, ["WBC", "Weight"]).collect()}
     assert got["WBC"] == (
-        '- White blood cells: "1.5, 2.0". Unit: ×10^9/L. Reference range for healthy people: '
-        "3.5 ×10^9/L to 9.5 ×10^9/L. "
+        '- White blood cells: "1.5, 2.0". Measured in ×10^9/L. The healthy lie between '
+        "3.5 ×10^9/L and 9.5 ×10^9/L. "
     )
-    assert got["Weight"] == '- Weight: "100.0, nan". Unit: kg. Reference range for ESRD patients: higher than 59 kg.'
+    assert got["Weight"] == '- Weight: "100.0, nan". Measured in kg. Under dialysis: higher than 59 kg.'
     assert "Exchange" not in plan_of(n.series_text(df, ["WBC"]))
 
 
@@ -96,8 +96,7 @@ def test_comparison_and_context(spark):
     compared = n.feature_comparison(top, centers)
     text = compared.first()["text"]
     assert text == (
-        "K: with importance weight of 0.25 out of 1.0. The feature value is 4.0, which is 20.0% lower "
-        "compared with the center of survival patients (5.0), equal compared with the center of deceased patients (4.0)."
+        "K stands at 4.0 and weighs 0.25. Survivors center on 5.0: 20.0% lower. The deceased center on 4.0: equal."
     )
     context = n.patient_context(
         spark.createDataFrame([("p", "Basics")], "id string, basic string"),
@@ -109,7 +108,7 @@ def test_comparison_and_context(spark):
     assert context.split("\n") == [
         "Basics",
         "Series",
-        "The predicted risk from model m is 0.55 out of 1.0, a high level, at the top 30% levels among the cohort.",
+        "Model m puts the risk at 0.55 (a high level; at the top 30% levels of the cohort).",
         text,
     ]
 
