@@ -95,7 +95,49 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", names, "license_sequence", "n_license_sentences")
 
 
-@query("op8_reputation")
+def _level_sql(name: str, groups: str, prior: str) -> str:
+    """CTEs: the strength of a prior over ``groups`` (n, good and the prior mean), and the means."""
+    chance = f"{prior} * (1 - {prior})"
+    return (
+        f"{name}_rho AS (SELECT sum(pow(good - n * {prior}, 2) - n * {chance}) / nullif(sum(n * (n - 1) * {chance}), 0) AS rho "
+        f"FROM {groups}), {name}_s AS (SELECT CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, {reputation.WEAKEST}), "
+        f"{reputation.STRONGEST}) ELSE {reputation.STRONGEST} END AS strength FROM {name}_rho), {name} AS (SELECT g.*, strength, "
+        f"(good + strength * {prior}) / (n + strength) AS {name}_mean FROM {groups} g, {name}_s)"
+    )
+
+
+def _rules_sql(column: int) -> str:
+    out = []
+    for host, path, verdict in sorted(reputation.RULES, key=lambda r: -len(r[0] + r[1])):
+        value = (host + path, verdict)[column]
+        out.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN '{value}'")
+    return f"CASE {' '.join(out)} END"
+
+
+REPUTATION_SQL = (
+    "WITH known AS (SELECT doc_id AS page_id, min(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL "
+    "GROUP BY 1), cut AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', ['h', 'p']), "
+    "{'h': '', 'p': ''}) AS x FROM pages), p AS (SELECT page_id, translate(x.h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'abcdefghijklmnopqrstuvwxyz') AS host, x.p AS path FROM cut), hosts AS (SELECT host, count(good) AS n, "
+    "coalesce(sum(good), 0)::DOUBLE AS good FROM p LEFT JOIN known USING (page_id) GROUP BY 1), parts AS (SELECT *, "
+    "string_split(host, '.') AS l, array_to_string(l[-2:], '.') AS two FROM hosts), placed AS (SELECT host, n, good, "
+    f"CASE WHEN two IN {reputation.TWO_LABELS} THEN array_to_string(l[-3:], '.') ELSE two END AS domain, CASE WHEN two IN "
+    f"{reputation.TWO_LABELS} THEN two ELSE l[-1] END AS suffix FROM parts), domains AS (SELECT domain, suffix, sum(n)::DOUBLE "
+    "AS n, sum(good) AS good FROM placed GROUP BY 1, 2), suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good, "
+    "coalesce((SELECT sum(good) / nullif(sum(n), 0) FROM domains), 1.0) AS m FROM domains GROUP BY 1), "
+    + _level_sql("by_suffix", "suffixes", "m")
+    + ", domains2 AS (SELECT d.*, by_suffix_mean AS m FROM domains d JOIN by_suffix USING (suffix)), "
+    + _level_sql("by_domain", "domains2", "m")
+    + ", hosts2 AS (SELECT h.host, h.n, h.good, by_domain_mean AS m FROM placed h JOIN by_domain USING (domain)), "
+    + _level_sql("by_host", "hosts2", "m")
+    + ", bounds AS (SELECT host, by_host_mean + "
+    f"{reputation.DEVIATES} * sqrt(by_host_mean * (1 - by_host_mean) / (n + strength + 1)) AS upper FROM by_host) "
+    f"SELECT page_id, host, path, {_rules_sql(0)} AS rule, coalesce({_rules_sql(1)}, CASE WHEN upper < {reputation.THRESHOLD} "
+    "THEN 'block' ELSE 'allow' END) AS verdict, round(upper, 6) AS upper FROM p JOIN bounds USING (host)"
+)
+
+
+@query("op8_reputation", REPUTATION_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
     return reputation.judge(table(spark, sf_dir, "pages"), outcomes)
