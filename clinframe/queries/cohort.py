@@ -426,24 +426,49 @@ def to_sequences(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "missing_mask",
-    f"WITH {i.VISITS_SQL} SELECT user_id, string_agg("
+    f"WITH {i.VISITS_SQL} SELECT user_id, 0 AS part, string_agg("
     + " || ".join(f"CASE WHEN {f} IS NULL THEN '1' ELSE '0' END" for f in LABS)
     + f", ';' {IN_ORDER}) AS mask FROM visits GROUP BY 1",
 )
 def missing_mask(spark: SparkSession, sf: str) -> DataFrame:
     masks = sequence.missing_mask(i.visits(spark, sf), VISITS)
     flags = F.transform("mask", lambda v: F.array_join(v.cast("array<string>"), ""))
-    return masks.select("user_id", F.array_join(flags, ";").alias("mask"))
+    return masks.select("user_id", "part", F.array_join(flags, ";").alias("mask"))
 
 
 @query(
     "record_times",
-    f"WITH {i.VISITS_SQL} SELECT user_id, string_agg(strftime(ts, '%Y-%m-%d'), ',' {IN_ORDER}) AS times "
+    f"WITH {i.VISITS_SQL} SELECT user_id, 0 AS part, string_agg(strftime(ts, '%Y-%m-%d'), ',' {IN_ORDER}) AS times "
     "FROM visits GROUP BY 1",
 )
 def record_times(spark: SparkSession, sf: str) -> DataFrame:
     times = sequence.record_times(i.visits(spark, sf), VISITS)
-    return times.select("user_id", F.array_join("times", ",").alias("times"))
+    return times.select("user_id", "part", F.array_join("times", ",").alias("times"))
+
+
+#: Bounds so small that every record counts as hot and continues in parts.
+FEW_VISITS, FEW_ROWS = 7, 10
+
+
+@query(
+    "record_times_in_parts",
+    f"WITH {i.VISITS_SQL}, placed AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // "
+    f"{FEW_VISITS} AS part FROM visits) SELECT user_id, part::INTEGER AS part, count(*)::INTEGER AS length, "
+    f"string_agg(strftime(ts, '%Y-%m-%d'), ',' {IN_ORDER}) AS times FROM placed GROUP BY 1, 2",
+)
+def record_times_in_parts(spark: SparkSession, sf: str) -> DataFrame:
+    times = sequence.record_times(i.visits(spark, sf), VISITS, part_visits=FEW_VISITS, hot_rows=FEW_ROWS)
+    return times.select("user_id", "part", "length", F.array_join("times", ",").alias("times"))
+
+
+@query(
+    "forward_fill_in_slices",
+    f"WITH {FILLED_SQL} SELECT event_id, {', '.join(LABS)} FROM filled",
+)
+def forward_fill_in_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows as without cutting, though every record is cut."""
+    filled = sequence.forward_fill(i.visits(spark, sf), VISITS, hot_rows=FEW_ROWS)
+    return filled.select("event_id", *LABS)
 
 
 @query(
@@ -463,7 +488,7 @@ def first_note(spark: SparkSession, sf: str) -> DataFrame:
     "pad_sequences",
     f"WITH {FILLED_SQL}, seqs AS (SELECT user_id, count(*) AS length, "
     f"string_agg({_visit_text_sql(LABS)}, ';' {IN_ORDER}) AS x FROM filled GROUP BY 1), "
-    "longest AS (SELECT max(length) AS n FROM seqs) SELECT user_id, "
+    "longest AS (SELECT max(length) AS n FROM seqs) SELECT user_id, 0 AS part, "
     f"x || repeat(';' || '{','.join(['0.00'] * len(LABS))}', (n - length)::BIGINT) AS padded, "
     "repeat('1', length::BIGINT) || repeat('0', (n - length)::BIGINT) AS valid FROM seqs, longest",
 )
@@ -472,7 +497,7 @@ def pad_sequences(spark: SparkSession, sf: str) -> DataFrame:
     padded = sequence.pad_sequences(seqs, len(LABS))
     flags = F.transform("valid", lambda v: v.cast("int").cast("string"))
     return padded.select(
-        "user_id", numbers_text(F.col("padded")).alias("padded"), F.array_join(flags, "").alias("valid")
+        "user_id", "part", numbers_text(F.col("padded")).alias("padded"), F.array_join(flags, "").alias("valid")
     )
 
 
@@ -480,7 +505,7 @@ def pad_sequences(spark: SparkSession, sf: str) -> DataFrame:
     "pad_sequences_by_length_class",
     f"WITH {FILLED_SQL}, seqs AS (SELECT user_id, count(*) AS length, "
     f"string_agg({_visit_text_sql(LABS)}, ';' {IN_ORDER}) AS x FROM filled GROUP BY 1), "
-    "sized AS (SELECT *, (2 ** ceil(log2(length)))::BIGINT AS n FROM seqs) SELECT user_id, "
+    "sized AS (SELECT *, (2 ** ceil(log2(length)))::BIGINT AS n FROM seqs) SELECT user_id, 0 AS part, "
     f"x || repeat(';' || '{','.join(['0.00'] * len(LABS))}', n - length) AS padded, "
     "repeat('1', length) || repeat('0', n - length) AS valid FROM sized",
 )
@@ -489,7 +514,7 @@ def pad_sequences_by_length_class(spark: SparkSession, sf: str) -> DataFrame:
     padded = sequence.pad_sequences(seqs, len(LABS), to=sequence.length_class(F.col("length")))
     flags = F.transform("valid", lambda v: v.cast("int").cast("string"))
     return padded.select(
-        "user_id", numbers_text(F.col("padded")).alias("padded"), F.array_join(flags, "").alias("valid")
+        "user_id", "part", numbers_text(F.col("padded")).alias("padded"), F.array_join(flags, "").alias("valid")
     )
 
 

@@ -181,13 +181,13 @@ def line_sql(lab: str) -> str:
     "series_text",
     f"WITH {FILLED_SQL} "
     + " UNION ALL ".join(
-        f"SELECT user_id, '{lab}' AS feature, {line_sql(lab)} AS text FROM filled GROUP BY 1" for lab in LABS
+        f"SELECT user_id, 0 AS part, '{lab}' AS feature, {line_sql(lab)} AS text FROM filled GROUP BY 1" for lab in LABS
     ),
 )
 def series_text(spark: SparkSession, sf: str) -> DataFrame:
     seqs = sequence.to_sequences(sequence.forward_fill(i.visits(spark, sf), VISITS), VISITS)
-    lines = n.series_text(seqs.select("user_id", "x"), LABS, TEST_DIM)
-    return lines.select("user_id", "feature", "text")
+    lines = n.series_text(seqs.select("user_id", "part", "x"), LABS, TEST_DIM)
+    return lines.select("user_id", "part", "feature", "text")
 
 
 FLAGS = list(fixed.COMORBIDITIES)
@@ -266,7 +266,7 @@ _P = i.sql_hash("user_id || ':' || model")
     f"{number_sql('survival')} || ': ' || coalesce({versus_sql('value', 'survival')}, 'undefined') || '. The deceased center on ' || "
     f"{number_sql('deceased')} || ': ' || coalesce({versus_sql('value', 'deceased')}, 'undefined') || '.', chr(10) ORDER BY rank) AS text "
     "FROM top t JOIN centers c ON t.feature = c.feature GROUP BY 1, 2) "
-    "SELECT r.user_id, r.model, 'Patient ' || r.user_id || chr(10) || series || chr(10) || 'Model ' || r.model || "
+    "SELECT r.user_id, r.model, 0 AS part, 'Patient ' || r.user_id || chr(10) || series || chr(10) || 'Model ' || r.model || "
     f"' puts the risk at ' || {number_sql('p')} || ' (' || {RISK_SQL} || '; ' || {BAND_SQL} || ' of all patients).' || chr(10) || "
     "c.text AS context FROM ranked r JOIN series s ON r.user_id = s.user_id JOIN compared c ON r.user_id = c.user_id AND r.model = c.model",
 )
@@ -310,7 +310,7 @@ def patient_context(spark: SparkSession, sf: str) -> DataFrame:
         n.feature_comparison(top, centers),
         "user_id",
         cohort="all patients",
-    ).select("user_id", "model", "context")
+    ).select("user_id", "model", "part", "context")
 
 
 # --- reviewer responses ------------------------------------------------------------------------------------
