@@ -14,28 +14,29 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Known licence sentences by identifier, as regular expressions over normalised sentences
-#: (lower case, only letters, digits and single blanks). Fixed values.
+#: Known licence sentences by identifier, as regular expressions that are looked for in normalised
+#: sentences (lower case, only letters, digits and single blanks). Fixed values.
+_UNDER = r"(released|licensed|distributed|available|published) under (the )?(terms of (the )?)?(a )?"
 SENTENCES = {
-    "A": r"licensed under (the )?apache license version 2 0",
+    "A": _UNDER + r"apache (license )?(version )?2 0",
     "a": r"you may not use this file except in compliance with the license",
-    "u": r"you may obtain a copy of the license at.*",
-    "w": r".*distributed on an as is basis without warranties or conditions of any kind.*",
-    "M": r"(released|licensed|distributed) under the (terms of the )?mit license",
-    "p": r"permission is hereby granted free of charge to any person obtaining a copy.*",
-    "n": r"the above copyright notice and this permission notice shall be included in.*",
-    "s": r"the software is provided as is without warranty of any kind.*",
-    "G": r"this (work|program|software|file) is licensed under the gnu general public license( version| v)? ?3.*",
-    "H": r"this (work|program|software|file) is licensed under the gnu general public license( version| v)? ?2.*",
-    "f": r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license.*",
-    "N": r"(licensed under|released under|this work is licensed under) (a )?cc by nc 4 0.*",
-    "C": r"(licensed under|released under|this work is licensed under) (a )?cc by 4 0.*",
-    "S": r"(licensed under|released under|this work is licensed under) (a )?cc by sa 4 0.*",
-    "B": r"redistribution and use in source and binary forms with or without modification are permitted.*",
-    "b": r"redistributions of source code must retain the above copyright notice.*",
-    "c": r"redistributions in binary form must reproduce the above copyright notice.*",
-    "e": r"neither the name of .* nor the names of its contributors may be used.*",
-    "R": r"(copyright .* )?all rights reserved",
+    "u": r"you may obtain a copy of the license at",
+    "w": r"distributed on an as is basis without warranties or conditions of any kind",
+    "M": _UNDER + r"mit license",
+    "p": r"permission is hereby granted free of charge to any person obtaining a copy",
+    "n": r"the above copyright notice and this permission notice .{0,60}?shall be included in",
+    "s": r"the software is provided as is without warranty of any kind",
+    "G": _UNDER + r"gnu general public license( version| v)? ?3",
+    "H": _UNDER + r"gnu general public license( version| v)? ?2",
+    "f": r"is free software you can redistribute it and or modify it under the terms of the gnu general public license",
+    "N": _UNDER + r"(cc by nc|creative commons attribution non ?commercial) 4 0",
+    "C": _UNDER + r"(cc by|creative commons attribution) 4 0",
+    "S": _UNDER + r"(cc by sa|creative commons attribution share ?alike) 4 0",
+    "B": r"redistribution and use in source and binary forms with or without modification are permitted",
+    "b": r"redistributions of source code must retain the above copyright notice",
+    "c": r"redistributions in binary form must reproduce the above copyright notice",
+    "e": r"neither the names? of .{1,200}? nor the names of .{1,100}? may be used",
+    "R": r"all rights reserved",
 }
 #: Rules as (licence, identifiers in order), strongest first. Fixed values.
 RULES = (
@@ -56,25 +57,36 @@ RULES = (
 #: Other sentences that may stand between two sentences of a rule.
 GAP = 2
 
-#: A sentence ends at a line end, or at a mark followed by white space.
-_END = r"\n|(?<=[.!?;:])\s+"
+#: A sentence ends at a line without letters and digits, or at a mark followed by white space, but
+#: not at the marks that stand inside known sentences. Other line ends only wrap it.
+_END = (
+    r"\n[^\p{L}\p{N}\n]*\n"
+    r"|(?<=[.!?;:])(?<!(?i:free software)[;:])\s++(?![^\p{L}\p{N}]*+(?i:nor the names))"
+)
 #: Words without which a sentence is none of the known ones.
 _HINT = r"(?i)licen|copy|permi|rights|redistribut|warrant|provided|neither|obtain"
 _OTHER = "."
 
 
 def identifiers(text: Column, sentences: Mapping[str, str] = SENTENCES) -> Column:
-    """One character per sentence of a text: its identifier, or ``.`` for any other sentence."""
+    """One character per sentence of a text: its identifier, or ``.`` for any other sentence. Where
+    no mark parts known sentences, each has its character."""
+    whole = "|".join(f"(?:{p})" for p in sentences.values())
+    pattern = rf"(?<!\bnot )\b(?:{whole})\b"
 
     def normal(s: Column) -> Column:
         return F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))
 
-    def known(s: Column) -> Column:
+    def name(s: Column) -> Column:
         out = F.lit(_OTHER)
-        for name, pattern in reversed(list(sentences.items())):
-            out = F.when(s.rlike(f"^(?:{pattern})$"), name).otherwise(out)
+        for own, known in reversed(list(sentences.items())):
+            out = F.when(s.rlike(f"^(?:{known})$"), own).otherwise(out)
         return out
 
+    def known(s: Column) -> Column:
+        found = F.array_join(F.transform(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)), name), "")
+        return F.when(found == "", _OTHER).otherwise(found)
+
     parts = F.filter(F.split(F.coalesce(text, F.lit("")), _END), lambda s: s.rlike(r"[\p{L}\p{N}]"))
     named = F.transform(parts, lambda s: F.when(s.rlike(_HINT), known(normal(s))).otherwise(_OTHER))
     return F.array_join(named, "")

@@ -60,3 +60,69 @@ def test_gap(spark):
 
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD_3 = BSD_2 + """
+3. Neither the name of Example Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """This program is free software%s you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+def test_canonical_notices(spark):
+    """Wrapped, in comments of three kinds, in one line, and between lines of prose without marks."""
+    notices = [(APACHE, "Apache-2.0"), (MIT, "MIT"), (BSD_2, "BSD-2-Clause"), (BSD_3, "BSD-3-Clause"), (GPL % ";", "GPL"), (GPL % ":", "GPL")]
+    texts, want = [], []
+    for notice, name in notices:
+        lines = notice.split("\n")
+        stars = "/*\n" + "\n".join(f" * {x}".rstrip() for x in lines) + "\n */\nint x"
+        marks = ["\n".join(f"{mark} {x}" for x in lines) for mark in ("#", "//")]
+        forms = [notice, stars, *marks, " ".join(notice.split()), notice.replace("\n", "\r\n"), f"Some title\n{notice}\nlast words"]
+        texts += forms
+        want += [[name]] * len(forms)
+    assert [g[0] for g in scan(spark, texts)] == want
+    assert scan(spark, [APACHE])[0][1] == "Aau.w."
+
+
+def test_sentences_inside_others(spark):
+    texts = [
+        "This project is licensed under the MIT License.",
+        "Licensed under the MIT License\nAll rights reserved\nLicensed under the MIT License",
+        "This project is not licensed under the MIT License.",
+        "This text is made available under the terms of the Creative Commons\nAttribution 4.0 International License",
+    ]
+    assert scan(spark, texts) == [(["MIT"], "M"), (["MIT", "All-rights-reserved"], "MRM"), ([], "."), (["CC-BY-4.0"], "C")]
