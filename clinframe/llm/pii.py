@@ -3,7 +3,8 @@
 Detected entities are reduced to a canonical form (digits of a number, lower case of an address or
 a name), so every spelling of an entity gets the same surrogate in all documents, dressed in the
 format of each occurrence: separators, letter case, and for names the script and, after a title,
-the gender. Candidates come from a keyed hash. All distinct entities of the corpus are then checked
+the gender. A name is found behind a title; its other mentions in the same text are replaced with
+it. Candidates come from a keyed hash. All distinct entities of the corpus are then checked
 together: a candidate that equals a real entity, a surrogate in use, or another entity's candidate
 is drawn again, so distinct entities stay distinct.
 
@@ -50,12 +51,22 @@ ROUNDS = 64
 
 _TITLE = any_of(t for own in TITLES.values() for t in own) + r"\.?"
 _WORD = r"\p{Lu}[\p{L}'’\-]{1,29}"
+# A name does not end with a genitive's mark or a dash.
+_WHOLE = _WORD + r"(?<!['’][sS])(?<!['’\-])"
+# White space between a title and the words of a name.
+_GAP = r"\s{1,4}"
+# What a secret stands behind; a password may be short.
+_PASS, _KEYED, _SIGN = r"(?i:password|passwd)", r"(?i:token|secret|password|passwd|key)", r"\s{0,2}[=:]\s{0,2}"
+_END = r"[^\s\"'<>.,;:!?)\]}]"
 # What a match must begin with, or stand behind, is asked first: looking further back is costly.
-_NAME = rf"(?=\p{{Lu}})(?<= )(?:{'|'.join(rf'(?<=(?<!\p{{L}}){_TITLE} {words}){_WORD}' for words in ('', _WORD + ' ', _WORD + ' ' + _WORD + ' '))})"
+_NAME = rf"(?=\p{{Lu}})(?<=\s)(?:{'|'.join(rf'(?<=(?<!\p{{L}}){_TITLE}{_GAP}{words}){_WHOLE}' for words in ('', _WORD + _GAP, _WORD + _GAP + _WORD + _GAP))})"
 #: Patterns in the order in which they are tried; numbers are told apart afterwards.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
-    "secret": r"(?<=[\"'])(?<=(?:token|secret|password|passwd|key)\s{0,2}[=:]\s{0,2}[\"'])[^\"'\s]{8,}(?=[\"'])",
+    # Behind a colon, words that only look like a value are common after "key", "token" and "secret".
+    "secret": rf"(?<=[\"'=:\s])(?:(?<=[\"'])(?:(?<={_KEYED}{_SIGN}[\"'])[^\"'\s]{{8,}}|(?<={_PASS}{_SIGN}[\"'])[^\"'\s]{{4,}})(?=[\"'])"
+    rf"|(?<=[=:]\s{{0,2}})(?:(?<={_PASS}{_SIGN})[^\s\"'<>]{{3,}}{_END}"
+    rf"|(?<={_KEYED}\s{{0,2}}=\s{{0,2}})[^\s\"'<>]{{7,}}{_END}|(?<={_KEYED}{_SIGN})(?=[^\s\"'<>]*\d)[^\s\"'<>]{{7,}}{_END}))",
     "iban": r"(?=[A-Z]{2}\d{2})(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "number": r"(?=[\d+(])(?:"
     r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
@@ -67,9 +78,11 @@ PATTERNS = {
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must hold for any pattern to match.
-_HINT = rf"[0-9@]|(?:token|secret|password|passwd|key)\s{{0,2}}[=:]|(?<!\p{{L}}){_TITLE} "
+_TITLED = rf"(?<!\p{{L}}){_TITLE}\s"
+_HINT = rf"[0-9@]|{_KEYED}\s{{0,2}}[=:]|{_TITLED}"
 
 _DIGIT = r"^\d$"
+_HEX = "^[0-9A-Fa-f]+$"
 
 
 def _kind(found: Column) -> Column:
@@ -89,14 +102,15 @@ def _script(word: Column) -> Column:
 
 
 def _gender(before: Column) -> Column:
-    ends = lambda own: before.rlike(rf"(?<!\p{{L}})(?:{'|'.join(own)})\.? $")
+    ends = lambda own: before.rlike(rf"(?<!\p{{L}})(?:{'|'.join(own)})\.?{_GAP}$")
     return F.when(ends(TITLES["m"]), "m").when(ends(TITLES["f"]), "f").otherwise("u")
 
 
 def _canon(kind: Column, found: Column) -> Column:
     number = kind.isin("phone", "card", "ssn")
     out = F.when(number, F.regexp_replace(found, r"\D", "")).when(kind == "iban", F.regexp_replace(found, " ", ""))
-    return out.when(kind.isin("secret", "ip"), found).otherwise(F.lower(found))
+    out = out.when((kind == "secret") & ~found.rlike(_HEX), found)
+    return out.when(kind == "ip", found).otherwise(F.lower(found))
 
 
 def _pick(choices: list[str], draw: Column) -> Column:
@@ -222,20 +236,58 @@ def _dressed(kind: Column, found: Column, drawn: Column) -> Column:
     upper = F.when((F.upper(found) == found) & (F.length(found) > 1), F.upper(drawn)).otherwise(F.initcap(drawn))
     out = F.when(kind.isin("phone", "card", "ssn"), filled(r"^\d$")).when(kind == "iban", filled("^[A-Z0-9]$"))
     out = out.when(kind == "email", F.array_join(F.transform(chars, cased), ""))
+    out = out.when((kind == "secret") & found.rlike("^[0-9A-F]*[A-F][0-9A-F]*$"), F.upper(drawn))
+    out = out.when((kind == "secret") & found.rlike(_HEX) & found.rlike("[A-F]"), F.array_join(F.transform(chars, cased), ""))
     return out.when(kind.isin("ip", "secret"), drawn).otherwise(upper)
 
 
+def _full_kind(found: Column, before: Column, after: Column, following: Column) -> Column:
+    """Type of a match. Names take gender and part from what stands around them."""
+    kind, script = _kind(found), _script(found)
+    keyed = before.rlike(rf"{_KEYED}{_SIGN}[\"']?$")
+    is_given = after.rlike(rf"^{_GAP}$") & F.coalesce(_kind(following) == "name", F.lit(False))
+    name = F.when(is_given, F.concat_ws("_", F.lit("given"), script, _gender(before))).otherwise(F.concat_ws("_", F.lit("surname"), script))
+    return F.when((kind == "name") & keyed, "secret").when(kind == "name", name).otherwise(kind)
+
+
+def _is_name(kind: Column) -> Column:
+    return kind.startswith("given_") | kind.startswith("surname_")
+
+
+def _with_mentions(rows: DataFrame, text: str) -> DataFrame:
+    """Adds _names (canon, kind), the names that stand behind a title in a text, and extends _found
+    and _pieces by their other mentions in that text as whole words, capitalised or in capitals."""
+    found, pieces = F.col("_found"), F.col("_pieces")
+
+    def one(x: Column, i: Column) -> Column:
+        kind = _full_kind(x, pieces[i], pieces[i + 1], F.get(found, i + 1))
+        return F.struct(F.lower(x).alias("canon"), kind.alias("kind"), x.alias("found"))
+
+    names = F.filter(F.transform("_found", one), lambda x: _is_name(x["kind"]))
+    names = F.when(F.col(text).rlike(_TITLED), names).otherwise(F.array().cast("array<struct<canon:string,kind:string,found:string>>"))
+    rows = rows.withColumn("_names", F.array_distinct(names))
+    spelled = F.flatten(F.transform("_names", lambda x: F.array(x["found"], F.upper(x["found"]), F.initcap(x["canon"]))))
+    # Longer spellings are tried first.
+    longest = F.array_sort(F.array_distinct(spelled), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    own = F.concat(F.lit(_ANY + r"|(?=\p{Lu})(?<![\p{L}\p{N}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    rows = rows.withColumn("_own", F.when(F.size("_names") > 0, own))
+    return rows.withColumns(
+        {
+            "_found": F.when(F.col("_own").isNull(), found).otherwise(F.regexp_extract_all(text, F.col("_own"), F.lit(0))),
+            "_pieces": F.when(F.col("_own").isNull(), pieces).otherwise(F.split(F.col(text), F.col("_own"), -1)),
+        }
+    ).drop("_own")
+
+
 def _occurrences(rows: DataFrame) -> DataFrame:
-    """One row per match: _id, _hash, pos, found, kind, canon. Names take gender and part from
-    what stands around them."""
-    at = rows.select("_id", "_hash", "_pieces", "_found", F.posexplode("_found").alias("pos", "found"))
+    """One row per match: _id, _hash, pos, found, kind, canon. Every mention of a name in a text is
+    of one kind: given where any of them is."""
+    at = rows.select("_id", "_hash", "_pieces", "_found", "_names", F.posexplode("_found").alias("pos", "found"))
     before, after = F.col("_pieces")[F.col("pos")], F.col("_pieces")[F.col("pos") + 1]
-    following = F.get("_found", F.col("pos") + 1)
-    script = _script(F.col("found"))
-    is_given = (after == " ") & F.coalesce(_kind(following) == "name", F.lit(False))
-    name = F.when(is_given, F.concat_ws("_", F.lit("given"), script, _gender(before))).otherwise(F.concat_ws("_", F.lit("surname"), script))
-    kind = _kind(F.col("found"))
-    at = at.select("_id", "_hash", "pos", "found", F.when(kind == "name", name).otherwise(kind).alias("kind"))
+    kind = _full_kind(F.col("found"), before, after, F.get("_found", F.col("pos") + 1))
+    at = at.select("_id", "_hash", "pos", "found", "_names", kind.alias("kind"))
+    known = F.array_min(F.transform(F.filter("_names", lambda x: x["canon"] == F.lower("found")), lambda x: x["kind"]))
+    at = at.withColumn("kind", F.when(_is_name(F.col("kind")), F.coalesce(known, "kind")).otherwise(F.col("kind"))).drop("_names")
     return at.withColumn("canon", _canon(F.col("kind"), F.col("found")))
 
 
@@ -255,7 +307,7 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
             "_hash": F.xxhash64(text),
         }
     )
-    rows = stored(rows)
+    rows = stored(_with_mentions(rows, text))
     met = stored(_occurrences(rows))
     table = surrogates(met.select("kind", "canon").distinct(), key)
     # Dressed once per spelling, not per occurrence.

@@ -94,3 +94,27 @@ def test_native_plan(spark):
     df = spark.createDataFrame(DOCS, "doc_id long, text string")
     plan = pii.replace(df, "k").select(F.col("text"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+HEX = "9233a8ec0b1c2d3e4f5061728394a5b6c7d8e9f0"
+
+
+def test_secrets_in_any_case_and_without_quotes(spark):
+    texts = [
+        f'token = "{HEX}"',
+        f'TOKEN = "{HEX.upper()}"',
+        "Password: hunter22x.",
+        "API_KEY=AbCdEfGhIjKl and more",
+        "PASSWD: Winters, then",
+        'Secret: "Xy12!abcQ"',
+        "The key: understanding; a secret: nobody.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in pii.replace(df, "k").orderBy("doc_id").collect()]
+    low, up = re.fullmatch('token = "([0-9a-f]{40})"', got[0]), re.fullmatch('TOKEN = "([0-9A-F]{40})"', got[1])
+    assert low[1] != HEX and low[1].upper() == up[1]
+    assert re.fullmatch(r"Password: [a-z]{6}\d\d[a-z]\.", got[2]) and "hunter" not in got[2]
+    assert re.fullmatch(r"API_KEY=([A-Z][a-z]){6} and more", got[3]) and "AbCd" not in got[3]
+    assert re.fullmatch(r"PASSWD: [A-Z][a-z]{6}, then", got[4]) and "Winters" not in got[4]
+    assert re.fullmatch(r'Secret: "[A-Z][a-z]\d\d![a-z]{3}[A-Z]"', got[5]) and "Xy12" not in got[5]
+    assert got[6] == texts[6]
