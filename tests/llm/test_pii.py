@@ -118,3 +118,18 @@ def test_secrets_in_any_case_and_without_quotes(spark):
     assert re.fullmatch(r"PASSWD: [A-Z][a-z]{6}, then", got[4]) and "Winters" not in got[4]
     assert re.fullmatch(r'Secret: "[A-Z][a-z]\d\d![a-z]{3}[A-Z]"', got[5]) and "Xy12" not in got[5]
     assert got[6] == texts[6]
+
+
+def test_later_mentions_of_titled_names(spark):
+    """Planted: 30 texts with a titled name, in seven mentions each; and the same surname without
+    any title in 10 further texts, which is not found."""
+    names = [(f"Gi{chr(97 + k)}va", f"Sur{chr(97 + k)}nom") for k in range(26)] + [("Zoé", "Ångström"), ("John", "Smith"), ("Анна", "Петрова"), ("Jo", "O'Neil")]
+    form = "Mr. {g} {s} came. {s} said that\nMr.\n{s}'s friend and {S} saw {g}, {s}-like; not {s}x."
+    texts = [form.format(g=g, s=s, S=s.upper()) for g, s in names] + [f"Here {s} stood." for _, s in names[:10]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r["text"], r["n_entities"]) for r in pii.replace(df, "k").orderBy("doc_id").collect()]
+    for (g, s), (text, n) in zip(names, got, strict=False):
+        new = re.match(r"Mr\. (\w+) (\w+) came", text)
+        assert text == form.format(g=new[1], s=new[2], S=new[2].upper()).replace(new[2] + "x", s + "x") and n == 7
+        assert g not in text and new[2] != s
+    assert [t for t, _ in got[30:]] == texts[30:]
