@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinframe.llm import bitsliced, bpe, licenses, mixing, pii, repeats, reputation, simhash, spotsigs, toxicity
+from clinframe.llm import bitsliced, bpe, infill, licenses, mixing, pii, repeats, reputation, simhash, spotsigs, toxicity
 from clinframe.llm.common import table
 from clinframe.queries.registry import Query
 
@@ -157,3 +157,47 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_repeats")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: Tokens, draws and cuts as lists; the text is its own restoration.
+INFILL_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS parts
+  FROM documents
+), drawn AS (
+  SELECT doc_id, text, parts, CAST(len(parts) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1,
+         CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+  FROM cut
+), placed AS (
+  SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, parts,
+         CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), three AS (
+  SELECT doc_id, n, form, text, coalesce(array_to_string(parts[1:a], ''), '') AS p,
+         coalesce(array_to_string(parts[a + 1:b], ''), '') AS m, coalesce(array_to_string(parts[b + 1:], ''), '') AS s
+  FROM placed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM three
+"""
+
+
+@query("op13_infill", INFILL_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    output, form = F.col("infill.output"), F.col("infill.form")
+    return made.select(
+        "doc_id",
+        "infill.n",
+        form.alias("form"),
+        "infill.prefix_chars",
+        "infill.middle_chars",
+        F.sha2(output.cast("binary"), 256).alias("output_sha256"),
+        F.sha2(infill.restored(output, form).cast("binary"), 256).alias("restored_sha256"),
+    )
