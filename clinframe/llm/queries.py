@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinframe.llm import bitsliced, bpe, infill, licenses, mixing, pii, repeats, reputation, simhash, spotsigs, toxicity
+from clinframe.llm import bitsliced, bpe, dialogue, infill, licenses, mixing, pii, repeats, reputation, simhash, spotsigs, toxicity
 from clinframe.llm.common import table
 from clinframe.queries.registry import Query
 
@@ -201,3 +201,96 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(output.cast("binary"), 256).alias("output_sha256"),
         F.sha2(infill.restored(output, form).cast("binary"), 256).alias("restored_sha256"),
     )
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows of ``conversations`` as op12 damages them; ``there`` is false for those it drops."""
+    name = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat(name[0], F.lit(":"), name[1]).cast("binary")) % 20
+    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
+    marks = F.regexp_replace(text, "[.!?]", "")
+    rows = conversations.select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, "user").otherwise(role).alias("role"),
+        F.when(kind == 0, None).when(kind == 1, "").when(kind == 2, marks).otherwise(text).alias("text"),
+        (kind != 0).alias("there"),
+        F.explode(F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1))).alias("copy"),
+    )
+    return rows.drop("copy")
+
+
+def _least(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+def _edit(state: str, price: str, letter: str) -> str:
+    return f"{{'c': {state}.c + {price}, 'a': {state}.a || '{letter}'}}"
+
+
+_NEVER = "{'c': 1000000000, 'a': ''}"
+_ENTER = _least("b0", "b1", "b3")
+#: The same edits as a recurrence over turns and states (b0: start, b1: system, b2: user, b3: assistant).
+DIALOGUE_SQL = rf"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1
+         THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM (SELECT unnest(range(256)) AS i))
+), given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations
+), drawn AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT)),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) % 20 AS kind FROM given, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM drawn WHERE kind <> 0
+), placed AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged
+), marked AS (
+  SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][ 	-]*\z') AS open, role[1:1] AS i,
+         lag(role) OVER (PARTITION BY conv_id ORDER BY pos)[1:1] || role[1:1] AS two FROM placed
+), coded AS (
+  SELECT *, blank OR again AS gone, CAST(NOT blank AND NOT again AND open AS BIGINT) AS cut FROM marked
+), search AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, {{'c': CAST(0 AS BIGINT), 'a': ''}} AS b0, {_NEVER} AS b1, {_NEVER} AS b2, {_NEVER} AS b3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, pos, {_edit("b0", "3", "D")},
+         {_least(_edit("b1", "3", "D"), f"CASE WHEN NOT gone AND i = 's' THEN {_edit('b0', 'cut', 'K')} ELSE {_NEVER} END")},
+         {_least(_edit("b2", "3", "D"), f"CASE WHEN NOT gone THEN {_edit('entered', '2 + cut', 'R')} ELSE {_NEVER} END", f"CASE WHEN NOT gone AND i = 'u' THEN {_edit('entered', 'cut', 'K')} ELSE {_NEVER} END")},
+         {_least(_edit("b3", "3", "D"), f"CASE WHEN NOT gone THEN {_edit('b2', '2 + cut', 'R')} ELSE {_NEVER} END", f"CASE WHEN NOT gone AND i = 'a' THEN {_edit('b2', 'cut', 'K')} ELSE {_NEVER} END")}
+  FROM (
+    SELECT *, {_ENTER} AS entered FROM (
+      SELECT conv_id, pos, gone, cut, i, b0, b1, b2, {_least("b3", _edit("b2", "2", "I"))} AS b3 FROM (
+        SELECT c.conv_id, c.pos, gone, cut, i, b0, b1, b3, {_least("b2", _edit(_ENTER, "2", "I"))} AS b2
+        FROM search s JOIN coded c ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND c.pos = s.pos + 1)))
+), ends AS (
+  SELECT conv_id, {_least("b0", "b3", _edit(_least("b2", _edit(_ENTER, "2", "I")), "2", "I"))} AS best
+  FROM search QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1
+), letters AS (
+  SELECT conv_id, unnest(string_split(best.a, '')) AS letter, unnest(range(length(best.a))) AS k FROM ends WHERE best.a <> ''
+), numbered AS (
+  SELECT *, sum(CAST(letter <> 'I' AS INT)) OVER w AS pos, sum(CAST(letter <> 'D' AS INT)) OVER w - 1 AS place,
+         sum(CAST(letter <> 'D' AS INT)) OVER (PARTITION BY conv_id) AS total FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+), kept AS (
+  SELECT n.conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (total - place) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':'
+         || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS repaired
+  FROM numbered n LEFT JOIN placed p ON n.conv_id IS NOT DISTINCT FROM p.conv_id AND n.pos = p.pos WHERE letter <> 'D' GROUP BY 1
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+         count_if(again AND NOT blank) AS duplicate, sum(cut) AS truncated, count_if(two NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM coded GROUP BY 1
+)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, best.c AS cost, best.a AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN kept k ON e.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
+
+
+@query("op12_dialogue", DIALOGUE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damaged(table(spark, sf_dir, "conversations"))
+    return dialogue.repair(rows, there=F.col("there"))
