@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinframe.llm import bitsliced, bpe, dialogue, infill, licenses, mixing, pii, repeats, reputation, simhash, spotsigs, toxicity
+from clinframe.llm import bitsliced, bpe, dialogue, infill, licenses, mixing, pii, repeats, reputation, secret_tags, simhash, spotsigs, toxicity
 from clinframe.llm.common import table
 from clinframe.queries.registry import Query
 
@@ -248,8 +248,10 @@ WITH RECURSIVE crc_table AS (
 ), placed AS (
   SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged
 ), marked AS (
-  SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
-         NOT regexp_matches(text, '[.!?][ 	-]*\z') AS open, role[1:1] AS i,
+  SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][ 	-
+]*\z') AS open, role[1:1] AS i,
          lag(role) OVER (PARTITION BY conv_id ORDER BY pos)[1:1] || role[1:1] AS two FROM placed
 ), coded AS (
   SELECT *, blank OR again AS gone, CAST(NOT blank AND NOT again AND open AS BIGINT) AS cut FROM marked
@@ -294,3 +296,23 @@ FROM ends e LEFT JOIN counts c ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = damaged(table(spark, sf_dir, "conversations"))
     return dialogue.repair(rows, there=F.col("there"))
+
+
+@query("op11_secrets")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_tags.scan(docs, secret_tags.train(docs)).select("doc_id", "secrets")
+    base = F.filter("secrets", lambda s: s["kind"] != "tagged")
+
+    def named(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, secret_tags.KINDS),
+        F.sha2(named(base).cast("binary"), 256).alias("base_sha256"),
+        named(F.col("secrets")).alias("spans"),
+    )
