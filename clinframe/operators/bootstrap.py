@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinframe.functions.hashing import unit_hash
+from clinframe.functions.hashing import HEX_DIGITS, unit_hash
 from clinframe.operators.metrics import unpivot_metrics
 from clinframe.operators.skew import HOT_ROWS, running_sums, spread
 from clinframe.schema import col
@@ -132,3 +132,106 @@ def bootstrap(
     return long.groupBy(*map(col, by), "metric").agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")
     )
+
+
+# --- resamples by cells --------------------------------------------------------------------------
+
+#: Rows of a cell up to which its draw is inverted exactly; beyond, by an expansion of the quantile.
+EXACT_MEAN = 100
+#: A rational approximation of the normal quantile (relative error below 2e-9), as
+#: numerators and denominators of the middle and of the tails, highest power first.
+MIDDLE = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+)
+TAIL = (
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+)
+TAIL_FROM = 0.02425
+
+
+def poisson_table(spark: SparkSession, most: int = EXACT_MEAN) -> DataFrame:
+    """``(rows, below)``: for each mean up to ``most`` P(at most 0), P(at most 1), … as far as they
+    rise. One row per mean."""
+    out = []
+    for mean in range(1, most + 1):
+        term = total = math.exp(-mean)
+        below = [total]
+        while len(below) <= mean or total + term * mean / len(below) > total:
+            term = term * mean / len(below)
+            total += term
+            below.append(total)
+        out.append((mean, below))
+    return spark.createDataFrame(out, "rows bigint, below array<double>")
+
+
+def _ratio(parts: tuple[tuple[float, ...], tuple[float, ...]], x: Column) -> Column:
+    def polynomial(factors: tuple[float, ...]) -> Column:
+        value = F.lit(factors[0])
+        for f in factors[1:]:
+            value = value * x + F.lit(f)
+        return value
+
+    return polynomial(parts[0]) / polynomial(parts[1])
+
+
+def normal_quantile(u: Column) -> Column:
+    """The number that a standard normal variable stays below with chance ``u`` in (0, 1)."""
+    half = u - 0.5
+    low, high = F.sqrt(-2 * F.log(u)), F.sqrt(-2 * F.log(1 - u))
+    middle = half * _ratio(MIDDLE, half * half)
+    return F.when(u < TAIL_FROM, _ratio(TAIL, low)).when(u > 1 - TAIL_FROM, -_ratio(TAIL, high)).otherwise(middle)
+
+
+def poisson_quantile(u: Column, mean: Column, below: Column) -> Column:
+    """A Poisson variable of a whole ``mean`` from a uniform number: the count of cumulative chances
+    in ``below`` up to it, or, where that is NULL, an expansion around the normal quantile."""
+    z = normal_quantile(u)
+    root = F.sqrt(mean.cast("double"))
+    value = mean + z * root + (z * z - 1) / 6 + (z - z * z * z) / (72 * root)
+    large = F.greatest(F.floor(value + 0.5), F.lit(0))
+    return F.when(below.isNull(), large).otherwise(F.size(F.filter(below, lambda c: c <= u))).cast("bigint")
+
+
+def cell_resamples(
+    df: DataFrame,
+    cells: Sequence[str],
+    replicates: int = REPLICATES,
+    seed: int = SEED,
+    draw_key: Sequence[Column] | None = None,
+) -> DataFrame:
+    """``cells`` with ``replicate`` (from 1) and ``weight`` (> 0): how many rows of the cell a resample
+    has.
+
+    The weights of ``n`` equal rows add up to one Poisson variable of mean ``n``, so a cell makes a
+    single draw per replicate, whatever its size. It depends on ``draw_key`` (by default the cell),
+    seed and replicate only; the key must tell cells apart. NULL cells are cells.
+    """
+    counted = df.groupBy(*map(col, cells)).agg(F.count(F.lit(1)).alias("_rows"))
+    key = draw_key or [F.coalesce(col(c).cast("string"), F.lit("\u0000")) for c in cells]
+    known = F.broadcast(poisson_table(df.sparkSession).withColumnRenamed("rows", "_rows"))  # EXACT_MEAN rows
+    placed = counted.select(*map(col, cells), "_rows", F.concat_ws(":", *key, F.lit(str(seed))).alias("_key")).join(known, "_rows", "left")
+    each = spread(placed, cells).select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    u = unit_hash(F.col("_key"), F.col("replicate")) + F.lit(0.5 / 16**HEX_DIGITS)
+    drawn = each.withColumn("_u", u).withColumn("weight", poisson_quantile(F.col("_u"), F.col("_rows"), F.col("below")))
+    return drawn.where("weight > 0").drop("_rows", "_key", "_u", "below")
+
+
+def bootstrap_cells(
+    df: DataFrame,
+    metric: Callable[..., DataFrame],
+    metrics: Sequence[str],
+    cells: Sequence[str] = ("y", "p"),
+    by: Sequence[str] = (),
+    replicates: int = REPLICATES,
+    seed: int = SEED,
+    draw_key: Sequence[Column] | None = None,
+    **options,
+) -> DataFrame:
+    """Like :func:`bootstrap`, for a metric that reads the columns ``cells`` only: rows that agree in
+    them are drawn together. Work after one aggregation grows with the cells, not with the rows."""
+    sample = cell_resamples(df, [*by, *cells], replicates, seed, draw_key)
+    scored = metric(sample, by=[*by, "replicate"], weight="weight", **options)
+    long = unpivot_metrics(scored, [*by, "replicate"], metrics)
+    return long.groupBy(*map(col, by), "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))

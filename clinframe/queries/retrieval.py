@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinframe.operators import retrieval, similarity
+from clinframe.operators import radius, retrieval, similarity
 from clinframe.queries import inputs as i
 from clinframe.queries.cohort import rounded
 from clinframe.queries.registry import query
@@ -225,6 +225,19 @@ def patient_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("record_id", "neighbour", "rank", *rounded(["distance", "kernel"]))
 
 
+#: A radius that holds few of the other test vectors.
+NEAR = 1.2
+
+
+@query(
+    "patient_radius",
+    f"WITH {DISTANCE_SQL} SELECT vec_id AS record_id, count(neighbour) AS neighbours, min(neighbour) AS smallest FROM vecs "
+    f"LEFT JOIN pairs ON vec_id = record_id AND d <= {round(NEAR * NEAR, 10)!r} GROUP BY 1",
+)
+def patient_radius(spark: SparkSession, sf: str) -> DataFrame:
+    return radius.patient_radius(i.vectors(spark, sf), NEAR)
+
+
 @query(
     "kernel_bandwidth",
     f"WITH {DISTANCE_SQL} SELECT (SELECT count(*) FROM vecs) AS n, round(sum(d) / (SELECT count(*) * count(*) - count(*) "

@@ -356,6 +356,56 @@ def bootstrap_exact_size(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _ratio_sql(parts, x: str) -> str:
+    def polynomial(factors) -> str:
+        value = f"({factors[0]!r}::DOUBLE)"
+        for f in factors[1:]:
+            value = f"({value} * {x} + {f!r}::DOUBLE)"
+        return value
+
+    return f"{polynomial(parts[0])} / {polynomial(parts[1])}"
+
+
+_TAILED = bootstrap.TAIL_FROM
+#: Draws per cell: chances of means up to 100 by recursion, larger ones by the same expansion.
+CELLS_SQL = (
+    f"WITH RECURSIVE {i.PREDS_TIES_SQL}, cells AS (SELECT grp, y, p, count(*) AS n FROM preds GROUP BY ALL), "
+    "chances AS (SELECT n, 0 AS k, exp(-n::DOUBLE) AS term, exp(-n::DOUBLE) AS total FROM (SELECT DISTINCT n FROM cells "
+    f"WHERE n <= {bootstrap.EXACT_MEAN}) UNION ALL SELECT n, k + 1, term * n / (k + 1), total + term * n / (k + 1) FROM chances "
+    "WHERE k < n OR total + term * n / (k + 1) > total), drawn AS (SELECT grp, y, p, n, r AS replicate, "
+    + i.sql_hash("grp || ':' || y || ':' || round(p * 1000)::BIGINT || ':42:' || r")
+    + f" + {0.5 / 16**13!r}::DOUBLE AS u FROM cells, range(1, 101) g(r)), placed AS (SELECT *, CASE WHEN u < {_TAILED} THEN "
+    + _ratio_sql(bootstrap.TAIL, "sqrt(-2 * ln(u))")
+    + f" WHEN u > 1 - {_TAILED} THEN -("
+    + _ratio_sql(bootstrap.TAIL, "sqrt(-2 * ln(1 - u))")
+    + ") ELSE (u - 0.5) * ("
+    + _ratio_sql(bootstrap.MIDDLE, "((u - 0.5) * (u - 0.5))")
+    + ") END AS z FROM drawn), sample AS (SELECT grp, y, p, replicate, CASE WHEN n > "
+    + f"{bootstrap.EXACT_MEAN} THEN greatest(floor(n + z * sqrt(n) + (z * z - 1) / 6 + (z - z * z * z) / (72 * sqrt(n)) + 0.5), 0) "
+    "ELSE (SELECT count(*) FROM chances c WHERE c.n = placed.n AND c.total <= u) END AS weight FROM placed), kept AS (SELECT * "
+    "FROM sample WHERE weight > 0), "
+)
+
+
+@query(
+    "bootstrap_by_cells",
+    CELLS_SQL
+    + curve_sql("kept", "grp, replicate", "weight * y", "weight * (1 - y)")
+    + f", ranked AS (SELECT grp, replicate, {RANKING_SQL} FROM curve GROUP BY ALL), classed AS (SELECT grp, replicate, "
+    "sum(CASE WHEN (p > 0.5) = (y = 1) THEN weight ELSE 0 END) / sum(weight) AS accuracy, 2 * sum(CASE WHEN p > 0.5 AND y = 1 "
+    "THEN weight ELSE 0 END) / (sum(CASE WHEN p > 0.5 THEN weight ELSE 0 END) + sum(weight * y)) AS f1 FROM kept GROUP BY ALL), "
+    "m AS (SELECT * FROM ranked JOIN classed USING (grp, replicate)) "
+    + " UNION ALL ".join(
+        f"SELECT grp, '{m}' AS metric, round(avg({m}), 6) AS mean, round(stddev_pop({m}), 6) AS std FROM m GROUP BY grp" for m in BINARY
+    ),
+)
+def bootstrap_by_cells(spark: SparkSession, sf: str) -> DataFrame:
+    preds = i.preds_ties(spark, sf)
+    key = [F.col("grp"), F.col("y").cast("string"), F.round(F.col("p") * 1000).cast("bigint").cast("string")]
+    out = bootstrap.bootstrap_cells(preds, metrics.binary_metrics, BINARY, by=["grp"], draw_key=key)
+    return out.select("grp", "metric", *rounded(["mean", "std"]))
+
+
 # --- reports -----------------------------------------------------------------------------------------------
 
 
