@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clinframe.schema import col
 from clinframe.session import stored
 
 #: Bytes that part words: blank, tab, line feed, vertical tab, form feed, carriage return.
@@ -35,6 +36,26 @@ def any_of(words: Iterable[str]) -> str:
     return f"(?:{'|'.join(parts)}){'?' if '' in words else ''}"
 
 
+#: Column that holds what an operator does not read.
+REST = "rest of the row"
+
+
+def apart(docs: DataFrame, needed: Collection[str]) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with all columns but ``needed`` in one struct, so that no name clashes with those an
+    operator adds; and a function that gives a result the columns of ``docs`` back, in their order,
+    and the ``added`` ones behind them, which replace columns of the same name."""
+    kept = [c for c in docs.columns if c in needed]
+    rest = [c for c in docs.columns if c not in needed]
+    slim = docs.select(*map(col, kept), F.struct(*map(col, rest)).alias(REST)) if rest else docs
+
+    def whole(df: DataFrame, added: Sequence[str] = ()) -> DataFrame:
+        new = {c.lower() for c in added}
+        names = [c for c in docs.columns if c.lower() not in new]
+        return df.select(*[F.col(f"`{REST}`")[c].alias(c) if c in rest else col(c) for c in names], *map(col, added))
+
+    return slim, whole
+
+
 def shuffle_tasks(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, for steps that sort within partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

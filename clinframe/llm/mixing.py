@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinframe.llm.common import WORD, shuffle_tasks
+from clinframe.llm.common import WORD, apart, shuffle_tasks
 from clinframe.session import stored
 
 WEIGHTS = (3, 1, 2)
@@ -135,8 +135,10 @@ def mix(
     Sources count by code point, null last, and weigh ``weights``, repeating; their sizes and
     names come to the driver, one row per source. Documents without words get copies by a draw of
     their own. Repeated rows are documents each; a null id draws like id 0. An empty table gives
-    no rows; sources without words have target 0.
+    no rows; sources without words have target 0. Of further columns those named like an added one
+    are replaced.
     """
+    docs, whole_rows = apart(docs, ("doc_id", "source", "size", "lang", "text"))
     names = docs.columns
     totals = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     found = sorted(totals.collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
@@ -173,4 +175,4 @@ def mix(
     for part in parts[1:]:
         whole = whole.unionByName(part)
     copies = (F.col("_whole") + F.col("_pi")).cast("int")
-    return whole.select(*names, "source_size", "target", copies.alias("copies"))
+    return whole_rows(whole.withColumn("copies", copies), ("source_size", "target", "copies"))

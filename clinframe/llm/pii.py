@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinframe.llm.common import any_of
+from clinframe.llm.common import any_of, apart
 from clinframe.session import stored
 
 #: Titles by gender (m, f, or u for either). Fixed values.
@@ -46,8 +46,9 @@ ENDINGS = {
     "cyrillic_m": "слав", "cyrillic_f": "ина", "cyrillic_u": "ша", "cyrillic": "ко",
     "greek_m": "ος", "greek_f": "ία", "greek_u": "ι", "greek": "ίδης",
 }
-#: Rounds of drawing after which something must be wrong.
-ROUNDS = 64
+#: Rounds of drawing after which a mailbox or a secret gets one character more, as its format has
+#: hardly a free place left; numbers and addresses have over 10^9, and keep their format.
+WIDEN = 6
 
 _TITLE = any_of(t for own in TITLES.values() for t in own) + r"\.?"
 _WORD = r"\p{Lu}[\p{L}'’\-]{1,29}"
@@ -64,7 +65,8 @@ _NAME = rf"(?=\p{{Lu}})(?<=\s)(?:{'|'.join(rf'(?<=(?<!\p{{L}}){_TITLE}{_GAP}{wor
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
     # Behind a colon, words that only look like a value are common after "key", "token" and "secret".
-    "secret": rf"(?<=[\"'=:\s])(?:(?<=[\"'])(?:(?<={_KEYED}{_SIGN}[\"'])[^\"'\s]{{8,}}|(?<={_PASS}{_SIGN}[\"'])[^\"'\s]{{4,}})(?=[\"'])"
+    # What holds no letter and no digit, such as ****, hides a secret already.
+    "secret": rf"(?<=[\"'=:\s])(?=[^\"'\s<>]*[\p{{L}}\p{{N}}])(?:(?<=[\"'])(?:(?<={_KEYED}{_SIGN}[\"'])[^\"'\s]{{8,}}|(?<={_PASS}{_SIGN}[\"'])[^\"'\s]{{4,}})(?=[\"'])"
     rf"|(?<=[=:]\s{{0,2}})(?:(?<={_PASS}{_SIGN})[^\s\"'<>]{{3,}}{_END}"
     rf"|(?<={_KEYED}\s{{0,2}}=\s{{0,2}})[^\s\"'<>]{{7,}}{_END}|(?<={_KEYED}{_SIGN})(?=[^\s\"'<>]*\d)[^\s\"'<>]{{7,}}{_END}))",
     "iban": r"(?=[A-Z]{2}\d{2})(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
@@ -176,7 +178,11 @@ def _candidate(key: str, attempt: Column) -> Column:
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
     # People of one domain stay together.
     host = _scramble(host, F.sha2(F.concat_ws("\n", F.lit(key), F.lit("domain"), domain), 256))
-    email = F.concat(_scramble(local, seed), F.lit("@"), host, top)
+    more = F.floor(attempt / WIDEN).cast("int")
+    hexadecimal = canon.rlike("^[0-9a-f]+$")
+    like = F.when(canon.rlike("^[0-9]+$"), "0").otherwise("a")
+    tail = _scramble(F.repeat(like, more), F.sha2(seed.cast("binary"), 256), hexadecimal)
+    email = F.concat(_scramble(local, seed), tail, F.lit("@"), host, top)
     octet = lambda i: (F.pmod(F.xxhash64(seed, F.lit(i)), F.lit(223)) + 1).cast("string")
     numbers = _scramble(canon, seed)
     first = F.substring(canon, 1, 1)
@@ -189,18 +195,17 @@ def _candidate(key: str, attempt: Column) -> Column:
     out = out.when(kind == "card", F.concat(body, check.cast("int").cast("string")))
     out = out.when((kind == "phone") & (F.length(canon) > 10), F.concat(first, F.substring(numbers, F.lit(2), most)))
     out = out.when(kind == "iban", F.concat(F.substring(canon, 1, 2), F.substring(numbers, F.lit(3), most)))
-    out = out.when(kind == "secret", _scramble(canon, seed, canon.rlike("^[0-9a-f]+$")))
+    out = out.when(kind == "secret", F.concat(_scramble(canon, seed, hexadecimal), tail))
     return out.when(kind.isin("phone", "ssn"), numbers).otherwise(_name(kind, canon, seed, attempt))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """A surrogate for each distinct (kind, canon): different from all real entities and all other
-    surrogates of its kind."""
+    surrogates of its kind. Rounds go on until every entity has one; each leaves the share of the
+    format's places that is taken."""
     open_, found, attempt = stored(entities), None, 0
     real = open_.select("kind", F.col("canon").alias("drawn"))
     while not open_.isEmpty():
-        if attempt == ROUNDS:
-            raise RuntimeError("no free surrogates are left; widen the format of the remaining kinds")
         drawn = open_.withColumn("drawn", _candidate(key, F.lit(attempt)))
         # Of entities that drew the same, one may keep it.
         kept = drawn.groupBy("kind", "drawn").agg(F.min("canon").alias("canon"))
@@ -233,11 +238,13 @@ def _dressed(kind: Column, found: Column, drawn: Column) -> Column:
         own = F.substring(drawn, i + 1, F.lit(1))
         return F.when(c.rlike(r"\p{Lu}"), F.upper(own)).otherwise(own)
 
+    # A surrogate that had to grow has characters beyond those of the occurrence.
+    beyond = F.substring(drawn, F.length(found) + 1, F.length(drawn))
     upper = F.when((F.upper(found) == found) & (F.length(found) > 1), F.upper(drawn)).otherwise(F.initcap(drawn))
     out = F.when(kind.isin("phone", "card", "ssn"), filled(r"^\d$")).when(kind == "iban", filled("^[A-Z0-9]$"))
-    out = out.when(kind == "email", F.array_join(F.transform(chars, cased), ""))
+    out = out.when(kind == "email", F.concat(F.array_join(F.transform(chars, cased), ""), beyond))
     out = out.when((kind == "secret") & found.rlike("^[0-9A-F]*[A-F][0-9A-F]*$"), F.upper(drawn))
-    out = out.when((kind == "secret") & found.rlike(_HEX) & found.rlike("[A-F]"), F.array_join(F.transform(chars, cased), ""))
+    out = out.when((kind == "secret") & found.rlike(_HEX) & found.rlike("[A-F]"), F.concat(F.array_join(F.transform(chars, cased), ""), beyond))
     return out.when(kind.isin("ip", "secret"), drawn).otherwise(upper)
 
 
@@ -296,8 +303,9 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     Null and empty texts stay as they are, as do texts without entities, byte for byte. Repeated
     rows change alike. Rows need a doc_id column only to be told apart; it may be null. Other
-    columns stay; n_entities and columns that begin with ``_`` must not be among them.
+    columns stay, but for one named n_entities, which is replaced.
     """
+    docs, whole_rows = apart(docs, ("doc_id", text))
     found = F.when(F.col(text).rlike(_HINT), F.regexp_extract_all(text, F.lit(_ANY), 0))
     marked = docs.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
     rows = marked.where(F.size("_found") > 0).withColumns(
@@ -318,5 +326,5 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     whole = F.array_join(F.zip_with("_pieces", words, lambda p, w: F.concat(p, F.coalesce(w, F.lit("")))), "")
     changed = rows.join(new, ["_id", "_hash"]).withColumn(text, whole).withColumn("n_entities", F.size("_found"))
     clean = marked.where(F.size("_found") == 0).withColumn("n_entities", F.lit(0))
-    names = [*docs.columns, "n_entities"]
-    return changed.select(names).unionByName(clean.select(names))
+    names = [F.col(f"`{c}`") for c in (*docs.columns, "n_entities")]
+    return whole_rows(changed.select(names).unionByName(clean.select(names)), ("n_entities",))

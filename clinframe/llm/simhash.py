@@ -201,14 +201,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = stored(joined.join(named, "label").select("fp", "component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that link to one with a smaller doc_id, directly or through
-    others: one document of each group stays.
-
-    Rows with a null doc_id stay. Rows that share a doc_id count as one document, and go when any
-    of them is a later copy.
-    """
-    later = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(docs.columns)

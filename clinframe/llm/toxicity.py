@@ -14,6 +14,7 @@ whole; no other column enters a score.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -41,8 +42,9 @@ DECAY = 2e-5
 BIAS = -5.0
 #: Words after which a text without sentence marks is cut.
 LONGEST = 40
-#: Words a task remembers the weight of.
-REMEMBERED = 400_000
+#: Words a task remembers the weight of, and words whose features the fit remembers.
+REMEMBERED = 150_000
+FIT_REMEMBERED = 50_000
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -61,45 +63,62 @@ def features(word: str) -> list[int]:
     return own + [crc32(b"%d" % n + word[:n].encode()) % DIM for n in STEMS if len(word) >= n]
 
 
-def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all sentences, where each sentence begins, and where each document begins."""
-    index, known = [], {}
-    sentence_at, document_at = [], []
-    for text in texts:
-        document_at.append(len(sentence_at))
-        for _, _, words in sentences(text):
-            sentence_at.append(len(index))
-            row = set()
-            for word in words:
-                if word not in known:
-                    known[word] = features(word)
-                row.update(known[word])
+class _Features(dict):
+    """Features of words, remembered up to a bound; only those in ``kept``, if given."""
+
+    def __init__(self, kept: np.ndarray | None = None):
+        super().__init__()
+        self.kept = kept
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= FIT_REMEMBERED:
+            self.clear()
+        found = features(word)
+        value = self[word] = tuple(found if self.kept is None else (f for f in found if self.kept[f]))
+        return value
+
+
+def _telling(texts: list[str], toxic: np.ndarray) -> np.ndarray:
+    """Which features enough documents hold, toxic ones more often than chance would give. One pass
+    that keeps two counts per feature."""
+    seen, bad, known = np.zeros(DIM, np.int32), np.zeros(DIM, np.int32), _Features()
+    for text, y in zip(texts, toxic.tolist(), strict=True):
+        words = {word for *_, row in sentences(text) for word in row}
+        own = np.fromiter({f for word in words for f in known[word]}, np.int32)
+        seen[own] += 1
+        bad[own] += y
+    share, positive = seen / max(len(texts), 1), toxic.mean() if len(toxic) else 0.0
+    # How many standard deviations more toxic documents hold a feature than chance would give.
+    spread = np.sqrt(np.maximum(seen * positive * (1 - positive) * (1 - share), 1e-9))
+    return (seen >= SEEN) & ((bad - seen * positive) / spread >= EXCESS)
+
+
+def _bags(texts: list[str], kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kept features of all sentences, the sentence of each, and the document of each sentence."""
+    index, of_sentence, of_document, known = array("i"), array("i"), array("i"), _Features(kept)
+    for k, text in enumerate(texts):
+        for *_, words in sentences(text):
+            row = {f for word in words for f in known[word]}
             index.extend(row)
-    return np.array(index, np.int32), np.array(sentence_at, np.int64), np.array(document_at, np.int64)
+            of_sentence.extend([len(of_document)] * len(row))
+            of_document.append(k)
+    return tuple(np.frombuffer(a, np.int32) if len(a) else np.empty(0, np.int32) for a in (index, of_sentence, of_document))
 
 
 def fit(texts: list[str], toxic: np.ndarray) -> np.ndarray:
-    """Weights (``DIM`` of them, then the bias) by Adagrad on the documents' log-likelihood."""
+    """Weights (``DIM`` of them, then the bias) by Adagrad on the documents' log-likelihood. Only
+    features that tell are stored, so memory beside the texts stays small."""
     weights = np.zeros(DIM + 1, np.float32)
     weights[-1] = BIAS
-    index, sentence_at, document_at = _bags(texts)
-    if not len(index) or not 0 < toxic.sum() < len(toxic):
+    if not 0 < toxic.sum() < len(toxic):
         return weights
-    lengths = np.diff(np.append(sentence_at, len(index)))
-    of_sentence = np.repeat(np.arange(len(sentence_at)), lengths)
-    counts = np.diff(np.append(document_at, len(sentence_at)))
-    of_document = np.repeat(np.arange(len(texts)), counts)
-    pairs = np.unique(of_document[of_sentence].astype(np.int64) * DIM + index)
-    seen = np.bincount(pairs % DIM, minlength=DIM)
-    bad = np.bincount(pairs % DIM, toxic[pairs // DIM], DIM)
-    share, positive = seen / len(texts), toxic.mean()
-    # How many standard deviations more toxic documents hold a feature than chance would give.
-    excess = (bad - seen * positive) / np.sqrt(np.maximum(seen * positive * (1 - positive) * (1 - share), 1e-9))
-    keep = ((seen >= SEEN) & (excess >= EXCESS))[index]
-    index, of_sentence = index[keep], of_sentence[keep]
+    index, of_sentence, of_document = _bags(texts, _telling(texts, toxic))
+    if not len(of_document):
+        return weights
+    n_sentences = len(of_document)
     squares = np.full(DIM + 1, 1e-3)
     for _ in range(EPOCHS):
-        z = np.bincount(of_sentence, weights[index], len(sentence_at)) + weights[-1]
+        z = np.bincount(of_sentence, weights[index], n_sentences) + weights[-1]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         none = np.exp(np.bincount(of_document, np.log1p(-p), len(texts)))
         some = np.maximum(1 - none, 1e-12)

@@ -48,3 +48,9 @@ def test_words_and_empty_tables(spark):
     df = spark.createDataFrame([("a  b\tc d",), (None,), ("",), (" ",)], "text string")
     assert [r[0] for r in df.select(mixing.words(F.col("text"))).collect()] == [3, 0, 0, 0]
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string, size long")).collect() == []
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(k, "a", 5, "t", "c", "s", "b") for k in range(30)], "doc_id long, source string, size long, target string, copies string, source_size string, _bucket string")
+    rows = mixing.mix(df).collect()
+    assert len(rows) == 30 and all(r["_bucket"] == "b" and r["source_size"] == 150 and r["target"] == 225 for r in rows)

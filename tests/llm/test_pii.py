@@ -133,3 +133,15 @@ def test_later_mentions_of_titled_names(spark):
         assert text == form.format(g=new[1], s=new[2], S=new[2].upper()).replace(new[2] + "x", s + "x") and n == 7
         assert g not in text and new[2] != s
     assert [t for t, _ in got[30:]] == texts[30:]
+
+
+def test_masked_and_crowded(spark):
+    """Masks are no secrets; where a format has no place left, surrogates grow."""
+    masked = ['password: "****"', "password=********", 'PWD password: "----"', 'token = "########"']
+    boxes = [f"mail {c}@mail.example.com now" for c in "abcdefghijklmnopqrstuvwxyz"]
+    docs = spark.createDataFrame([(k, t, "x", "y") for k, t in enumerate(masked + boxes)], "doc_id long, text string, n_entities string, _found string")
+    rows = {r["doc_id"]: r for r in pii.replace(docs, "key").collect()}
+    assert [rows[k]["text"] for k in range(4)] == masked and all(rows[k]["n_entities"] == 0 for k in range(4))
+    new = [rows[k]["text"].split()[1] for k in range(4, 30)]
+    assert len(set(new)) == 26 and not {t.split()[1] for t in boxes} & set(new)
+    assert all(rows[k]["_found"] == "y" and rows[k]["n_entities"] == 1 for k in range(4, 30))

@@ -47,10 +47,6 @@ def test_documents(spark):
     named = groups(fps)
     first = [min((docs[j][0] for j in range(len(docs)) if named[j] == g and docs[j][0] is not None), default=None) for g in named]
     assert got == sorted(((i, f, c) for (i, _), f, c in zip(docs, fps, first, strict=True)), key=str)
-    kept = simhash.keep_first(df)
-    assert kept.columns == df.columns
-    want = [i for (i, _), c in zip(docs, first, strict=True) if i is None or i == c]
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted(want, key=str)
 
 
 @pytest.mark.parametrize("bucket", [3, simhash.BUCKET])
@@ -76,4 +72,4 @@ def test_components_of_paths_and_empty_tables(spark):
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert simhash.near_duplicates(empty).collect() == [] and simhash.keep_first(empty).collect() == []
+    assert simhash.near_duplicates(empty).collect() == []
