@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from clinframe.operators.retrieval import DECIMALS, topk_inner_product
 from clinframe.schema import col
-from clinframe.session import materialise
+from clinframe.session import materialise, stored
 
 #: Fixed values.
 SMALL_BANDWIDTH = 1e-3
@@ -95,6 +95,43 @@ def patient_clusters(vectors: DataFrame, k: int, vector: str = "vector", **optio
     return placed.withColumnRenamed("prediction", "cluster").drop("_v")
 
 
+def lloyd_clusters(
+    vectors: DataFrame,
+    centers: DataFrame,
+    id_column: str = "record_id",
+    vector: str = "vector",
+    iterations: int = MAX_ITERATIONS,
+    report: dict | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Lloyd's k-means from given ``centers`` (center, vector): the cluster and squared distance of
+    every row, and the centers they refer to.
+
+    A round places every row with its nearest center, the lowest on ties, and moves each center to
+    the mean of its rows; a center without rows stays where it is. Rounds end when no row changes
+    its cluster, or after ``iterations``. Ids are unique; vectors have the centers' length. Vectors
+    are read where they lie; what is shuffled is a mean per task and center, and id and cluster to
+    tell changes. An empty table gives no rows and leaves the centers. ``report`` receives rounds
+    and the rows that changed in the last one.
+    """
+    now = materialise(centers.select(F.col("center").cast("int").alias("center"), col(vector).cast("array<double>").alias(vector)))
+    rows = vectors.select(col(id_column), col(vector).cast("array<double>").alias(vector))
+    before, rounds, changed = None, 0, None
+    while True:
+        placed = stored(assign_centers(rows, now, id_column, "center", vector))
+        if before is not None:
+            both = placed.join(before.select(col(id_column), F.col("center").alias("_before")), id_column)
+            changed = both.where("center <> _before").count()
+        if changed == 0 or rounds == iterations:
+            break
+        means = mean_vectors(rows.join(placed.select(col(id_column), "center"), id_column), "center", vector)
+        moved = now.join(means.withColumnRenamed(vector, "_mean"), "center", "left")
+        now = materialise(moved.select("center", F.coalesce("_mean", vector).alias(vector)))
+        before, rounds = placed, rounds + 1
+    if report is not None:
+        report |= {"rounds": rounds, "changed": changed}
+    return placed.withColumnRenamed("center", "cluster"), now
+
+
 def mean_vectors(df: DataFrame, by: str, vector: str = "vector") -> DataFrame:
     """Mean vector per group, combined before the shuffle."""
     mean = Summarizer.mean(array_to_vector(col(vector)))

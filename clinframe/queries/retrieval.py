@@ -272,6 +272,37 @@ def patient_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return counts.withColumn("off_mean", off.scalar())
 
 
+#: Clusters and rounds of the row by row comparison.
+LLOYD_K, LLOYD_ROUNDS = 6, 4
+
+
+def _lloyd_sql() -> str:
+    """The rounds one after the other: places from centers, means from places."""
+    out = [
+        "cells AS (SELECT vec_id, generate_subscripts(embedding, 1) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings)",
+        f"c0 AS (SELECT vec_id::INTEGER AS center, k, x AS m FROM cells WHERE vec_id < {LLOYD_K})",
+    ]
+    for n in range(LLOYD_ROUNDS + 1):
+        out.append(
+            f"p{n} AS (SELECT vec_id, center, d FROM (SELECT vec_id, center, round(sum((x - m) * (x - m)), 10) AS d FROM cells "
+            f"JOIN c{n} USING (k) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, center) = 1)"
+        )
+        out.append(
+            f"c{n + 1} AS (SELECT c.center, c.k, coalesce(avg(x), min(c.m)) AS m FROM c{n} c LEFT JOIN (SELECT center, k, x FROM p{n} "
+            "JOIN cells USING (vec_id)) v ON v.center = c.center AND v.k = c.k GROUP BY ALL)"
+        )
+    return f"WITH {', '.join(out)} SELECT vec_id AS record_id, center AS cluster, round(d, 6) AS distance FROM p{LLOYD_ROUNDS}"
+
+
+@query("lloyd_clusters", _lloyd_sql())
+def lloyd_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Four rounds from the first vectors as centers, row by row."""
+    vecs = i.vectors(spark, sf)
+    first = vecs.where(F.col("record_id") < LLOYD_K).select(F.col("record_id").alias("center"), "vector")
+    placed, _ = similarity.lloyd_clusters(vecs, first, iterations=LLOYD_ROUNDS)
+    return placed.select("record_id", "cluster", *rounded(["distance"]))
+
+
 @query(
     "assign_centers",
     "WITH cells AS (SELECT label, vec_id, generate_subscripts(embedding, 1) AS k, unnest(embedding)::DOUBLE AS x "
