@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinframe.operators import radius, retrieval, similarity
+from clinframe.operators import postings, radius, retrieval, similarity
 from clinframe.queries import inputs as i
 from clinframe.queries.cohort import rounded
 from clinframe.queries.registry import query
@@ -204,6 +204,34 @@ def text_retrieval_context(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"))
 
 
+def term_cells_sql(name: str, source: str, key: str) -> str:
+    return (
+        f"{name} AS (SELECT {key}, term, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), "
+        f"'[^\\x20\\x09-\\x0D]+')) AS term FROM {source}) GROUP BY ALL)"
+    )
+
+
+@query(
+    "term_retrieval",
+    "WITH "
+    + term_cells_sql("c_cells", "documents", "doc_id")
+    + ", idf AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf FROM c_cells GROUP BY 1), "
+    "c_vec AS (SELECT doc_id, term, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY doc_id)) AS v FROM c_cells JOIN idf "
+    "USING (term) WHERE idf > 0), "
+    + term_cells_sql("q_cells", "benchmark", "item_id")
+    + ", q_vec AS (SELECT item_id, term, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY item_id)) AS v FROM q_cells JOIN "
+    "idf USING (term) WHERE idf > 0), scores AS (SELECT item_id AS query_id, doc_id, round(sum(q.v * c.v), 8) AS s FROM q_vec q JOIN "
+    "c_vec c USING (term) GROUP BY ALL) SELECT query_id, doc_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY "
+    "s DESC, doc_id) AS rank FROM scores QUALIFY rank <= 5",
+)
+def term_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark texts against all documents, over the words themselves."""
+    docs = i.table(spark, sf, "documents").select("doc_id", "text")
+    index = postings.build_postings(docs, "doc_id", F.col("text"))
+    hits = postings.search_postings(index, i.table(spark, sf, "benchmark"), 5, "item_id")
+    return hits.select(F.col("item_id").alias("query_id"), "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 # --- patients ----------------------------------------------------------------------------------------------
 
 DISTANCE_SQL = (
