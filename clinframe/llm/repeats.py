@@ -12,11 +12,17 @@ The suffix order is built in buckets that no match can leave: each suffix goes t
 minimizer, the ``GRAM`` bytes within it of smallest hash. Equal suffixes have equal minimizers. The
 minimizers alone are shuffled first (about one per ``(LENGTH - GRAM) / 2`` bytes); only where two
 documents share one are the suffixes around it shuffled too.
+
+Both shuffles are combined before them, as a common line puts one minimizer into very many documents.
+A task that sees a minimizer in several documents sends two of its places under it and spreads the
+others, which need no answer any more. A stretch of suffixes that a task has seen in an earlier
+document goes whole there, and only the span is sent on, spread too.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +39,13 @@ GRAM = 20
 PIECE = 1 << 20
 #: Rows of one bucket that are ordered at once; a larger bucket is taken in parts.
 BUCKET = 20_000
+#: Stretches of suffixes a task takes together, and those it remembers to find copies of.
+STRETCHES, REMEMBERED = 50_000, 100_000
 #: Stands for a null id: after all others.
 NO_ID = 2**63 - 1
+#: Bits of a place with its run, and of the tag above them: part of the text's CRC where the id is null,
+#: so that not all rows without an id share one list of places.
+PLACE_BITS, TAG_BITS = 41, 22
 
 _REACH = LENGTH - GRAM + 1
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -54,6 +65,28 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _hashes_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``_gram_hashes`` at some places only."""
+    h = np.lib.stride_tricks.sliding_window_view(data, GRAM)[at].astype(np.uint64) + np.uint64(1)
+    h = h[:, 0::2] * _FACTORS[0] + h[:, 1::2]
+    h4 = h[:, 0::2] * _FACTORS[1] + h[:, 1::2]
+    h8 = h4[:, [0, 2]] * _FACTORS[2] + h4[:, [1, 3]]
+    h = (h8[:, 0] * _FACTORS[3] + h8[:, 1]) * _FACTORS[4] + h4[:, 4]
+    h ^= h >> np.uint64(31)
+    h *= _FACTORS[0]
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def _spread(*values: np.ndarray) -> np.ndarray:
+    """A key that parts rows evenly."""
+    out = np.zeros(len(values[0]), np.uint64)
+    for value in values:
+        out = (out ^ value.astype(np.uint64)) * _FACTORS[0]
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64)
+
+
 def _minimizers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gram hashes, and for each suffix of ``LENGTH`` bytes the place of its first smallest one."""
     hashes = _gram_hashes(data)
@@ -113,24 +146,52 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text) -> (hash, doc, place), one row per run."""
+    """(doc, text, ...) -> (hash, doc, place), one row per run.
+
+    ``place`` also tells the run's first suffix and number of suffixes (five bits each: both lie within
+    ``LENGTH - GRAM`` of the minimizer). Of a hash that several documents of a piece have, the first and
+    the last document send one row; the others are known to be shared: their place is inverted and
+    their hash replaced by one that spreads them."""
     for batch in batches:
         doc = batch.column(0).to_numpy(zero_copy_only=False)
         data, at = _bytes_of(batch.column(1))
-        for number, hashes, place, _, _ in _runs(data, at[:-1], at[1:]):
-            yield pa.RecordBatch.from_pydict({"h": hashes, "doc": doc[number], "place": place.astype(np.int64)})
+        tag = np.zeros(len(doc), np.int64)
+        for i in np.flatnonzero(doc == NO_ID):
+            tag[i] = zlib.crc32(data[at[i] : at[i + 1]]) & ((1 << TAG_BITS) - 1)
+        for number, hashes, place, first, count in _runs(data, at[:-1], at[1:]):
+            owner = doc[number]
+            packed = (tag[number] << PLACE_BITS) | (place.astype(np.int64) << 10) | ((place - first).astype(np.int64) << 5) | (count - 1)
+            order = np.argsort(hashes, kind="stable")
+            h, owner, packed = hashes[order], owner[order], packed[order]
+            begin = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+            size = np.diff(np.append(begin, len(h)))
+            several = np.minimum.reduceat(owner, begin) != np.maximum.reduceat(owner, begin)
+            if several.any():
+                known = np.flatnonzero(np.repeat(several, size))
+                by = known[np.lexsort((owner[known], h[known]))]
+                inner = np.concatenate([[False], (h[by][1:-1] == h[by][:-2]) & (h[by][1:-1] == h[by][2:]), [False]])
+                by = by[inner]
+                h[by] = _spread(h[by], owner[by], packed[by])
+                packed[by] = ~packed[by]
+            yield pa.RecordBatch.from_pydict({"h": h, "doc": owner, "place": packed})
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, doc, place) sorted by (h, doc) -> (doc, place) of hashes that two documents have.
+    """Rows (h, doc, place) sorted by h -> (doc, place) of hashes that two documents have.
     Holds the rows of one document at a hash."""
     held = [np.zeros(0, np.int64)] * 3
     open_hash = None  # a hash known to be shared, whose rows go out as they come
     for batch in batches:
-        h, doc, place = (np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(held))
+        h, doc, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        known = place < 0
+        if known.any():
+            yield pa.RecordBatch.from_pydict({"doc": doc[known], "place": ~place[known]})
+        h, doc, place = (np.concatenate([x, y[~known]]) for x, y in zip(held, (h, doc, place), strict=True))
+        if not len(h):
+            continue
         starts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
         ends = np.append(starts[1:], len(h))
-        shared = doc[starts] != doc[ends - 1]
+        shared = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
         if open_hash is not None and h[0] == open_hash:
             shared[0] = True
         open_hash = h[-1] if shared[-1] else None
@@ -141,23 +202,55 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, key, text, places) -> (h, doc, key, first suffix, number of suffixes, their bytes)."""
+    """(doc, key, text, places) -> (h, doc, key, first suffix, number of suffixes, their bytes).
+
+    A stretch that an earlier document has, as far as the task remembers, is answered: such rows are
+    spans, have the span's length, negative, in place of the number, and no bytes. Places of another
+    row with the same id only add suffixes that this text has, too."""
+    seen: dict[bytes, int] = {}
     for batch in batches:
         doc, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         data, at = _bytes_of(batch.column(2))
         places = batch.column(3)
-        flat, ends = places.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(places.value_lengths().to_numpy(zero_copy_only=False)))
-        for number, hashes, place, first, count in _runs(data, at[:-1], at[1:]):
-            wanted = np.zeros(len(place), bool)
-            for n in np.unique(number):
-                own = slice(*np.searchsorted(number, [n, n + 1]))
-                wanted[own] = np.isin(place[own], flat[ends[n] : ends[n + 1]])
-            number, hashes, first, count = (x[wanted] for x in (number, hashes, first, count))
-            begin = at[number] + first
-            pieces = [data[b : b + c + LENGTH - 1].tobytes() for b, c in zip(begin.tolist(), count.tolist(), strict=True)]
+        packed = places.flatten().to_numpy(zero_copy_only=False) & ((1 << PLACE_BITS) - 1)
+        number = np.repeat(np.arange(len(doc)), places.value_lengths().to_numpy(zero_copy_only=False))
+        order = np.lexsort((packed, doc[number]))
+        block = data[at[0] : at[-1]].tobytes()
+        for part in range(0, len(order), STRETCHES):
+            rows = order[part : part + STRETCHES]
+            text, place, count = number[rows], packed[rows] >> 10, (packed[rows] & 31) + 1
+            first = place - (packed[rows] >> 5 & 31)
+            fits = first + count - 1 + LENGTH <= (at[1:] - at[:-1])[text]
+            text, place, first, count = text[fits], place[fits], first[fits], count[fits]
+            if not len(text):
+                continue
+            begin, owners = at[text] + first, doc[text]
+            stop = first + count - 1 + LENGTH
+            pieces = [block[b:e] for b, e in zip((begin - at[0]).tolist(), (at[text] + stop - at[0]).tolist(), strict=True)]
+            gone = np.zeros(len(text), bool)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            for i, (piece, owner) in enumerate(zip(pieces, owners.tolist(), strict=True)):
+                earliest = seen.setdefault(piece, owner)
+                if earliest < owner:
+                    gone[i] = True
+                elif earliest > owner:
+                    seen[piece] = owner
+            sent = np.flatnonzero(~gone)
+            h = _hashes_at(data, at[text[sent]] + place[sent]).view(np.int64)
             yield pa.RecordBatch.from_pydict(
-                {"h": hashes, "doc": doc[number], "key": key[number], "first": first.astype(np.int64), "n": count.astype(np.int64), "bytes": pa.array(pieces, pa.binary())}
+                {"h": h, "doc": owners[sent], "key": key[text[sent]], "first": first[sent], "n": count[sent], "bytes": pa.array([pieces[i] for i in sent.tolist()], pa.binary())}
             )
+            answered = np.flatnonzero(gone)
+            if len(answered):
+                text, first, stop = text[answered], first[answered], stop[answered]
+                apart = np.concatenate([[True], (text[1:] != text[:-1]) | (first[1:] > stop[:-1])])
+                edge = np.flatnonzero(apart)
+                start, stop = first[edge], np.maximum.reduceat(stop, edge)
+                owner = doc[text[edge]]
+                yield pa.RecordBatch.from_pydict(
+                    {"h": _spread(owner, start), "doc": owner, "key": key[text[edge]], "first": start, "n": start - stop, "bytes": pa.array([b""] * len(edge), pa.binary())}
+                )
 
 
 class _Bucket:
@@ -233,6 +326,14 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
     for batch in batches:
+        n = batch.column("n").to_numpy(zero_copy_only=False)
+        if (n < 0).any():
+            spans = batch.filter(pa.array(n < 0))
+            start = spans.column("first").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_pydict({"doc": spans.column("doc"), "key": spans.column("key"), "start": start, "stop": start - n[n < 0]})
+            batch = batch.filter(pa.array(n >= 0))
+            if not batch.num_rows:
+                continue
         rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         h = rows.column("h").to_numpy(zero_copy_only=False)
         if past_hash is not None:
@@ -291,9 +392,10 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For ``docs`` (doc, key, text binary): candidate rows (doc, key, text), and their spans
     (doc, key, start, stop), which may overlap."""
     anchors = docs.select("doc", "text").mapInArrow(_anchors, "h long, doc long, place long")
-    shared = stored(_sorted(anchors, "h", "doc").mapInArrow(_shared, "doc long, place long"))
-    places = shared.groupBy("doc").agg(F.collect_list("place").alias("places"))
-    rows = stored(docs.join(places, "doc").select("doc", "key", "text", "places"))
+    shared = stored(_sorted(anchors, "h").mapInArrow(_shared, "doc long, place long"))
+    places = shared.groupBy("doc", F.shiftright("place", PLACE_BITS).alias("tag")).agg(F.collect_list("place").alias("places"))
+    tag = F.when(F.col("doc") == NO_ID, F.crc32("text").bitwiseAND((1 << TAG_BITS) - 1)).otherwise(F.lit(0).cast("long"))
+    rows = stored(docs.withColumn("tag", tag).join(places, ["doc", "tag"]).select("doc", "key", "text", "places"))
     found = rows.mapInArrow(_suffixes, "h long, doc long, key long, first long, n long, bytes binary")
     spans = _sorted(found, "h", "doc").mapInArrow(_matches, "doc long, key long, start long, stop long")
     return rows.select("doc", "key", "text"), stored(spans)
