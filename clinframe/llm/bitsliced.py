@@ -13,6 +13,7 @@ narrow rows that every task gets; each task sends on k rows per query and block.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,20 +23,30 @@ from pyspark.sql import functions as F
 
 from clinframe.session import stored
 
-#: Rows of one index block.
-BLOCK = 1 << 16
+#: Rows of one index block at most, and bytes of its quantised components.
+BLOCK, BLOCK_BYTES = 1 << 16, 1 << 26
 #: Queries that go to the tasks at a time.
 CHUNK = 4096
-#: Quantised components must stay below this, so that sums of them fit a long.
-LARGEST = 1 << 24
+#: Quantised components below this are longs in numpy; vectors with others hold Python's integers.
+LONG = 1 << 62
 
 
-def quantise(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of every component, as longs; NULL when the vector is null, holds null or a
-    component that is not finite, or one whose integer reaches ``LARGEST``."""
-    doubles = F.transform(vector, lambda x: x.cast("double") * scale)
-    fine = F.forall(doubles, lambda x: F.coalesce(F.abs(x) < LARGEST, F.lit(False)))
-    return F.when(fine, F.transform(doubles, lambda x: F.floor(x)))
+def usable(vector: Column) -> Column:
+    """The components as doubles; NULL when the vector is null or holds null or a component that is
+    not finite."""
+    doubles = F.transform(vector, lambda x: x.cast("double"))
+    return F.when(F.forall(doubles, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))), doubles)
+
+
+def quantised(values: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) of doubles: longs, or Python's integers where one does not fit ``LONG``.
+    Doubles from 2^53 on are whole numbers, so no digit is lost."""
+    if not values.size or np.abs(values).max() < LONG / scale:
+        return np.floor(values * scale).astype(np.int64)
+    exact = [int(x) * scale if abs(x) >= 2.0**53 else math.floor(x * scale) for x in values.ravel().tolist()]
+    out = np.empty(len(exact), object)
+    out[:] = exact
+    return out.reshape(values.shape)
 
 
 class Block:
@@ -49,7 +60,9 @@ class Block:
         self.down = [self._slices(self.high[d] - values[:, d]) for d in range(values.shape[1])]
 
     def _slices(self, column: np.ndarray) -> list[np.ndarray]:
-        return [self.bitmap(column >> b & 1) for b in range(int(column.max()).bit_length())]
+        if column.dtype == object and int(column.max()) < 2 * LONG:
+            column = column.astype(np.int64)
+        return [self.bitmap((column >> b & 1).astype(np.uint8)) for b in range(int(column.max()).bit_length())]
 
     def bitmap(self, bits: np.ndarray) -> np.ndarray:
         padded = np.zeros(-(-self.rows // 64) * 64, np.uint8)
@@ -89,7 +102,7 @@ class Block:
                     level[place + 1].append(x & y)
             out.append(held[0] if held else np.zeros_like(self.bitmap(np.zeros(self.rows, np.uint8))))
 
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, list[int]]:
         """Ids and scores of the k best rows whose id is not ``own``."""
         slices, constant = self.sums(query)
         first, last = np.searchsorted(self.ids, [own, own + 1])
@@ -108,10 +121,11 @@ class Block:
                     break
         rows = self._rows(sure)
         rows = np.concatenate([rows, self._rows(open_)[: k - len(rows)]])
-        scores = np.zeros(len(rows), np.int64)
+        scores = [constant] * len(rows)
         for b, s in enumerate(slices):
-            scores += ((s[rows >> 6] >> (rows & 63).astype(np.uint64)) & 1).astype(np.int64) << b
-        return self.ids[rows], scores + constant
+            for i in np.flatnonzero(s[rows >> 6] >> (rows & 63).astype(np.uint64) & np.uint64(1)):
+                scores[i] += 1 << b
+        return self.ids[rows], scores
 
     @staticmethod
     def _rows(bitmap: np.ndarray) -> np.ndarray:
@@ -121,21 +135,31 @@ class Block:
         return words[word] * 64 + bit
 
 
-def _search(batches: Iterator[pa.RecordBatch], queries: dict[int, list], k: int) -> Iterator[pa.RecordBatch]:
+def _beyond(score: int) -> bytes | None:
+    """For scores at or past the ends of a long, bytes in their order; NULL for all others."""
+    if -(2**63) < score < 2**63 - 1:
+        return None
+    size = abs(score).bit_length() // 8 + 1
+    return (0x8000 + (size if score > 0 else -size)).to_bytes(2, "big") + (score % (1 << 8 * size)).to_bytes(size, "big")
+
+
+def _search(batches: Iterator[pa.RecordBatch], queries: dict[int, list], k: int, scale: int) -> Iterator[pa.RecordBatch]:
     """Rows (vec_id, v): per block, and per query of the same number of components, the k best."""
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
     def answer(width: int) -> pa.RecordBatch:
         ids = np.concatenate([i for i, _ in held[width]])
         values = np.concatenate([v for _, v in held.pop(width)])
-        found = {"query": [], "vec_id": [], "score": []}
-        block = Block(ids, values)
+        query, found, beyond, scores = [], [], [], []
+        block = Block(ids, quantised(values, scale))
         for number, own, vector in queries[width]:
-            best, scores = block.top(vector, own, k)
-            found["query"].append(np.full(len(best), number))
-            found["vec_id"].append(best)
-            found["score"].append(scores)
-        return pa.RecordBatch.from_pydict({n: np.concatenate(v).astype(np.int64) for n, v in found.items()})
+            best, reached = block.top(quantised(vector, scale), own, k)
+            query += [number] * len(best)
+            found.append(best)
+            scores += [min(max(x, -(2**63)), 2**63 - 1) for x in reached]
+            beyond += map(_beyond, reached)
+        columns = {"query": pa.array(query, pa.int64()), "vec_id": np.concatenate(found).astype(np.int64)}
+        return pa.RecordBatch.from_pydict(columns | {"score": pa.array(scores, pa.int64()), "beyond": pa.array(beyond, pa.binary())})
 
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -145,11 +169,13 @@ def _search(batches: Iterator[pa.RecordBatch], queries: dict[int, list], k: int)
         for width in np.unique(widths):
             if int(width) in queries:
                 rows = np.flatnonzero(widths == width)
-                values = flat[ends[rows][:, None] + np.arange(width)]
-                parts = held.setdefault(int(width), [])
-                parts.append((ids[rows], values))
-                if sum(len(i) for i, _ in parts) >= BLOCK:
-                    yield answer(int(width))
+                most = max(1, min(BLOCK, BLOCK_BYTES // (8 * max(int(width), 1))))
+                for at in range(0, len(rows), most):
+                    part = rows[at : at + most]
+                    parts = held.setdefault(int(width), [])
+                    parts.append((ids[part], flat[ends[part][:, None] + np.arange(width)]))
+                    if sum(len(i) for i, _ in parts) >= most:
+                        yield answer(int(width))
     for width in list(held):
         yield answer(width)
 
@@ -160,12 +186,13 @@ def top_k(
     """For each query row the k largest integer inner products with all other rows: query_id,
     rank, vec_id, score; ties go to the smaller id.
 
-    Vectors that are null or hold null, non-finite or huge components take no part, nor do rows
-    without an id; a query is compared with vectors of its own length, and never with rows of its
+    Vectors that are null or hold null or non-finite components take no part, nor do rows without an
+    id. Scores are exact whatever the size of the components; one that no long can hold is shown as
+    the nearest long, and ranked by its value. A query is compared with vectors of its own length, and never with rows of its
     own id. Repeated rows are candidates each; equal queries are answered once. Empty vectors
     score 0. An empty table gives no rows. Other columns are not read.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), quantise(F.col(vector), scale).alias("v"), is_query.alias("asks"))
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), usable(F.col(vector)).alias("v"), is_query.alias("asks"))
     rows = rows.where("vec_id is not null and v is not null")
     asked = rows.where("asks").select("vec_id", "v").distinct()
     asked = stored(asked.withColumn("number", F.xxhash64("vec_id", "v")))
@@ -175,14 +202,14 @@ def top_k(
     for number in range(chunks):
         queries: dict[int, list] = {}
         for q in asked.where(F.pmod(F.hash("number"), F.lit(chunks)) == number).toLocalIterator():
-            queries.setdefault(len(q["v"]), []).append((q["number"], q["vec_id"], np.array(q["v"], np.int64)))
+            queries.setdefault(len(q["v"]), []).append((q["number"], q["vec_id"], np.array(q["v"], np.float64)))
         given = vectors.sparkSession.sparkContext.broadcast(queries)
         found = corpus.mapInArrow(
-            lambda batches, given=given: _search(batches, given.value, k), "query long, vec_id long, score long"
+            lambda batches, given=given: _search(batches, given.value, k, scale), "query long, vec_id long, score long, beyond binary"
         )
         parts.append(stored(found))
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    found = asked.select(F.lit(0).alias("query"), F.lit(0).alias("vec_id"), F.lit(0).alias("score")).limit(0)
+    best = Window.partitionBy("query").orderBy(F.desc("score"), F.desc_nulls_last("beyond"), "vec_id")
+    found = asked.select(*[F.lit(0).alias(c) for c in ("query", "vec_id", "score")], F.lit(None).cast("binary").alias("beyond")).limit(0)
     for part in parts:
         found = found.unionByName(part)
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

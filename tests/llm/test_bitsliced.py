@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from clinframe.llm import bitsliced
 
 
 def brute(rows, k=5):
-    ok = [(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, tuple(math.floor(Fraction(x) * 256) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for i, q in set(r for r in ok if r[0] % 50 == 0):
         scored = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in ok if j != i and len(v) == len(q))[:k]
@@ -32,6 +33,16 @@ def test_matches_brute_force(spark, chunk):
     assert got == brute(rows)
 
 
+def test_components_of_any_size(spark):
+    rng = random.Random(5)
+    big = [70000.0, -(2.0**20), 2.0**40 + 0.25, -(2.0**61), 1e30, -1e300]
+    rows = [(i, [rng.choice([*big, 0.0, rng.gauss(0, 1)]) if rng.random() < 0.3 else rng.gauss(0, 1) for _ in range(4)]) for i in range(200)]
+    rows += [(250, [70000.0, 1.0, 0.0, 0.0]), (251, [70000.0, 1.0, 0.0, 0.0]), (300, [0.5, 0.0, 0.0, 0.0]), (301, [2.0, 1e308, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in bitsliced.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    assert got == [(q, n, j, min(max(s, -(2**63)), 2**63 - 1)) for q, n, j, s in brute(rows)]
+
+
 def test_few_rows_and_empty_tables(spark):
     schema = "vec_id long, embedding array<float>"
     one = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5])], schema)
