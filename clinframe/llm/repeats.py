@@ -255,11 +255,12 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 class _Bucket:
     """What is known of a bucket that is taken in parts: its distinct suffixes with their first
-    documents, and the first document of each stretch of text."""
+    documents, and the number and first document of each stretch of text."""
 
     def __init__(self):
         self.words, self.doc = np.zeros((0, 7), np.uint64), np.zeros(0, np.int64)
-        self.seen: dict[tuple[int, bytes], int] = {}
+        self.seen: dict[bytes, int] = {}
+        self.first = np.zeros(0, np.int64)
 
 
 def _previous(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -282,19 +283,24 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def solve(rows: pa.RecordBatch, keep: bool) -> Iterator[pa.RecordBatch]:
         h, doc, key, first, n = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("h", "doc", "key", "first", "n"))
         # A stretch that an earlier document has as it is goes whole; only the others are ordered.
-        seen, kinds, whole = past.seen if keep else {}, {}, np.zeros(len(doc), bool)
-        for i, (hash_, text, owner) in enumerate(zip(h.tolist(), rows.column("bytes").to_pylist(), doc.tolist(), strict=True)):
-            earliest = seen.setdefault((hash_, text), owner)
-            whole[i] = earliest < owner
-            kinds.setdefault(hash_, text)
-            if kinds[hash_] != text:
-                kinds[hash_] = None
+        data, at = _bytes_of(rows.column("bytes"))
+        block, ends = data[at[0] : at[-1]].tobytes(), (at - at[0]).tolist()
+        seen = past.seen if keep else {}
+        codes = np.array([seen.setdefault(block[i:j], len(seen)) for i, j in zip(ends[:-1], ends[1:], strict=True)], np.int64)
+        known = past.first if keep else past.first[:0]
+        owner = np.concatenate([known, np.full(len(seen) - len(known), NO_ID)])
+        np.minimum.at(owner, codes, doc)
+        if not keep:
+            begin = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+            several = np.repeat(np.minimum.reduceat(codes, begin) != np.maximum.reduceat(codes, begin), np.diff(np.append(begin, len(h))))
+        else:
+            past.first, several = owner, np.ones(len(h), bool)
+        whole = owner[codes] < doc
         if whole.any():
             w = np.flatnonzero(whole)
             yield pa.RecordBatch.from_pydict(
                 {"doc": doc[w], "key": key[w], "start": first[w], "stop": first[w] + n[w] - 1 + LENGTH}
             )
-        several = np.array([keep or kinds[x] is None for x in h.tolist()], bool)
         rest = np.flatnonzero(several & ~whole)
         if not len(rest):
             return
@@ -357,30 +363,41 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from solve(held, False)
 
 
+def _joined(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of rows, those that overlap or touch made one."""
+    order = np.lexsort((start, row))
+    row, start, stop = row[order], start[order], stop[order]
+    # The furthest end so far within the row: rows are set apart by more than any place.
+    apart = row * np.int64(1 << 32)
+    reach = np.maximum.accumulate(stop + apart)
+    new = np.concatenate([[True], (start + apart)[1:] > reach[:-1]])
+    edge = np.flatnonzero(new)
+    return row[edge], start[edge], (reach - apart)[np.append(edge[1:], len(row)) - 1]
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, key, text, spans) -> (doc, key, n_removed, n_spans, sha of what stays)."""
     for batch in batches:
-        removed, runs, shas = [], [], []
-        for text, spans in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
-            text = text.as_py() or b""
-            kept, at, gone, n = hashlib.sha256(), 0, 0, 0
-            start = stop = -1
-            for span in sorted((s["start"], s["stop"]) for s in spans):
-                if span[0] > stop:
-                    if n:
-                        gone += stop - start
-                    kept.update(text[max(at, 0) : span[0]])
-                    (start, stop), n = span, n + 1
-                else:
-                    stop = max(stop, span[1])
-                at = stop
-            gone += stop - start
-            kept.update(text[at:])
-            removed.append(gone)
-            runs.append(n)
+        n = batch.num_rows
+        if not n:
+            continue
+        data, at = _bytes_of(batch.column(2))
+        spans = batch.column(3)
+        flat = spans.flatten()
+        start, stop = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop"))
+        row, start, stop = _joined(np.repeat(np.arange(n), spans.value_lengths().to_numpy(zero_copy_only=False)), start, stop)
+        bounds = np.searchsorted(row, np.arange(n + 1))
+        removed = np.add.reduceat(np.append(stop - start, 0), bounds[:-1])
+        shas = []
+        for i, (first, last) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            text, kept, done = data[at[i] : at[i + 1]], hashlib.sha256(), 0
+            for j in range(first, last):
+                kept.update(text[done : start[j]])
+                done = stop[j]
+            kept.update(text[done:])
             shas.append(kept.hexdigest())
         yield pa.RecordBatch.from_pydict(
-            {"doc": batch.column(0), "key": batch.column(1), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": shas}
+            {"doc": batch.column(0), "key": batch.column(1), "n_removed": removed.astype(np.int64), "n_spans": np.diff(bounds).astype(np.int64), "kept_sha256": shas}
         )
 
 
