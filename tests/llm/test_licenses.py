@@ -126,3 +126,29 @@ def test_sentences_inside_others(spark):
         "This text is made available under the terms of the Creative Commons\nAttribution 4.0 International License",
     ]
     assert scan(spark, texts) == [(["MIT"], "M"), (["MIT", "All-rights-reserved"], "MRM"), ([], "."), (["CC-BY-4.0"], "C")]
+
+
+def test_short_notices_further_licences_and_tags(spark):
+    cases = {
+        "This work is released under CC BY 4.0.": ["CC-BY-4.0"],
+        "Released under Apache 2.0.": ["Apache-2.0"],
+        "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy": ["MPL-2.0"],
+        "Licensed under the GNU Lesser General Public License v2.1": ["LGPL-2.1"],
+        "Licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0"],
+        "made available under the terms of the Eclipse Public License v. 2.0 which is": ["EPL-2.0"],
+        "Distributed under the Boost Software License, Version 1.0.": ["BSL-1.0"],
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided": ["ISC"],
+        "2. Altered source versions must be plainly marked as such, and must not be\n misrepresented as being the original software.": ["Zlib"],
+        "This is free and unencumbered software released into the public\ndomain.": ["Unlicense"],
+        "The author has waived all copyright and related or neighboring rights to this work.": ["CC0-1.0"],
+        "The library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": ["LGPL"],
+        "# SPDX-License-Identifier: BSD-3-Clause": ["BSD-3-Clause"],
+        "// SPDX-License-Identifier: GPL-2.0-or-later\nint main": ["GPL-2.0"],
+        "/* SPDX-License-Identifier: MIT */": ["MIT"],
+        "It is not released under CC BY 4.0. The tunnel runs under the river. We met v. early.": [],
+    }
+    assert [g[0] for g in scan(spark, list(cases))] == list(cases.values())
+
+
+def test_own_sentences_need_no_hint(spark):
+    assert scan(spark, ["Share it freely. Ok."], sentences={"q": "share it freely"}, rules=(("Own", "q"),)) == [(["Own"], "q.")]
