@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clinframe.functions.hashing import unit_hash
 from clinframe.operators import models, sequence, split, trees
+from clinframe.operators.preparation import UNSEEN, Preparation, PreparationModel
 from clinframe.plans import cohort as cohort_plan
 from clinframe.plans import consultation as consultation_plan
 from clinframe.plans import evaluation as evaluation_plan
@@ -15,9 +16,9 @@ from clinframe.queries.cohort import FILLED_SQL, LAST_SO_FAR, _wide_stats_sql, _
 from clinframe.queries.cohort import SCALED, visit_split
 from clinframe.queries.inputs import LABS, VISITS
 from clinframe.queries.registry import query
-from clinframe.schema import VisitSchema
+from clinframe.schema import VisitSchema, col
 from clinframe.queries.scores import BINARY, RANKING_SQL, class_sql, curve_sql
-from clinframe.session import stored
+from clinframe.session import scratch, stored
 
 
 def last_visits(spark: SparkSession, sf: str) -> DataFrame:
@@ -272,6 +273,53 @@ def prepared_cohort(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def saved_and_loaded(spark: SparkSession, preparation: Preparation, train: DataFrame) -> PreparationModel:
+    path = scratch(spark)
+    preparation.fit(train).write().save(path)
+    return PreparationModel.load(path)
+
+
+@query(
+    "fitted_preparation",
+    f"WITH {i.TRAIN_SQL}, {i.stats_sql('train', SCALED)}, {_wide_stats_sql(('mean', 'std', 'default_fill'))}, "
+    "z AS (SELECT user_id, ts, event_id, split, "
+    + ", ".join(f"CASE WHEN abs({_z_sql(f)}) > 1e4 THEN 0 ELSE {_z_sql(f)} END AS {f}" for f in SCALED)
+    + ", "
+    + ", ".join(f"default_fill_{f}" for f in LABS)
+    + " FROM parted, wide) SELECT event_id, split, round(los, 5) AS los, "
+    + ", ".join(f"round(coalesce(last_value({f} IGNORE NULLS) {LAST_SO_FAR}, default_fill_{f}), 5) AS {f}" for f in LABS)
+    + " FROM z",
+)
+def fitted_preparation(spark: SparkSession, sf: str) -> DataFrame:
+    """Visits of all splits, prepared by a model that was fitted on the training split, saved and loaded."""
+    parted = stored(split.apply_split(i.visits(spark, sf), stored(visit_split(spark, sf)), "user_id"), ["split"])
+    model = saved_and_loaded(spark, Preparation(VISITS, SCALED), _part(parted, "train"))
+    return model.transform(parted).select("event_id", "split", *rounded(SCALED, 5))
+
+
+@query(
+    "fitted_preparation_levels",
+    f"WITH {i.ORDER_VISITS_SQL}, train AS (SELECT * FROM order_visits WHERE o_orderpriority <> '5-LOW'), "
+    f"{i.stats_sql('train', ('o_totalprice',))} SELECT o_orderkey, (o_orderpriority = '5-LOW')::INTEGER AS unseen, "
+    "(o_orderpriority = '1-URGENT')::INTEGER::DOUBLE AS urgent, (o_orderpriority <> '5-LOW')::INTEGER::DOUBLE AS seen, "
+    "round(CASE WHEN abs((o_totalprice - mean) / (std + 1e-12)) > 1e4 THEN 0 ELSE (o_totalprice - mean) / (std + 1e-12) END, 5) "
+    "AS o_totalprice FROM order_visits, stats",
+)
+def fitted_preparation_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders, prepared by a model whose training orders hold every priority but the lowest."""
+    visits = i.order_visits(spark, sf)
+    train = visits.where("o_orderpriority <> '5-LOW'")
+    model = saved_and_loaded(spark, Preparation(i.ORDER_VISITS, ("o_totalprice",)), train)
+    levels = [col(c) for c in model.encoded_schema().labs if c.startswith("o_orderpriority->")]
+    return model.transform(visits).select(
+        "o_orderkey",
+        F.col(UNSEEN).alias("unseen"),
+        col("o_orderpriority->1-URGENT").alias("urgent"),
+        sum(levels[1:], levels[0]).alias("seen"),
+        *rounded(["o_totalprice"], 5),
+    )
+
+
 #: Orders with a code and an amount per customer: the code is not scaled, the amount is.
 STATIC_VISITS = VisitSchema(
     key="o_custkey",
