@@ -7,7 +7,7 @@ each member leaves out its own entry.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +67,29 @@ def parse_responses(df: DataFrame, raw: str, schema: str) -> DataFrame:
     ).drop("_x")
 
 
+def response_variants(df: DataFrame, raw: str) -> DataFrame:
+    """Adds ``stage``, ``status`` and the answer of a response column as a VARIANT, ``answer``: one column for
+    the answers of all phases, whatever their fields.
+
+    ``answer`` is NULL unless ``status`` is ``ok``. An object that names a key twice is invalid, and so
+    is a cut-off text that its completion does not close.
+    """
+    out = df.withColumn("_x", extract_json(col(raw)))
+    answer = F.when(F.col("_x.status") == "ok", F.try_parse_json(F.col("_x.json")))
+    return out.withColumns({"stage": F.col("_x.stage"), "status": F.col("_x.status"), "answer": answer}).drop("_x")
+
+
+def response_fields(df: DataFrame, fields: Mapping[str, tuple[str, str]], answer: str = "answer") -> DataFrame:
+    """Adds one column per entry of ``fields``, name → (path, type), read from a VARIANT column. A field
+    that is absent, or whose value does not fit its type, is NULL."""
+    return df.withColumns({n: F.try_variant_get(col(answer), path, kind) for n, (path, kind) in fields.items()})
+
+
+def response_quality(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Number of responses per group, stage and status, from ``response_variants``."""
+    return df.groupBy(*map(col, by), "stage", "status").agg(F.count(F.lit(1)).alias("responses"))
+
+
 def parse_action(text: Column) -> Column:
     """1 to go on (contains yes), 0 to stop (contains no), NULL for anything else."""
     lower = F.lower(text)

@@ -338,16 +338,16 @@ def raw_responses(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("```json {broken "), F.col("event_type"), F.lit("} ```")),
     ]
     raw = F.coalesce(*[F.when(F.col("event_id") % len(forms) == k, f) for k, f in enumerate(forms)])
-    return e.select("event_id", raw.alias("raw"))
+    return e.select("event_id", "event_type", raw.alias("raw"))
 
 
 RAW_SQL = (
-    "raws AS (SELECT event_id, CASE event_id % 6 "
+    "raws AS (SELECT event_id, event_type, CASE event_id % 6 "
     + " ".join(f"WHEN {k} THEN {form}" for k, form in enumerate(RAW_FORMS))
     + " END AS raw FROM events), staged AS (SELECT *, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') || '\"]}```' AS done, "
     "CASE WHEN regexp_matches(raw, '(?s)```json(.*?)```') THEN 'fenced' WHEN regexp_matches(regexp_replace(raw, "
     "'^\\s+|\\s+$', '', 'g') || '\"]}```', '(?s)```json(.*?)```') THEN 'repaired' WHEN regexp_matches(raw, '(?s)\\{.*?\\}') "
-    "THEN 'bare' ELSE 'none' END AS stage FROM raws), found AS (SELECT event_id, stage, replace(regexp_replace(CASE stage "
+    "THEN 'bare' ELSE 'none' END AS stage FROM raws), found AS (SELECT event_id, event_type, stage, replace(regexp_replace(CASE stage "
     "WHEN 'fenced' THEN regexp_extract(raw, '(?s)```json(.*?)```', 1) WHEN 'repaired' THEN regexp_extract(done, "
     "'(?s)```json(.*?)```', 1) WHEN 'bare' THEN regexp_extract(raw, '(?s)\\{.*?\\}', 0) END, '^\\s+|\\s+$', '', 'g'), "
     "chr(10), '') AS json FROM staged)"
@@ -375,6 +375,28 @@ def parse_responses(spark: SparkSession, sf: str) -> DataFrame:
     return parsed.where(F.col("status") == "ok").select("event_id", "stage", F.col("answer.k").alias("k"))
 
 
+@query(
+    "response_fields",
+    f"WITH {RAW_SQL} SELECT event_id, stage, CASE WHEN json_valid(json) THEN try_cast(json::JSON ->> '$.k' AS BIGINT) END AS k, "
+    "CASE WHEN json_valid(json) THEN json::JSON ->> '$.reason[0]' END AS reason FROM found",
+)
+def response_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields of two schemas from one column of answers."""
+    answers = consensus.response_variants(raw_responses(spark, sf), "raw")
+    fields = {"k": ("$.k", "bigint"), "reason": ("$.reason[0]", "string")}
+    return consensus.response_fields(answers, fields).select("event_id", "stage", *fields)
+
+
+@query(
+    "response_quality",
+    f"WITH {RAW_SQL} SELECT event_type, stage, CASE WHEN stage = 'none' THEN 'missing' WHEN json_valid(json) THEN 'ok' ELSE "
+    "'invalid' END AS status, count(*) AS responses FROM found GROUP BY ALL",
+)
+def response_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """How often answers had to be repaired, were broken or missing, per kind of event."""
+    return consensus.response_quality(consensus.response_variants(raw_responses(spark, sf), "raw"), ["event_type"])
+
+
 @query(
     "parse_action",
     f"WITH {i.RESPONSES_SQL}, texts AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE 'yes: ' || text END AS t "

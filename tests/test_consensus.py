@@ -32,6 +32,36 @@ def test_extract_json(spark):
         assert (row["x"]["stage"], row["x"]["json"], row["x"]["status"]) == (stage, body, status), text
 
 
+def test_response_variants_hold_answers_of_any_phase(spark):
+    texts = [
+        '```json {"answer": "agree", "confidence": 3} ```',
+        '```json {"logit": "0.25", "evidences": ["a", "b"]} ```',
+        '```json {"answer": 1, "answer": 2} ```',
+        '```json {"confidence": "high", "logit": 0.5} ```',
+        '```json {"reason": ["cut',
+        '```json {"answer": "cut',
+        "nothing",
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    answers = consensus.response_variants(df, "t")
+    fields = {"answer_text": ("$.answer", "string"), "confidence": ("$.confidence", "int"), "logit": ("$.logit", "double"), "second": ("$.evidences[1]", "string")}
+    got = consensus.response_fields(answers, fields).orderBy("n").select("status", *fields).collect()
+    assert [tuple(r) for r in got] == [
+        ("ok", "agree", 3, None, None),
+        ("ok", None, None, 0.25, "b"),
+        ("invalid", None, None, None, None),
+        ("ok", None, None, 0.5, None),
+        ("ok", None, None, None, None),
+        ("invalid", None, None, None, None),
+        ("missing", None, None, None, None),
+        ("missing", None, None, None, None),
+    ]
+    quality = consensus.response_quality(answers, ["t"])
+    assert quality.agg(F.sum("responses")).first()[0] == len(texts)
+    assert consensus.response_variants(df.where("false"), "t").count() == 0
+
+
 def test_parse_responses(spark):
     raw = ['```json {"answer": "agree", "confidence": 3}```', "none", '{"answer": 5}']
     df = spark.createDataFrame([(k, t) for k, t in enumerate(raw)], "k int, t string")
