@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinframe.functions.hashing import unit_hash
-from clinframe.operators import models, sequence, split, trees
+from clinframe.operators import models, networks, sequence, split, trees
 from clinframe.operators.preparation import UNSEEN, Preparation, PreparationModel
 from clinframe.plans import cohort as cohort_plan
 from clinframe.plans import consultation as consultation_plan
@@ -244,6 +244,45 @@ def fusion_scores(spark: SparkSession, sf: str) -> DataFrame:
     return covered(models.score_vectors(model, ready), "record_id").drop("split")
 
 
+@query("fusion_forward", "SELECT vec_id AS record_id, 0.0::DOUBLE AS gap FROM embeddings")
+def fusion_forward(spark: SparkSession, sf: str) -> DataFrame:
+    """For each record, how far the fitted network's score lies from that of its table of units."""
+    labels = i.vectors(spark, sf).select("record_id", (F.col("label") < 5).cast("double").alias("label"))
+    data = stored(fused(spark, sf).join(labels, "record_id"))
+    model, _ = models.fit_fusion(data, data, widths=NARROW)
+    from pyspark.ml.functions import array_to_vector
+
+    scored = models.score_vectors(model, data.withColumn("_x", array_to_vector("features")), "fitted").drop("_x")
+    out = networks.network_scores(scored, networks.network_table(spark, model))
+    return out.select("record_id", F.round(F.abs(F.col("p") - F.col("fitted")), 6).alias("gap"))
+
+
+#: Width of the network of the query above.
+NARROW = (8,)
+#: A given network over the test vectors: layer, unit, weights, bias.
+NETWORK = (
+    *[(0, k, [((7 * k + 3 * n) % 11 - 5) / 20 for n in range(TEXT_DIM)], (k - 1) / 4) for k in range(3)],
+    (1, 0, [0.5, -1.0, 0.25], 0.1),
+    (1, 1, [-0.75, 1.5, 1.0], -0.2),
+)
+
+
+def _network_sql() -> str:
+    hidden, last = ([u for u in NETWORK if u[0] == layer] for layer in (0, 1))
+    sums = ", ".join(f"list_dot_product(embedding::DOUBLE[], {w}::DOUBLE[]) + {b} AS h{k}" for _, k, w, b in hidden)
+    gates = [f"(1 / (1 + exp(-h{k})))" for _, k, _, _ in hidden]
+    z = [" + ".join([str(b), *[f"{v} * {g}" for v, g in zip(w, gates, strict=True)]]) for _, _, w, b in last]
+    return f"SELECT vec_id AS record_id, round(1 / (1 + exp(({z[0]}) - ({z[1]}))), 9) AS p FROM (SELECT vec_id, {sums} FROM embeddings)"
+
+
+@query("network_scores", _network_sql())
+def network_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector's score by a given network."""
+    units = spark.createDataFrame(list(NETWORK), networks.UNIT)
+    scored = networks.network_scores(i.vectors(spark, sf), units, "vector")
+    return scored.select("record_id", F.round("p", 9).alias("p"))
+
+
 # --- composed flows ------------------------------------------------------------------------------------------
 
 
