@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinframe.operators.quantiles import GROUP_ROWS, exact_quantiles
@@ -49,6 +49,46 @@ def cohort_profile(
     return moments.join(wide_quartiles, [by, "feature"], "left")
 
 
+def profile_states(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
+    """What a batch of visits adds to a profile: ``(by, feature, count, mean, m2, min, max)``, m2 being the
+    sum of squared distances from the mean. One row per cohort and column, to be kept and merged."""
+    parts = df.where(col(by).isNotNull()).groupBy(col(by)).agg(
+        *[
+            F.struct(
+                F.lit(c).alias("feature"),
+                F.count(col(c)).alias("count"),
+                F.avg(col(c)).alias("mean"),
+                F.coalesce(F.var_pop(col(c)) * F.count(col(c)), F.lit(0.0)).alias("m2"),
+                F.min(col(c).cast("double")).alias("min"),
+                F.max(col(c).cast("double")).alias("max"),
+            ).alias(f"_s{i}")
+            for i, c in enumerate(columns)
+        ]
+    )
+    return parts.select(col(by), F.inline(F.array(*[F.col(f"_s{i}") for i in range(len(columns))])))
+
+
+def merge_states(states: DataFrame, by: str) -> DataFrame:
+    """The states of all batches as one state per cohort and column, which can be merged again. Distances
+    are taken from the common mean, so nothing cancels out; one shuffle of states, none of visits."""
+    group = Window.partitionBy(col(by), "feature")
+    common = F.try_divide(F.sum(F.col("count") * F.col("mean")).over(group), F.sum("count").over(group).cast("double"))
+    apart = F.col("count") * F.pow(F.col("mean") - F.col("_common"), 2)
+    return states.withColumn("_common", common).groupBy(col(by), "feature").agg(
+        F.sum("count").alias("count"),
+        F.first("_common").alias("mean"),
+        F.sum(F.col("m2") + F.coalesce(apart, F.lit(0.0))).alias("m2"),
+        F.min("min").alias("min"),
+        F.max("max").alias("max"),
+    )
+
+
+def profile_of(states: DataFrame) -> DataFrame:
+    """Count, mean, sample deviation and extremes from states of which each cohort and column has one."""
+    std = F.when(F.col("count") > 1, F.sqrt(F.col("m2") / (F.col("count") - 1)))
+    return states.withColumn("std", std).drop("m2")
+
+
 def last_values(df: DataFrame, schema: VisitSchema, columns: Sequence[str]) -> DataFrame:
     """Last non-missing value of every column per record, each column on its own."""
     place = F.struct(*map(col, schema.order))

@@ -650,3 +650,29 @@ RUNS_SQL = (
 )
 def run_totals(spark: SparkSession, sf: str) -> DataFrame:
     return profile.run_totals(runs(spark, sf), "patient_id")
+
+
+# --- profiles of batches -----------------------------------------------------------------------------
+
+BATCH_FIELDS = ("mean", "std", "min", "max")
+
+
+@query(
+    "profile_merged",
+    f"WITH {i.VISITS_SQL} "
+    + " UNION ALL ".join(
+        f"SELECT outcome, '{f}' AS feature, count({f}) AS count, round(avg({f}), 5) AS mean, round(stddev_samp({f}), 5) AS std, "
+        f"round(min({f}), 5) AS min, round(max({f}), 5) AS max FROM visits GROUP BY outcome"
+        for f in LABS
+    ),
+)
+def profile_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Profile of all visits from the states of three batches, by the third of the month they fall in; the
+    third joins what the first two were merged into. Visits of a batch are read once."""
+    v = i.visits(spark, sf)
+    day = F.day("ts")
+    batches = [v.where(day <= 10), v.where((day > 10) & (day <= 20)), v.where(day > 20)]
+    states = [stored(profile.profile_states(b, "outcome", LABS)) for b in batches]
+    before = stored(profile.merge_states(states[0].unionByName(states[1]), "outcome"))
+    merged = profile.merge_states(before.unionByName(states[2]), "outcome")
+    return profile.profile_of(merged).select("outcome", "feature", "count", *rounded(BATCH_FIELDS, 5))
