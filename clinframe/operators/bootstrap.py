@@ -96,6 +96,7 @@ def exact_resamples(
             totals=True,
         )
     )
+    # One shuffle by row number serves the count of the draws and the join.
     draws = (
         spread(numbered.select(*ids, "_row_total"), id_columns)
         .select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
@@ -103,10 +104,12 @@ def exact_resamples(
             "replicate",
             (F.floor(unit_hash(*ids, F.lit(seed), F.col("replicate")) * F.col("_row_total")) + 1).alias("_row"),
         )
-        .groupBy("replicate", "_row")
+        .repartition("_row")
+        .groupBy("_row", "replicate")
         .agg(F.count(F.lit(1)).cast("int").alias("weight"))
     )
-    return numbered.join(draws, "_row").drop("_row", "_row_total", "_u")
+    # Both sides grow with the data, so neither goes through the driver.
+    return numbered.hint("merge").join(draws, "_row").drop("_row", "_row_total", "_u")
 
 
 def bootstrap(

@@ -11,6 +11,7 @@ from clinframe.operators.quantiles import exact_quantiles
 from clinframe.queries import inputs as i
 from clinframe.queries.cohort import rounded, rounded_sql
 from clinframe.queries.registry import query
+from clinframe.session import materialise
 
 # --- classes and rankings -----------------------------------------------------------------------------
 
@@ -349,8 +350,11 @@ def bootstrap_ranking_metrics(spark: SparkSession, sf: str) -> DataFrame:
 )
 def bootstrap_exact_size(spark: SparkSession, sf: str) -> DataFrame:
     sample = bootstrap.exact_resamples(outcome_preds(spark, sf), ["o_orderkey"], 20)
-    scored = metrics.class_metrics(sample, ["replicate"], weight="weight")
-    sizes = sample.groupBy("replicate").agg(F.sum("weight").alias("size"))
+    # Four cells a resample: drawn and joined once, for the sizes and the scores.
+    called = F.when(F.col("p") > 0.5, 1.0).otherwise(0.0)
+    cells = materialise(sample.groupBy("replicate", "y", called.alias("p")).agg(F.sum("weight").alias("weight")))
+    scored = metrics.class_metrics(cells, ["replicate"], weight="weight")
+    sizes = cells.groupBy("replicate").agg(F.sum("weight").alias("size"))
     return sizes.join(scored, "replicate").select(
         F.col("replicate").cast("bigint").alias("replicate"), "size", *rounded(["accuracy"])
     )

@@ -222,6 +222,12 @@ def test_exact_resamples_have_the_size_of_the_data(spark, limit):
     assert [r["n"] for r in sizes] == [400] * 7
 
 
+def test_exact_resamples_send_no_table_to_the_driver(spark):
+    out = bootstrap.exact_resamples(numbered(spark), ["id"], 3)
+    out.collect()
+    assert "Broadcast" not in plan_of(out)
+
+
 @pytest.mark.parametrize("exact", [False, True])
 def test_bootstrap_is_repeatable_and_centred(spark, exact):
     df = numbered(spark)
