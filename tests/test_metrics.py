@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from clinframe.operators import bootstrap, fairness, metrics
 from clinframe.plans import evaluation
+from clinframe.queries import QUERIES, scores
 
 
 def preds(spark, pairs):
@@ -135,6 +136,27 @@ def test_log_loss_stops_at_the_floor(spark):
     assert metrics.losses(df).first()["log_loss"] == pytest.approx(100.0)
 
 
+#: Twenty hundredths with a mean of 0.0535; as doubles they add up to less in this order, and to more in the reverse.
+BETWEEN = (0, 0, 0, 2, 2, 3, 3, 3, 6, 6, 6, 7, 7, 8, 8, 8, 8, 10, 10, 10)
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_mean_between_two_thousandths_goes_up(spark, parts):
+    for order in (BETWEEN, BETWEEN[::-1]):
+        log = spark.createDataFrame([(v / 100,) for v in order], "x double").repartition(parts)
+        assert log.agg(scores.mean_thousandths("x")).first()[0] == 0.054
+    log = spark.createDataFrame([(v,) for v in [0.0494, 0.0495, 0.0495, 0.0495]], "x double")
+    assert log.agg(scores.mean_thousandths("x")).first()[0] == 0.049
+
+
+def test_best_checkpoint_of_equal_means_in_two_orders(spark, tmp_path):
+    items = [(1, epoch, v / 100) for epoch, order in ((1, BETWEEN), (2, BETWEEN[::-1])) for v in order]
+    lines = spark.createDataFrame(items, "l_suppkey bigint, l_linenumber int, l_discount double")
+    lines.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name in ("best_checkpoint", "best_checkpoint_los"):
+        assert tuple(QUERIES[name](spark, str(tmp_path)).first()) == (1, 1, 0.054)
+
+
 def test_best_checkpoint_takes_the_first_of_equals(spark):
     log = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.7), ("a", 3, 0.7), ("a", 4, None)], "g string, epoch int, s double")
     assert tuple(metrics.best_checkpoint(log, ["g"], "epoch", "s").first()) == ("a", 2, 0.7)
