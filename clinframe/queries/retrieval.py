@@ -77,9 +77,11 @@ def multi_corpus_merged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, sf: str) -> DataFrame:
-    """Hits with the passages behind them: vectors and documents share their ids."""
-    hits = retrieval.multi_corpus_topk(
-        query_vectors(spark, sf), corpus_vectors(spark, sf), K, skip_same=True
+    """Hits, searched once, with the passages behind them: vectors and documents share their ids."""
+    hits = stored(
+        retrieval.multi_corpus_topk(
+            query_vectors(spark, sf), corpus_vectors(spark, sf), K, skip_same=True
+        )
     )
     docs = i.corpus_docs(spark, sf).select("doc_id", "title", "content")
     vecs = i.vectors(spark, sf).select(F.col("record_id").alias("doc_id"), "vector")
