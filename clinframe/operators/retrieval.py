@@ -5,28 +5,34 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from clinframe.operators.skew import BROADCAST_WIDE_ROWS, skewed_join
+from clinframe.operators.skew import BROADCAST_WIDE_ROWS, skewed_join, spread
 from clinframe.schema import col
 
 #: Bytes of query vectors that may be sent to every executor.
 QUERY_BYTES = 64 * 1024 * 1024
 #: Bytes of vectors of one side of a cell when both sides are partitioned.
 BLOCK_BYTES = 32 * 1024 * 1024
-#: Bytes of scores computed at a time.
-SCORE_BYTES = 32 * 1024 * 1024
+#: Bytes of scores computed at a time, and queries they belong to at most.
+SCORE_BYTES = 8 * 1024 * 1024
+TILE_QUERIES = 2048
+#: Queries up to which the corpus is not counted to see whether it can be sent instead.
+FEW_QUERIES = 1024
 #: Scores are compared at this many decimals, so that equal vectors tie whatever the order
 #: in which a matrix product adds up.
 DECIMALS = 10
 
 
-def _matrix(vectors: Sequence) -> np.ndarray:
-    return np.asarray([np.asarray(v, dtype=np.float64) for v in vectors])
+def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Arrow lists of one length as rows of doubles."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    return np.asarray(vectors.flatten(), dtype=np.float64).reshape(len(vectors), -1 if len(vectors) else 0)
 
 
 def _ranks(ids: np.ndarray) -> np.ndarray:
@@ -44,43 +50,70 @@ def _best(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int):
 
 
 class _Nearest:
-    """The k best corpus rows per query and group seen so far in one task."""
+    """The k best corpus rows per query and group seen so far in one task.
+
+    Scores are computed in tiles. A tile gives only the scores that reach the k-th best of their query
+    so far; few do, once some tiles have passed."""
 
     def __init__(self, query_ids, queries: np.ndarray, k: int, metric: str, skip_same: bool, decimals: int):
         self.query_ids, self.queries = np.asarray(query_ids), queries
         self.k, self.metric, self.skip_same, self.decimals = k, metric, skip_same, decimals
         self.norms = (queries * queries).sum(axis=1)
         self.found: dict = {}
-        self.rows = max(1, SCORE_BYTES // (8 * max(1, len(queries))))
+        self.floors: dict = {}
 
     def add(self, group, ids: np.ndarray, vectors: np.ndarray) -> None:
-        for start in range(0, len(ids), self.rows):
-            self._add(group, ids[start : start + self.rows], vectors[start : start + self.rows])
-
-    def _add(self, group, ids: np.ndarray, vectors: np.ndarray) -> None:
-        scores = self.queries @ vectors.T
-        if self.metric == "l2":
-            squared = self.norms[:, None] + (vectors * vectors).sum(axis=1)[None, :] - 2 * scores
-            scores = -np.maximum(squared, 0.0)
-        scores = np.round(scores, self.decimals)
-        if self.skip_same:
-            scores[self.query_ids[:, None] == ids[None, :]] = -np.inf
-        if len(ids) > self.k:
-            floor = np.partition(scores, -self.k, axis=1)[:, -self.k]
-        else:
-            floor = np.full(len(scores), -np.inf)
-        hit = (scores >= floor[:, None]) & (scores > -np.inf)
-        query, row = np.nonzero(hit)
-        score, found = scores[query, row], ids[row]
-        if group in self.found:
-            q0, s0, i0 = self.found[group]
-            query, score = np.concatenate([q0, query]), np.concatenate([s0, score])
-            found = np.concatenate([i0, found])
-        self.found[group] = _best(query, score, found, self.k)
+        if group not in self.found:
+            none = np.empty(0, np.int64)
+            self.found[group] = (none, np.empty(0), ids[:0])
+            self.floors[group] = np.full(len(self.queries), -np.inf)
+        finite = bool(np.isfinite(vectors).all() and np.isfinite(self.norms).all())
+        size = max(1, SCORE_BYTES // (8 * min(TILE_QUERIES, max(1, len(self.queries)))))
+        for start in range(0, len(ids), size):
+            rows = slice(start, start + size)
+            self._add(group, ids[rows], vectors[rows], finite)
+
+    def _add(self, group, ids: np.ndarray, vectors: np.ndarray, finite: bool) -> None:
+        floors, norms = self.floors[group], (vectors * vectors).sum(axis=1)
+        hits = []
+        for start in range(0, len(self.queries), TILE_QUERIES):
+            mine = slice(start, start + TILE_QUERIES)
+            scores = self.queries[mine] @ vectors.T
+            if self.metric == "l2":
+                scores *= 2
+                scores -= self.norms[mine, None]
+                scores -= norms[None, :]
+                np.minimum(scores, 0.0, out=scores)
+            if not finite:
+                scores[np.isnan(scores)] = -np.inf
+            if self.skip_same:
+                same = self.query_ids[mine, None] == ids[None, :]
+                scores[same] = -np.inf
+            floor = floors[mine]
+            some = np.flatnonzero(scores.max(axis=1) >= floor)
+            scores, floor = scores[some], floor[some]
+            if len(ids) > self.k and len(some):
+                floor = np.maximum(floor, np.partition(scores, -self.k, axis=1)[:, -self.k] - self._margin())
+            query, row = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+            hits.append((some[query] + start, np.round(scores[query, row], self.decimals), row))
+        query, score, row = map(np.concatenate, zip(*hits, strict=True))
+        if not len(query):
+            return
+        q0, s0, i0 = self.found[group]
+        query, score, found = np.concatenate([q0, query]), np.concatenate([s0, score]), np.concatenate([i0, ids[row]])
+        query, score, found = self.found[group] = _best(query, score, found, self.k)
+        # Found rows are in the order of their queries, k at most of each: the k-th is the floor.
+        last = np.flatnonzero(np.arange(len(query)) - np.searchsorted(query, query, side="left") == self.k - 1)
+        floors[query[last]] = score[last] - self._margin()
+
+    def _margin(self) -> float:
+        """What rounding may add to a score."""
+        return 10.0**-self.decimals
 
     def results(self) -> Iterator[tuple]:
         for group, (query, score, ids) in self.found.items():
-            yield group, self.query_ids[query], ids, score
+            if len(query):
+                yield group, self.query_ids[query], ids, score
 
 
 def topk_inner_product(
@@ -104,8 +137,10 @@ def topk_inner_product(
     only its own k best, so no pair is ever a row. Vectors that are NULL or hold NULL, and those
     of another length than the longest query, take no part; a NULL ``within`` is a group.
 
-    Query sets up to ``query_bytes`` go to the executors and the corpus is read in place.
-    Larger ones are cut into blocks, as is the corpus, and each pair of blocks is one group.
+    One side of up to ``query_bytes`` goes to the executors, and the other is spread over all
+    cores: the corpus goes where there are many queries, as each task then has the whole answer of
+    its queries, else the queries. Where neither is small
+    enough, both are cut into blocks, and each pair of blocks is one group.
     """
     q = queries.select(col(query_id).alias("q_id"), col(vector).alias("q_vec"))
     group = col(within) if within else F.lit(0)
@@ -124,7 +159,10 @@ def topk_inner_product(
     count, dim = q.agg(F.count(F.lit(1)), F.max(F.size("q_vec"))).first()
     q = q.where(F.size("q_vec") == F.lit(dim or 0))
     c = c.where(whole("c_vec") & (F.size("c_vec") == F.lit(dim or 0)))
-    if count * (dim or 1) * 8 <= query_bytes:
+    most = query_bytes // (8 * (dim or 1))
+    if count > FEW_QUERIES and c.limit(most + 1).count() <= most:
+        local = _search_corpus(q, c, k, metric, skip_same, decimals, schema)
+    elif count <= most:
         local = _search_broadcast(q, c, k, metric, skip_same, decimals, schema)
     else:
         local = _search_blocks(q, c, k, metric, skip_same, decimals, schema, count, dim, block_bytes)
@@ -139,12 +177,55 @@ def topk_inner_product(
     )
 
 
+def _groups(groups: pa.Array) -> Iterator[tuple]:
+    """Each value among ``groups``, NULL as None, and where it stands."""
+    for value in pc.unique(groups):
+        here = pc.is_null(groups) if not value.is_valid else pc.equal(groups, value)
+        yield value.as_py(), np.flatnonzero(pc.fill_null(here, False).to_numpy(zero_copy_only=False))
+
+
+def _hits(nearest: _Nearest, q_type: pa.DataType, group_type: pa.DataType, doc_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    for value, query, found, score in nearest.results():
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(query, q_type),
+                pa.array([value] * len(query), group_type),
+                pa.array(found, doc_type),
+                pa.array(score, pa.float64()),
+            ],
+            names=["q_id", "grp", "c_id", "score"],
+        )
+
+
+def _search_corpus(
+    q: DataFrame, c: DataFrame, k: int, metric: str, skip_same: bool, decimals: int, schema: StructType
+) -> DataFrame:
+    table = c.toArrow().combine_chunks()  # at most QUERY_BYTES, checked by the caller
+    names, matrix = table.column("c_id").to_numpy(), _matrix(table.column("c_vec"))
+    parts = [(value, names[at], matrix[at]) for value, at in _groups(table.column("grp").combine_chunks())]
+    shipped = q.sparkSession.sparkContext.broadcast(parts)
+    types = (table.schema.field("grp").type, table.schema.field("c_id").type)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            ids = batch.column("q_id").to_numpy(zero_copy_only=False)
+            nearest = _Nearest(ids, _matrix(batch.column("q_vec")), k, metric, skip_same, decimals)
+            for value, found, vectors in shipped.value:
+                nearest.add(value, found, vectors)
+            yield from _hits(nearest, batch.schema.field("q_id").type, *types)
+
+    # Files of vectors are small: the rows of one would be the work of one task.
+    return spread(q, ["q_id"]).mapInArrow(search, schema)
+
+
 def _search_broadcast(
     q: DataFrame, c: DataFrame, k: int, metric: str, skip_same: bool, decimals: int, schema: StructType
 ) -> DataFrame:
     table = q.toArrow()  # at most QUERY_BYTES, checked by the caller
     ids = table.column("q_id").to_numpy()
-    shipped = q.sparkSession.sparkContext.broadcast((ids, _matrix(table.column("q_vec").to_pylist())))
+    shipped = q.sparkSession.sparkContext.broadcast((ids, _matrix(table.column("q_vec"))))
     q_type = table.schema.field("q_id").type
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,26 +237,14 @@ def _search_broadcast(
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            types = {n: batch.schema.field(n).type for n in ("grp", "c_id")}
-            groups = batch.column("grp").to_numpy(zero_copy_only=False)
-            names = batch.column("c_id").to_numpy(zero_copy_only=False)
-            flat = batch.column("c_vec").flatten().to_numpy(zero_copy_only=False)
-            vectors = flat.astype(np.float64).reshape(batch.num_rows, -1)
-            for value in pd.unique(groups):
-                mine = pd.isna(groups) if pd.isna(value) else groups == value
-                nearest.add(value, names[mine], vectors[mine])
-        for value, query, found, score in nearest.results():
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(query, q_type),
-                    pa.array([value] * len(query), types["grp"]),
-                    pa.array(found, types["c_id"]),
-                    pa.array(score, pa.float64()),
-                ],
-                names=["q_id", "grp", "c_id", "score"],
-            )
-
-    return c.mapInArrow(search, schema)
+            types = [batch.schema.field(n).type for n in ("grp", "c_id")]
+            names, vectors = batch.column("c_id").to_numpy(zero_copy_only=False), _matrix(batch.column("c_vec"))
+            for value, at in _groups(batch.column("grp")):
+                nearest.add(value, names[at], vectors[at])
+        if types:
+            yield from _hits(nearest, q_type, *types)
+
+    return spread(c, ["c_id"]).mapInArrow(search, schema)
 
 
 def _search_blocks(
@@ -191,8 +260,10 @@ def _search_blocks(
     block_bytes: int,
 ) -> DataFrame:
     per_block = max(1, block_bytes // (8 * dim))
-    q_blocks = max(1, -(-count // per_block))
     c_blocks = max(1, -(-c.count() // per_block))
+    # Smaller blocks of queries where there are fewer cells than cores.
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    q_blocks = max(1, -(-count // per_block), min(-(-2 * cores // c_blocks), -(-count // TILE_QUERIES)))
     left = q.withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(q_blocks))).withColumn(
         "cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)).cast("array<bigint>"))
     )
@@ -201,22 +272,15 @@ def _search_blocks(
     )
 
     def search(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        types = [mine.schema.field("q_id").type, *[theirs.schema.field(n).type for n in ("grp", "c_id")], pa.float64()]
-        names = ["q_id", "grp", "c_id", "score"]
-        parts = []
-        if mine.num_rows and theirs.num_rows:
-            ids = mine.column("q_id").to_numpy()
-            nearest = _Nearest(ids, _matrix(mine.column("q_vec").to_pylist()), k, metric, skip_same, decimals)
-            groups = np.array(theirs.column("grp").to_pylist(), dtype=object)
-            found, vectors = theirs.column("c_id").to_numpy(), _matrix(theirs.column("c_vec").to_pylist())
-            for value in pd.unique(groups):
-                own = pd.isna(groups) if pd.isna(value) else groups == value
-                nearest.add(None if pd.isna(value) else value, found[own], vectors[own])
-            for value, query, hits, score in nearest.results():
-                columns = (query, [value] * len(query), hits, score)
-                arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-                parts.append(pa.Table.from_arrays(arrays, names))
-        return pa.concat_tables(parts) if parts else pa.schema(list(zip(names, types, strict=True))).empty_table()
+        types = [mine.schema.field("q_id").type, *[theirs.schema.field(n).type for n in ("grp", "c_id")]]
+        out = pa.schema(list(zip(["q_id", "grp", "c_id", "score"], [*types, pa.float64()], strict=True)))
+        if not mine.num_rows or not theirs.num_rows:
+            return out.empty_table()
+        nearest = _Nearest(mine.column("q_id").to_numpy(), _matrix(mine.column("q_vec")), k, metric, skip_same, decimals)
+        found, vectors = theirs.column("c_id").to_numpy(), _matrix(theirs.column("c_vec"))
+        for value, at in _groups(theirs.column("grp").combine_chunks()):
+            nearest.add(value, found[at], vectors[at])
+        return pa.Table.from_batches(_hits(nearest, *types), out)
 
     return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(search, schema)
 

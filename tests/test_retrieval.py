@@ -10,6 +10,7 @@ from conftest import plan_of, rows
 from pyspark.sql import functions as F
 
 from clinframe.operators import retrieval, similarity
+from clinframe.queries import retrieval as registered
 
 RNG = np.random.default_rng(3)
 CORPUS = RNG.normal(size=(60, 5))
@@ -74,6 +75,42 @@ def test_small_score_blocks_change_nothing(frames, monkeypatch):
     assert rows(retrieval.topk_inner_product(queries, corpus, 4)) == want
 
 
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_either_side_may_be_sent(frames, monkeypatch, metric, few):
+    queries, corpus = frames
+    monkeypatch.setattr(retrieval, "FEW_QUERIES", few)
+    monkeypatch.setattr(retrieval, "TILE_QUERIES", 3)
+    got = {}
+    for r in retrieval.topk_inner_product(queries, corpus, 4, metric=metric).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(int(r["doc_id"][1:]))
+    assert got == {q: nearest(v, 4, metric) for q, v in enumerate(QUERIES)}
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_vectors_of_one_file_are_work_for_all_tasks(frames, monkeypatch, few):
+    queries, corpus = frames
+    monkeypatch.setattr(retrieval, "FEW_QUERIES", few)
+    plan = plan_of(retrieval.topk_inner_product(queries.coalesce(1), corpus.coalesce(1), 3))
+    assert "REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_a_vector_that_is_no_number_hides_no_other(frames, monkeypatch, spark, few):
+    queries, corpus = frames
+    monkeypatch.setattr(retrieval, "FEW_QUERIES", few)
+    odd = spark.createDataFrame([("d99", "odd", [math.nan] * 5)], corpus.schema)
+    hits = retrieval.topk_inner_product(queries, corpus.unionByName(odd).coalesce(1), 4)
+    assert rows(hits) == rows(retrieval.topk_inner_product(queries, corpus, 4))
+
+
+def test_passages_search_once(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(retrieval, "fetch_passages", lambda hits, *rest: seen.append(plan_of(hits)) or hits)
+    registered.passages(spark, sf)
+    assert not any("MapInArrow" in plan for plan in seen)
+
+
 def test_nothing_to_search(frames):
     queries, corpus = frames
     assert retrieval.topk_inner_product(queries.limit(0), corpus, 3).count() == 0
