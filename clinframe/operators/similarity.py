@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from clinframe.operators.retrieval import DECIMALS, topk_inner_product
+from clinframe.operators.skew import spread
 from clinframe.schema import col
 from clinframe.session import materialise, stored
 
@@ -22,9 +24,10 @@ SMALL_BANDWIDTH = 1e-3
 MAX_ITERATIONS = 1000
 #: Centers that may be sent to every executor.
 MAX_CENTERS = 4096
-#: Words of a text, and buckets their hashes fall into.
+#: Words of a text, buckets their hashes fall into, and words whose buckets a task remembers.
 TERM = r"[^\x20\x09-\x0D]+"
 DIM = 256
+MOST_WORDS = 1 << 18
 
 
 def kernel_bandwidth(vectors: DataFrame, vector: str = "vector") -> DataFrame:
@@ -190,34 +193,74 @@ def assign_centers(
     return vectors.select(col(id_column), col(vector)).mapInArrow(assign, out)
 
 
-def _terms(df: DataFrame, id_column: str, text: Column, dim: int) -> DataFrame:
-    """``(id, bucket, n)``: how often the words of each bucket occur in a text."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), 0)
-    each = df.select(col(id_column), F.explode(words).alias("_word"))
-    bucket = F.conv(F.substring(F.md5(F.col("_word").cast("binary")), 1, 8), 16, 10).cast("bigint") % dim
-    return each.groupBy(col(id_column), bucket.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+class _Buckets(dict):
+    """Buckets of words, remembered as far as ``MOST_WORDS``: the first 32 bits of their md5, modulo ``dim``."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        bucket = self[word] = int.from_bytes(hashlib.md5(word).digest()[:4], "big") % self.dim
+        return bucket
+
+
+def _bucket_counts(texts: pa.Array, buckets: _Buckets) -> np.ndarray:
+    """How often the words of each bucket occur in every text; words end at ASCII white space only."""
+    out = np.zeros((len(texts), buckets.dim), np.int64)
+    for row, text in enumerate(texts):
+        words = text.as_py().split()
+        out[row] = np.bincount(np.fromiter(map(buckets.__getitem__, words), np.int64, len(words)), minlength=buckets.dim)
+    return out
+
+
+def _lists(matrix: np.ndarray) -> pa.Array:
+    rows, dim = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows * dim + 1, dim), pa.int32()), pa.array(matrix.ravel()))
+
+
+def _dealt(df: DataFrame, id_column: str, text: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """Lower-cased texts as bytes, in parts for all cores however few files they come from."""
+    lower = F.lower(F.coalesce(text, F.lit(""))).cast("binary")
+    return spread(df.select(col(id_column), *map(col, keep), lower.alias("_text")), [id_column])
 
 
 def term_weights(corpus: DataFrame, id_column: str, text: Column, dim: int = DIM) -> DataFrame:
     """``(bucket, idf)``: ln((documents + 1) / (documents with the bucket + 1)); at most ``dim``
     rows, written once."""
-    documents = corpus.agg(F.count(F.lit(1)).alias("_docs")).scalar()
-    seen = _terms(corpus, id_column, text, dim).groupBy("bucket").agg(F.count(F.lit(1)).alias("_df"))
+    buckets = _Buckets(dim)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows = np.zeros(dim, np.int64), 0
+        for batch in batches:
+            seen += (_bucket_counts(batch.column(0), buckets) > 0).sum(axis=0)
+            rows += batch.num_rows
+        # A row of no bucket tells how many texts the task had.
+        numbers = [np.arange(-1, dim, dtype=np.int32), np.concatenate([[rows], seen])]
+        yield pa.RecordBatch.from_arrays([pa.array(n) for n in numbers], names=["bucket", "_df"])
+
+    parts = _dealt(corpus, id_column, text).select("_text").mapInArrow(count, "bucket int, _df long")
+    found = materialise(parts.groupBy("bucket").agg(F.sum("_df").alias("_df")))
+    documents = found.where("bucket < 0").select("_df").scalar()
+    seen = found.where("bucket >= 0 AND _df > 0")
     return materialise(seen.select("bucket", F.log((documents + 1) / (F.col("_df") + 1)).alias("idf")))
 
 
 def hashed_tfidf(
-    df: DataFrame, id_column: str, text: Column, weights: DataFrame, dim: int = DIM
+    df: DataFrame, id_column: str, text: Column, weights: DataFrame, dim: int = DIM, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """``(id, vector)``: unit-length hashed TF-IDF of a text as ``dim`` doubles, so that an inner
+    """``(id, *keep, vector)``: unit-length hashed TF-IDF of a text as ``dim`` doubles, so that an inner
     product is a cosine. Stands in for a neural encoder. A text without known words has zeros."""
-    # One row per bucket, so at most ``dim`` of them.
-    cells = _terms(df, id_column, text, dim).join(F.broadcast(weights), "bucket")
-    cell = F.struct("bucket", (F.col("n") * F.col("idf")).alias("v"))
-    rows = cells.groupBy(col(id_column)).agg(
-        F.map_from_entries(F.collect_list(cell)).alias("_cells"),
-        F.sqrt(F.sum(F.pow(F.col("n") * F.col("idf"), 2))).alias("_norm"),
-    )
-    every = df.select(col(id_column)).join(rows, id_column, "left")
-    value = lambda b: F.coalesce(F.try_divide(F.try_element_at("_cells", b), F.col("_norm")), F.lit(0.0))
-    return every.select(col(id_column), F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value).alias("vector"))
+    idf, buckets = np.zeros(dim), _Buckets(dim)
+    for r in weights.select("bucket", "idf").collect():  # at most ``dim`` rows
+        idf[r["bucket"]] = r["idf"]
+
+    def unit(texts: pa.Array) -> pa.Array:
+        raw = _bucket_counts(texts, buckets) * idf
+        norm = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+        return _lists(np.divide(raw, norm, out=np.zeros_like(raw), where=norm > 0))
+
+    vector = F.arrow_udf(unit, "array<double>")(F.col("_text"))
+    return _dealt(df, id_column, text, keep).select(col(id_column), *map(col, keep), vector.alias("vector"))

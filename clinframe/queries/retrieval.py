@@ -144,7 +144,7 @@ def text_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = i.corpus_docs(spark, sf)
     text = F.concat_ws(" ", "title", "content")
     weights = similarity.term_weights(docs, "doc_id", text, TEXT_DIM)
-    return similarity.hashed_tfidf(docs, "doc_id", text, weights, TEXT_DIM), weights
+    return similarity.hashed_tfidf(docs, "doc_id", text, weights, TEXT_DIM, keep=["corpus"]), weights
 
 
 @query(
@@ -179,10 +179,8 @@ def text_hits(spark: SparkSession, sf: str) -> DataFrame:
     vectors, weights = text_vectors(spark, sf)
     questions = i.table(spark, sf, "benchmark")
     asked = similarity.hashed_tfidf(questions, "item_id", F.col("text"), weights, TEXT_DIM)
-    langs = i.corpus_docs(spark, sf).select("doc_id", "corpus")
-    corpora = vectors.join(langs, "doc_id")
     asked = asked.withColumnRenamed("item_id", "query_id")
-    return stored(retrieval.multi_corpus_topk(asked, corpora, 3, decimals=8))
+    return stored(retrieval.multi_corpus_topk(asked, vectors, 3, decimals=8))
 
 
 @query(

@@ -168,6 +168,15 @@ def test_clusters_find_separate_groups(spark):
     assert len(set(got.values())) == 2
 
 
+def test_hashed_tfidf_makes_no_row_for_a_word(spark):
+    df = spark.createDataFrame([(1, "a b b"), (2, "a \u00c4 \u00e4"), (3, None)], "doc_id int, text string").coalesce(1)
+    weights = similarity.term_weights(df, "doc_id", F.col("text"), 16)
+    vectors = similarity.hashed_tfidf(df, "doc_id", F.col("text"), weights, 16, keep=["text"])
+    plan = plan_of(vectors)
+    assert vectors.columns == ["doc_id", "text", "vector"] and vectors.count() == 3
+    assert "Generate" not in plan and "Join" not in plan and "REPARTITION_BY_NUM" in plan
+
+
 def test_hashed_tfidf_by_definition(spark):
     docs = [("a", "Fever cough", "fever"), ("b", "cough", "pain"), ("c", "Ödem", "pain pain")]
     df = spark.createDataFrame(docs, "doc_id string, title string, content string")
