@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinframe.functions.hashing import HEX_DIGITS, unit_hash
 from clinframe.operators.metrics import unpivot_metrics
-from clinframe.operators.skew import HOT_ROWS, running_sums, spread
+from clinframe.operators.skew import HOT_ROWS, SPREAD, running_sums, spread
 from clinframe.schema import col
 from clinframe.session import stored
 
@@ -137,6 +140,136 @@ def bootstrap(
     )
 
 
+# --- rankings of resamples -----------------------------------------------------------------------
+
+
+def _drawn(keys: pa.Array, replicates: int) -> pa.Array:
+    """The weights of :func:`poisson_resamples` of every row, one byte a replicate."""
+    blocks = [f":{block}".encode() for block in range((replicates - 1) // PER_DIGEST + 1)]
+    bounds = np.array([math.ceil(p * 16**DIGITS) for p in POISSON_1])
+    out = []
+    for key in keys.cast(pa.binary()):
+        digests = b"".join([hashlib.md5(key.as_py() + block).digest() for block in blocks])
+        counts = np.searchsorted(bounds, np.frombuffer(digests, ">u4").astype(np.int64), side="right")
+        out.append(counts[:replicates].astype(np.uint8).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def _cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Positives and negatives of every row (side by side) in each replicate."""
+    n = batch.num_rows
+    y = batch.column("y").to_numpy()[:, None]
+    w = np.frombuffer(b"".join(batch.column("weights").to_pylist()), np.uint8).reshape(n, -1).astype(np.float64)
+    return w * y, w * (1 - y)
+
+
+def _slice_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: dict[int, np.ndarray] = {}
+    for batch in batches:
+        at = batch.column("slice").to_numpy()
+        pos, neg = _cells(batch)
+        for k in np.unique(at):
+            sums = np.concatenate([pos[at == k].sum(axis=0), neg[at == k].sum(axis=0)])
+            found[int(k)] = found[int(k)] + sums if int(k) in found else sums
+    rows = [{"slice": k, "sums": v.tolist()} for k, v in found.items()]
+    yield pa.RecordBatch.from_pylist(rows, pa.schema([("slice", pa.int32()), ("sums", pa.list_(pa.float64()))]))
+
+
+class _Ranking:
+    """Area, precision steps and weakest point of all replicates, from rows in descending order of their
+    scores. Holds one batch; rows of the last score wait for further ones."""
+
+    def __init__(self, before: np.ndarray, total: np.ndarray):
+        self.tp, self.fp = before.copy()
+        self.total = total
+        self.area, self.steps, self.best = np.zeros((3, len(total)))
+        self.score, self.pos, self.neg = None, np.zeros((1, len(total))), np.zeros((1, len(total)))
+
+    def add(self, score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> None:
+        if self.score is not None:
+            score = np.concatenate([[self.score], score])
+            pos, neg = np.concatenate([self.pos, pos]), np.concatenate([self.neg, neg])
+        same = (score[1:] == score[:-1]) | (np.isnan(score[1:]) & np.isnan(score[:-1]))
+        starts = np.concatenate([[0], np.flatnonzero(~same) + 1])
+        pos, neg = np.add.reduceat(pos, starts), np.add.reduceat(neg, starts)
+        self.score, self.pos, self.neg = score[-1], pos[-1:], neg[-1:]
+        self._take(pos[:-1], neg[:-1])
+
+    def _take(self, pos: np.ndarray, neg: np.ndarray) -> None:
+        if not len(pos):
+            return
+        tp, fp = self.tp + pos.cumsum(axis=0), self.fp + neg.cumsum(axis=0)
+        self.area += (neg * (tp - pos / 2)).sum(axis=0)
+        self.steps += (pos * tp / np.maximum(tp + fp, 1)).sum(axis=0)
+        self.best = np.maximum(self.best, (tp / np.maximum(np.maximum(tp + fp, self.total), 1)).max(axis=0))
+        self.tp, self.fp = tp[-1], fp[-1]
+
+    def result(self) -> pa.RecordBatch:
+        self._take(self.pos, self.neg)
+        columns = [pa.array(np.arange(1, len(self.total) + 1, dtype=np.int32)), *map(pa.array, (self.area, self.steps, self.best))]
+        return pa.RecordBatch.from_arrays(columns, names=["replicate", "area", "steps", "best"])
+
+
+def bootstrap_ranking(
+    df: DataFrame,
+    id_columns: Sequence[str],
+    y: str = "y",
+    p: str = "p",
+    replicates: int = REPLICATES,
+    seed: int = SEED,
+    slices: int | None = None,
+) -> DataFrame:
+    """What :func:`bootstrap` gives for ``auroc``, ``auprc`` and ``minpse`` with its default draws,
+    without a row for each replicate: ``y`` is 0 or 1.
+
+    All resamples share one order of the scores, so rows are dealt once into ``slices`` by ranges of
+    scores, with their weights beside them. Positives and negatives of each slice and replicate say
+    what lies above a slice; then every slice is gone through in order, all replicates at a time.
+    Equal scores lie in one slice; it is read in batches, however many they are.
+    """
+    spark = df.sparkSession
+    slices = slices or SPREAD * spark.sparkContext.defaultParallelism
+    key = F.concat_ws(":", *[col(c).cast("string") for c in id_columns], F.lit(str(seed)))
+    rows = df.where(col(y).isNotNull()).select(key.alias("key"), col(y).cast("double").alias("y"), col(p).cast("double").alias("p"))
+    weights = F.arrow_udf(lambda keys: _drawn(keys, replicates), "binary")(F.col("key")).alias("weights")
+    dealt = rows.repartitionByRange(slices, F.desc("p")).select("y", "p", F.spark_partition_id().alias("slice"), weights)
+    dealt = stored(dealt)
+    totals = np.zeros((slices, 2, replicates))
+    # One row for each slice of a task.
+    for r in dealt.select("slice", "y", "weights").mapInArrow(_slice_totals, "slice int, sums array<double>").toLocalIterator():
+        totals[r["slice"]] += np.array(r["sums"]).reshape(2, replicates)
+    before, whole = totals.cumsum(axis=0) - totals, totals.sum(axis=0)
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, now = None, None
+        for batch in batches:
+            place = batch.column("slice").to_numpy()
+            pos, neg = _cells(batch)
+            score = batch.column("p").to_numpy(zero_copy_only=False)
+            for k in np.unique(place):
+                if k != at:
+                    if now:
+                        yield now.result()
+                    at, now = k, _Ranking(before[k], whole[0])
+                now.add(score[place == k], pos[place == k], neg[place == k])
+        if now:
+            yield now.result()
+
+    ordered = dealt.repartition(slices, "slice").sortWithinPartitions("slice", F.desc("p"))
+    parts = ordered.mapInArrow(rank, "replicate int, area double, steps double, best double")
+    sums = parts.groupBy("replicate").agg(F.sum("area").alias("area"), F.sum("steps").alias("steps"), F.max("best").alias("best"))
+    sizes = F.array(*[F.array(F.lit(float(a)), F.lit(float(b))) for a, b in whole.T])[F.col("replicate") - 1]
+    pos, neg = sizes[0], sizes[1]
+    scored = sums.select(
+        "replicate",
+        F.try_divide("area", pos * neg).alias("auroc"),
+        F.try_divide("steps", pos).alias("auprc"),
+        F.when(pos > 0, F.col("best")).alias("minpse"),
+    )
+    long = unpivot_metrics(scored, ["replicate"], ["auroc", "auprc", "minpse"])
+    return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+
+
 # --- resamples by cells --------------------------------------------------------------------------
 
 #: Rows of a cell up to which its draw is inverted exactly; beyond, by an expansion of the quantile.

@@ -329,11 +329,7 @@ def bootstrap_class_metrics(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def bootstrap_ranking_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    preds = outcome_preds(spark, sf)
-    # A resample has at most as many distinct scores as there are predictions.
-    out = bootstrap.bootstrap(
-        preds, metrics.ranking_metrics, RANKING, ["o_orderkey"], largest=preds.count()
-    )
+    out = bootstrap.bootstrap_ranking(outcome_preds(spark, sf), ["o_orderkey"])
     return out.select("metric", *rounded(["mean", "std"]))
 
 

@@ -268,6 +268,24 @@ def test_bootstrap_is_repeatable_and_centred(spark, exact):
         assert abs(mean - whole[name]) < 3 * std and 0 < std < 0.1
 
 
+@pytest.mark.parametrize("slices", [1, 5])
+def test_rankings_of_resamples_in_slices(spark, monkeypatch, slices):
+    # Rounded scores tie, also across batches; one id draws for several rows.
+    df = numbered(spark).withColumn("p", F.round("p", 1)).withColumn("id", F.col("id") % 390)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = bootstrap.bootstrap_ranking(df, ["id"], replicates=9, slices=slices).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = bootstrap.bootstrap(df, metrics.ranking_metrics, ("auroc", "auprc", "minpse"), ["id"], replicates=9, largest=400).collect()
+    assert {r["metric"]: (pytest.approx(r["mean"]), pytest.approx(r["std"])) for r in want} == {r["metric"]: (r["mean"], r["std"]) for r in got}
+
+
+def test_rankings_of_resamples_of_one_class(spark):
+    got = {r["metric"]: r["mean"] for r in bootstrap.bootstrap_ranking(preds(spark, [(0, 0.1), (0, 0.2)]), ["p"], replicates=8).collect()}
+    assert got["auroc"] is None and got["auprc"] is None and got["minpse"] is None
+
+
 def test_report_of_both_tasks(spark):
     df = numbered(spark).withColumn("model", F.lit("m"))
     report = evaluation.evaluate_with_spread(df, "outcome", ["id"], ["model"], 10, largest=400).first()
