@@ -27,8 +27,10 @@ from clinframe.session import stored
 #: Pivots at most, and their bytes: they go to every executor.
 MAX_PIVOTS = 2048
 PIVOT_BYTES = 16 * 1024 * 1024
-#: Points of one block of a cell, and visitors that meet it in one task.
-BLOCK, VISITORS = 2048, 8192
+#: Points of one block of a cell, and visitors that meet it in one task. A visitor's vector is sent to
+#: each block it visits, so blocks are large; distances computed at a time are not.
+BLOCK, VISITORS = 16_384, 8192
+DISTANCE_BYTES = 16 * 1024 * 1024
 #: Distances are widened by this share before a cell or a shell is ruled out.
 SLACK = 1e-7
 
@@ -48,9 +50,10 @@ def _vectors(column: pa.Array, rows: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(rows, -1)
 
 
-def _choose_pivots(points: DataFrame, count: int, dim: int, most: int) -> np.ndarray:
-    """About the square root of the points, the first in the order of a hash."""
-    wanted = min(most, max(1, PIVOT_BYTES // (8 * max(1, dim))), max(1, math.isqrt(count)))
+def _choose_pivots(points: DataFrame, count: int, dim: int, most: int, block: int) -> np.ndarray:
+    """About the square root of the points, the first in the order of a hash; no more than fill a block
+    each, as smaller cells only mean more visits."""
+    wanted = min(most, max(1, PIVOT_BYTES // (8 * max(1, dim))), max(1, math.isqrt(count)), -(-count // block))
     rows = points.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(wanted).collect()
     return np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
 
@@ -107,8 +110,9 @@ def _meet(limit: float, out: StructType):
             block = block.sort_by("point").combine_chunks()
             y = _vectors(block.column("vector").combine_chunks(), block.num_rows)
             weight, place, y2 = block.column("weight").to_numpy(), block.column("place").to_numpy(), (y * y).sum(axis=1)
-            for start in range(0, visitors.num_rows, 1024):
-                part = visitors.slice(start, 1024)
+            step = max(1, DISTANCE_BYTES // (8 * block.num_rows))
+            for start in range(0, visitors.num_rows, step):
+                part = visitors.slice(start, step)
                 x = _vectors(part.column("vector").combine_chunks(), part.num_rows)
                 mine = part.column("place").to_numpy()
                 squared = (x * x).sum(axis=1)[:, None] + y2[None, :] - 2 * (x @ y.T)
@@ -166,7 +170,7 @@ def patient_radius(
     none = F.lit(None).cast(rows.schema["id"].dataType)
     absent = rows.where(~F.coalesce(usable, F.lit(False))).select("id", F.lit(None).cast("bigint").alias("neighbours"), none.alias("smallest"))
     if count:
-        shipped = spark.sparkContext.broadcast(_choose_pivots(points, count, dim, pivots))
+        shipped = spark.sparkContext.broadcast(_choose_pivots(points, count, dim, pivots, block))
         homes = stored(_homes(points.select("point", "weight", "place", "vector"), shipped))
         sizes = homes.groupBy("cell").agg(F.min("away").alias("lo"), F.max("away").alias("hi"), F.count(F.lit(1)).alias("n"))
         cells = sizes.collect()  # one row per pivot

@@ -44,6 +44,16 @@ def test_one_cell_with_half_of_the_rows(spark):
     assert facts["largest_block"] <= 20 and facts["visits"] < 1200 * facts["blocks"] / 4
 
 
+def test_cells_are_not_smaller_than_blocks(spark):
+    """Where all rows are neighbours nothing is ruled out, and each row visits every block."""
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(v) for v in rng.normal(size=8)]) for k in range(600)]
+    facts = {}
+    got = patient_radius(spark.createDataFrame(rows, TYPE), 50.0, block=100, report=facts)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 50.0)
+    assert facts["blocks"] <= 2 * 600 / 100 and facts["visits"] <= 600 * facts["blocks"]
+
+
 def test_copies_and_odd_rows(spark):
     same = [(k, [0.5, -0.0]) for k in range(50)]
     odd = [(None, [0.5, 0.0]), (100, None), (101, [1.0]), (102, [None, 1.0]), (103, [float("nan"), 0.0]), (104, [0.5, 1.0])]
