@@ -1,12 +1,19 @@
 """One document of each group of near copies, by the Jaccard similarity of five-word shingles.
 
 Texts whose shingle sets share at least four fifths of their union link, and groups are the
-components of the links. Candidates are texts that agree in one of ``BANDS`` bands of ``ROWS``
-minimum hashes: a pair at 0.8 agrees in none with a chance of 3e-6, a closer pair with less. Every
-candidate pair is verified on the whole sets. In a bucket the first texts are compared with all
-later ones; what lies behind them waits until the links found so far have been joined, and goes on
-only where a bucket still holds more than one component. So a large group of near copies costs a
-few comparisons a text, and no pair is left out.
+components of the links. Every candidate pair is verified on the whole sets. Candidates are first
+texts whose SimHash over the same shingles differs in few bits, found by the variants of
+``simhash``. A similarity of 0.8 lies about ten bits apart, where no cut of 64 bits selects, so texts
+that agree in one of ``BANDS`` bands of ``ROWS`` minimum hashes follow: a pair at 0.8 agrees in none
+with a chance of 3e-6, a closer pair with less. In a bucket the first texts are compared with all
+later ones that do not belong to their component yet.
+
+What lies behind them goes on only where a bucket holds more than one component, and then not by
+its bands: texts meet in shingles, the rarest first. Two texts link only if from the first shingle
+they share, in that order, each holds as many shingles as the link needs, so a text meets others in
+its rarest fifth only, and one with many shingles of its own meets none. So a large group of near
+copies costs a few comparisons a text, texts beside it are not compared with each of its members,
+and no pair is left out.
 """
 
 from __future__ import annotations
@@ -16,9 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clinframe.llm import simhash
 from clinframe.llm.common import apart, components, shuffle_tasks
 from clinframe.schema import col
 from clinframe.session import stored
@@ -92,6 +100,10 @@ def _sets(column: pa.Array) -> pa.Array:
     return pa.array([_shingles(_words(v.as_py())).tobytes() for v in column], pa.binary())
 
 
+def _members(column: pa.Array) -> pa.Array:
+    return pa.array([np.frombuffer(v.as_py(), np.int64) for v in column], pa.list_(pa.int64()))
+
+
 def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
     def one(x: bytes, y: bytes) -> bool:
         x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -102,17 +114,18 @@ def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], leaders: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, size, label) sorted by (key, node): pairs of the first ``leaders`` texts of
-    each bucket with later ones that have another label and a size that allows a link, and the
-    texts behind them, marked open. Holds one batch and the leaders of one bucket."""
+    """Rows (key, node, size, rest, label) sorted by (key, node): pairs of the first ``leaders`` texts
+    of each bucket with later ones that have another label and can share enough of what the bucket
+    leaves of them, ``rest``, and the texts behind them, marked open. Holds one batch and the leaders
+    of one bucket."""
 
-    def out(a, b, key, size, is_open):
-        columns = [np.asarray(x, np.int64) for x in (a, b, key, size)]
+    def out(a, b, key, size, rest, is_open):
+        columns = [np.asarray(x, np.int64) for x in (a, b, key, size, rest)]
         return pa.RecordBatch.from_arrays(
-            [*map(pa.array, columns), pa.array(np.full(len(a), is_open))], ["a", "b", "key", "size", "open"]
+            [*map(pa.array, columns), pa.array(np.full(len(a), is_open))], ["a", "b", "key", "size", "rest", "open"]
         )
 
-    none = [np.empty(0, np.int64)] * 3
+    none = [np.empty(0, np.int64)] * 4
     last_key, held = None, none
     for batch in batches:
         key, *own = (np.asarray(c.to_numpy(zero_copy_only=False), np.int64) for c in batch.columns)
@@ -132,15 +145,15 @@ def _candidates(batches: Iterator[pa.RecordBatch], leaders: int) -> Iterator[pa.
             new = max(0, min(leaders - known, len(rows[0])))
             lead = [np.concatenate([h, x[:new]]) for h, x in zip(before, rows, strict=True)]
             for k in range(known + new):
-                node, size, label = (x[max(0, k - known + 1) :] for x in rows)
-                small, large = np.minimum(size, lead[1][k]), np.maximum(size, lead[1][k])
-                fits = np.flatnonzero((label != lead[2][k]) & (OF * small >= SHARED * large))
+                node, size, rest, label = (x[max(0, k - known + 1) :] for x in rows)
+                enough = (OF + SHARED) * np.minimum(rest, lead[2][k]) >= SHARED * (size + lead[1][k])
+                fits = np.flatnonzero((label != lead[3][k]) & enough)
                 if len(fits):
                     pairs.append((np.full(len(fits), lead[0][k]), node[fits]))
                     count += len(fits)
                 if count > PAIRS:
                     a, b = map(np.concatenate, zip(*pairs, strict=True))
-                    yield out(a, b, a, a, False)
+                    yield out(a, b, a, a, a, False)
                     pairs, count = [], 0
             if new < len(rows[0]):
                 waiting.append(np.arange(starts[r] + new, ends[r]))
@@ -148,50 +161,91 @@ def _candidates(batches: Iterator[pa.RecordBatch], leaders: int) -> Iterator[pa.
                 last_key, held = key[-1], lead
         if pairs:
             a, b = map(np.concatenate, zip(*pairs, strict=True))
-            yield out(a, b, a, a, False)
+            yield out(a, b, a, a, a, False)
         if waiting:
             at = np.concatenate(waiting)
-            yield out(own[0][at], own[0][at], key[at], own[1][at], True)
+            yield out(own[0][at], own[0][at], key[at], own[1][at], own[2][at], True)
 
 
 def _few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.limit(SMALL + 1).count() <= SMALL else keys
 
 
+def _sets_of(nodes: DataFrame, classes: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """Rows (node, set) of the distinct ``nodes``."""
+    needed = stored(classes.select("node", "_row").join(nodes, "node"))
+    found = rows.select("_row", text).join(_few(needed), "_row")
+    return stored(found.select("node", F.arrow_udf(_sets, "binary")(F.col(text).cast("binary")).alias("set")).dropDuplicates(["node"]))
+
+
 def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     """The ``pairs`` (a, b) that are alike, from the whole sets of their texts."""
     met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = stored(classes.select("node", "_row").join(met, "node"))
-    found = rows.select("_row", text).join(_few(needed), "_row")
-    sets = stored(found.select("node", F.arrow_udf(_sets, "binary")(F.col(text).cast("binary")).alias("set")).dropDuplicates(["node"]))
+    sets = _sets_of(met, classes, rows, text)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     return stored(both.where(F.arrow_udf(_alike, "boolean")("set_a", "set_b")).select("a", "b"))
 
 
+def _by_fingerprint(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts within ``simhash.BITS`` of each other: texts of one fingerprint meet its
+    first one, and first ones meet along the edges of their fingerprints."""
+    heads = stored(classes.groupBy("fp").agg(F.min("node").alias("head")))
+    same = classes.select("fp", "node").join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    near = simhash.near_edges(heads.select("fp"))
+    for end in ("a", "b"):
+        named = heads.select(F.col("fp").alias(end), F.col("head").alias(f"head_{end}"))
+        near = near.join(named, end)
+    return stored(same.unionByName(near.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b"))))
+
+
+def _by_rare_shingles(nodes: DataFrame, classes: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """Rows (key, node, size, rest) for each shingle in which one of the distinct ``nodes`` can meet
+    another that it links to: shingles rise by the number of nodes that hold them, and ``rest`` counts
+    those of the node that others hold too, from this one on."""
+    sets = _sets_of(nodes, classes, rows, text)
+    size = F.floor(F.octet_length("set") / 8).cast("int").alias("size")
+    each = sets.select("node", size, F.explode(F.arrow_udf(_members, "array<long>")("set")).alias("key"))
+    shared = each.join(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+    falling = Window.partitionBy("node").orderBy(F.desc("n"), F.desc("key"))
+    ranked = shared.withColumn("rest", F.row_number().over(falling)).where(F.col("rest") * OF >= F.col("size") * SHARED)
+    return ranked.select("key", "node", "size", "rest")
+
+
 def _labels(classes: DataFrame, rows: DataFrame, text: str, leaders: int) -> DataFrame:
     """Rows (node, label) of all texts that link to another."""
-    spark, edges = classes.sparkSession, None
-    open_ = classes.select(F.explode("keys").alias("key"), "node", "size", F.col("node").alias("label"))
+    spark = classes.sparkSession
+    edges = _links(_by_fingerprint(classes), classes, rows, text)
+    labels = stored(components(edges))
+
+    def labelled(open_: DataFrame) -> DataFrame:
+        return open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    open_ = labelled(classes.select("node", "size", "keys"))
+    open_ = open_.select(F.explode("keys").alias("key"), "node", "size", F.col("size").alias("rest"), "label")
+    by_bands = True
     while True:
-        dealt = open_.select("key", "node", "size", "label").repartition(shuffle_tasks(spark), "key")
+        dealt = open_.select("key", "node", "size", "rest", "label").repartition(shuffle_tasks(spark), "key")
         found = stored(
             dealt.sortWithinPartitions("key", "node").mapInArrow(
-                lambda x, leaders=leaders: _candidates(x, leaders), "a long, b long, key long, size long, open boolean"
+                lambda x, leaders=leaders: _candidates(x, leaders),
+                "a long, b long, key long, size long, rest long, open boolean",
             )
         )
         pairs = stored(found.where("not open").select("a", "b").distinct())
-        links = _links(pairs, classes, rows, text)
-        edges = links if edges is None else edges.unionByName(links)
+        edges = edges.unionByName(_links(pairs, classes, rows, text))
         labels = stored(components(edges))
-        left = found.where("open").select("key", F.col("a").alias("node"), "size")
+        left = found.where("open").select("key", F.col("a").alias("node"), "size", "rest")
         if left.isEmpty():
             return labels
-        left = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        left = labelled(left)
         mixed = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
         open_ = stored(left.join(mixed.select("key"), "key", "left_semi"))
         if open_.isEmpty():
             return labels
+        if by_bands:
+            open_ = labelled(_by_rare_shingles(open_.select("node").distinct(), classes, rows, text))
+            by_bands = False
         leaders *= GROWTH
 
 
@@ -213,9 +267,11 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lead
     docs, whole_rows = apart(docs, (doc_id, text))
     marks = F.arrow_udf(_marks, "struct<node: long, size: int, keys: array<long>>")
     rows = docs.withColumn("_row", _row_key(docs))
-    marked = rows.select("_row", F.col(doc_id).alias("id"), marks(F.col(text).cast("binary")).alias("m"))
-    marked = stored(marked.select("_row", "id", "m.node", "m.size", "m.keys"))
-    classes = stored(marked.select("node", "_row", "size", "keys").dropDuplicates(["node"]))
+    marked = rows.select(
+        "_row", F.col(doc_id).alias("id"), marks(F.col(text).cast("binary")).alias("m"), simhash.fingerprint(F.col(text), WIDTH).alias("fp")
+    )
+    marked = stored(marked.select("_row", "id", "m.node", "m.size", "m.keys", "fp"))
+    classes = stored(marked.select("node", "_row", "size", "keys", "fp").dropDuplicates(["node"]))
     labels = _labels(classes, rows, text, leaders)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "node", "_row")
     named = marked.select("_row", "id", "node").join(labels, "node", "left")

@@ -61,3 +61,46 @@ def test_stage_links_at_similarity(spark, sf):
     label = groups([r["text"] for r in rows])
     assert sorted(r["doc_id"] for r in kept) == sorted(rows[i]["doc_id"] for i in set(label))
     assert len(kept) <= len(rows) / 2
+
+
+def test_large_group_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Texts beside a large group agree with it in many bands, but have too many words of their own."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(150)]
+
+    def changed(places):
+        copy = list(base)
+        for at in places:
+            copy[at] = f"own{rng.randrange(10**9)}"
+        return " ".join(copy)
+
+    texts = [changed([rng.randrange(150)]) for _ in range(120)]
+    texts += [changed(range(start, 150, 25)) for start in rng.choices(range(25), k=120)]
+    seen, links = [], copies._links
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return links(pairs, *rest)
+
+    monkeypatch.setattr(copies, "_links", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in copies.keep_first(df, leaders=1).collect())
+    assert kept == sorted(set(groups(texts)))
+    assert sum(seen) <= 15 * len(texts)
+
+
+def test_fingerprints_come_first(spark, monkeypatch):
+    """Pairs that the variants of the fingerprints find are verified, and need no band."""
+    base = [f"w{k}" for k in range(2000)]
+    texts = [" ".join(base), " ".join(base[:-1]), " ".join(base).upper(), "something else entirely"]
+    first, links = [], copies._links
+
+    def kept_first(pairs, *rest):
+        found = links(pairs, *rest)
+        first.append(found.count())
+        return found
+
+    monkeypatch.setattr(copies, "_links", kept_first)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in copies.keep_first(df).collect()) == [0, 3]
+    assert first == [1, 0]
