@@ -227,8 +227,9 @@ def term_cells_sql(name: str, source: str, key: str) -> str:
 def term_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark texts against all documents, over the words themselves."""
     docs = i.table(spark, sf, "documents").select("doc_id", "text")
-    index = postings.build_postings(docs, "doc_id", F.col("text"))
-    hits = postings.search_postings(index, i.table(spark, sf, "benchmark"), 5, "item_id")
+    questions = i.table(spark, sf, "benchmark")
+    index = postings.build_postings(docs, "doc_id", F.col("text"), asked=questions)
+    hits = postings.search_postings(index, questions, 5, "item_id")
     return hits.select(F.col("item_id").alias("query_id"), "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
