@@ -212,11 +212,25 @@ def _by_rare_shingles(nodes: DataFrame, classes: DataFrame, rows: DataFrame, tex
     return ranked.select("key", "node", "size", "rest")
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) with further ``links`` (a, b). Components are looked for between labels
+    only: what has one label already is not gone through again."""
+    for end in ("a", "b"):
+        named = labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+        links = links.join(named, end, "left")
+    ends = [F.coalesce(f"label_{end}", end).alias(end) for end in ("a", "b")]
+    moved = stored(components(links.select(*ends)))
+    if moved.isEmpty():
+        return labels
+    now = moved.select(F.col("node").alias("label"), F.col("label").alias("now"))
+    kept = labels.join(now, "label", "left").select("node", F.coalesce("now", "label").alias("label"))
+    return stored(kept.unionByName(moved.join(labels.select("node"), "node", "left_anti")))
+
+
 def _labels(classes: DataFrame, rows: DataFrame, text: str, leaders: int) -> DataFrame:
     """Rows (node, label) of all texts that link to another."""
     spark = classes.sparkSession
-    edges = _links(_by_fingerprint(classes), classes, rows, text)
-    labels = stored(components(edges))
+    labels = stored(components(_links(_by_fingerprint(classes), classes, rows, text)))
 
     def labelled(open_: DataFrame) -> DataFrame:
         return open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -233,8 +247,7 @@ def _labels(classes: DataFrame, rows: DataFrame, text: str, leaders: int) -> Dat
             )
         )
         pairs = stored(found.where("not open").select("a", "b").distinct())
-        edges = edges.unionByName(_links(pairs, classes, rows, text))
-        labels = stored(components(edges))
+        labels = _joined(labels, _links(pairs, classes, rows, text))
         left = found.where("open").select("key", F.col("a").alias("node"), "size", "rest")
         if left.isEmpty():
             return labels

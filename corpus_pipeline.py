@@ -24,8 +24,9 @@ from clinframe.session import stored
 #: Columns the stages read; all others travel beside them, whatever their names.
 READ = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: Rows of one batch between Spark and Python: texts can be long, and every task holds a batch twice.
-BATCH_ROWS, BATCH_BYTES = 1000, "8m"
+#: Rows of one batch between Spark and Python: texts can be long, every task holds a batch several times
+#: outside the heap (each buffer at up to twice its size, and on both sides), and keeps the space.
+BATCH_ROWS, BATCH_BYTES = 1000, "1m"
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 

@@ -104,3 +104,22 @@ def test_fingerprints_come_first(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in copies.keep_first(df).collect()) == [0, 3]
     assert first == [1, 0]
+
+
+def test_links_of_later_rounds_are_joined_between_labels(spark, monkeypatch):
+    """A group that the fingerprints have connected is not connected again by each later round."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(600)]
+    texts = [" ".join([*base[:at], "x", *base[at + 1 :]]) for at in range(60)]
+    texts += [*edited(rng)]
+    seen, components = [], copies.components
+
+    def counted(edges):
+        seen.append(edges.count())
+        return components(edges)
+
+    monkeypatch.setattr(copies, "components", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in copies.keep_first(df, leaders=1).collect())
+    assert kept == sorted(set(groups(texts)))
+    assert len(seen) > 1 and sum(seen) < 2 * len(texts), seen

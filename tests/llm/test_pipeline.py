@@ -7,6 +7,7 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,16 @@ def test_clashing_columns_stay(spark, sf):
         rows = after.collect()
         assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
     assert corpus_pipeline.encode(spark, docs, sf).count() == docs.count()
+
+
+def test_batches_of_long_texts_are_small(spark, sf):
+    """What a task holds outside the heap follows the batches that Python gets."""
+    corpus_pipeline.drop_near_copies(spark, spark.read.parquet(f"{sf}/documents.parquet").limit(0), sf)
+
+    @F.arrow_udf("long")
+    def batch(column: pa.Array) -> pa.Array:
+        return pa.array([sum(len(v.as_py()) for v in column)] * len(column), pa.int64())
+
+    docs = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("word "), 8000).alias("text"))
+    most = docs.select(batch("text").alias("n")).agg(F.max("n")).first()[0]
+    assert 40_000 <= most <= 1_100_000
