@@ -147,8 +147,12 @@ def mix(
         (r["source"], k, r["source_size"], t, 1 << (-(-r["n"] // bucket) - 1).bit_length())
         for k, (r, t) in enumerate(zip(found, goal, strict=True))
     ]
-    schema = "_name string, _source int, source_size long, target double, _buckets long"
-    about = F.broadcast(docs.sparkSession.createDataFrame(rows, schema))
+    schema = pa.schema(
+        [("_name", pa.string()), ("_source", pa.int32()), ("source_size", pa.int64()), ("target", pa.float64()), ("_buckets", pa.int64())]
+    )
+    # An Arrow table: a list of rows would go through Python workers of its own on the executors.
+    given = pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+    about = F.broadcast(docs.sparkSession.createDataFrame(given))
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     work = (

@@ -54,3 +54,15 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(k, "a", 5, "t", "c", "s", "b") for k in range(30)], "doc_id long, source string, size long, target string, copies string, source_size string, _bucket string")
     rows = mixing.mix(df).collect()
     assert len(rows) == 30 and all(r["_bucket"] == "b" and r["source_size"] == 150 and r["target"] == 225 for r in rows)
+
+
+def test_no_workers_for_the_table_of_sources(spark, monkeypatch):
+    """Rows that the driver sends as a list go through Python workers, which stay beside the others."""
+    docs = spark.range(40).selectExpr("id as doc_id", "if(id % 4 = 0, null, concat('s', id % 4)) as source", "id + 1 as size")
+
+    def fails(*_, **__):
+        raise AssertionError("a list of rows was sent")
+
+    monkeypatch.setattr(spark.sparkContext, "parallelize", fails)
+    got = mixing.mix(docs)
+    assert got.count() == 40 and got.select("source").distinct().count() == 4
